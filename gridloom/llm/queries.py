@@ -23,7 +23,25 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, _table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op5_feistel_shards, op10_warc_zstd)}
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.packing import best_fit_sequences
+
+    return best_fit_sequences(_table(spark, sf_dir, "documents"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.token_counts import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.decontamination import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op4_string_tiling, op5_feistel_shards, op9_best_fit_packing, op10_warc_zstd)}
 
 #: The whole of op10's result can be stated in SQL but for base32, which is spelt out digit by digit.
 ORACLE_SQL: dict[str, str] = {}
