@@ -41,7 +41,15 @@ def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_string_tiling, op5_feistel_shards, op9_best_fit_packing, op10_warc_zstd)}
+def op1_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.pii import BASE, find_pii, span_text
+
+    found = find_pii(_table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_semi_markov_pii, op2_token_counts, op4_string_tiling, op5_feistel_shards, op9_best_fit_packing, op10_warc_zstd)}
 
 #: The whole of op10's result can be stated in SQL but for base32, which is spelt out digit by digit.
 ORACLE_SQL: dict[str, str] = {}
