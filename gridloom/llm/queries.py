@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _of_kind(column: str, kind: str) -> Column:
+    return F.size(F.filter(column, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+
 def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.sharding import feistel_shards
 
@@ -45,11 +49,19 @@ def op1_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.pii import BASE, find_pii, span_text
 
     found = find_pii(_table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    counts = [_of_kind("base", k) for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
+
+
+def op8_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.secrets import KINDS, find_secrets, span_text
+
+    found = find_secrets(_table(spark, sf_dir, "documents"))
+    counts = [_of_kind("base", k) for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_semi_markov_pii, op2_token_counts, op4_string_tiling, op5_feistel_shards, op9_best_fit_packing, op10_warc_zstd)}
+QUERIES = {f.__name__: f for f in (op1_semi_markov_pii, op8_randomness_secrets, op2_token_counts, op4_string_tiling, op5_feistel_shards, op9_best_fit_packing, op10_warc_zstd)}
 
 #: The whole of op10's result can be stated in SQL but for base32, which is spelt out digit by digit.
 ORACLE_SQL: dict[str, str] = {}
