@@ -61,7 +61,13 @@ def op8_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_semi_markov_pii, op8_randomness_secrets, op2_token_counts, op4_string_tiling, op5_feistel_shards, op9_best_fit_packing, op10_warc_zstd)}
+def op6_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_semi_markov_pii, op6_nnpu_toxicity, op8_randomness_secrets, op2_token_counts, op4_string_tiling, op5_feistel_shards, op9_best_fit_packing, op10_warc_zstd)}
 
 #: The whole of op10's result can be stated in SQL but for base32, which is spelt out digit by digit.
 ORACLE_SQL: dict[str, str] = {}
