@@ -33,23 +33,45 @@ _CACHES: dict[str, _WordIds] = {}
 
 
 class _WordIds(dict):
-    """Ids of space-free chunks as little-endian bytes. The vocabulary drops white space, so ids of a text are those of
-    its chunks in a row; chunks of usual length are remembered, up to a fixed number."""
+    """Ids of space-free chunks as little-endian bytes. The vocabulary drops white space and case, so ids of a text are
+    those of its chunks in a row, and a chunk that is one word and a full stop or comma has those of the two. Chunks of
+    usual length are remembered, up to a fixed number; a single word goes straight to the vocabulary's merges."""
 
-    def __init__(self, path: str, most: int = 250_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode, self.most = Tokenizer.from_file(path).encode, most
+        whole = Tokenizer.from_file(path)
+        self.encode, self.merge, self.most = whole.encode, whole.model.tokenize, most
+        self.stops = {c: self._whole(c) for c in ".,"}
+        # The vocabulary's own letters for the bytes 128 and up, in order: printable ones stand for themselves.
+        hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+        self.letters = [chr(256 + hidden.index(b)) if b in hidden else chr(b) for b in range(256)]
 
-    def __missing__(self, chunk: str) -> bytes:
+    def _whole(self, chunk: str) -> bytes:
         ids = self.encode(chunk, add_special_tokens=False).ids
-        out = struct.pack(f"<{len(ids)}I", *ids)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        spelt = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        ids = [t.id for t in self.merge(spelt)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _keep(self, chunk: str, ids: bytes) -> bytes:
         if len(chunk) <= 24:
             if len(self) >= self.most:
                 self.clear()
-            self[chunk] = out
-        return out
+            self[chunk] = ids
+        return ids
+
+    def __missing__(self, chunk: str) -> bytes:
+        stem, stop = (chunk[:-1], chunk[-1]) if chunk[-1:] in self.stops else (chunk, "")
+        # Latin letters only, where lower case is one letter for one and nothing is left to compose.
+        if not stem.isalpha() or max(stem) >= "\u0250" or "\u0130" in stem:
+            return self._keep(chunk, self._whole(chunk))
+        word = stem.lower()
+        ids = self.get(word) or self._keep(word, self._word(word))
+        return ids if word == chunk else self._keep(chunk, ids + self.stops[stop] if stop else ids)
 
 
 def token_bytes(text: str | None, path: str) -> bytes:
