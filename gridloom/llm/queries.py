@@ -73,7 +73,13 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_semi_markov_pii, op3_ngram_jaccard_join, op6_nnpu_toxicity, op8_randomness_secrets, op2_token_counts, op4_string_tiling, op5_feistel_shards, op9_best_fit_packing, op10_warc_zstd)}
+def op7_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.vector_dedup import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_semi_markov_pii, op3_ngram_jaccard_join, op6_nnpu_toxicity, op7_product_quantisation, op8_randomness_secrets, op2_token_counts, op4_string_tiling, op5_feistel_shards, op9_best_fit_packing, op10_warc_zstd)}
 
 #: The whole of op10's result can be stated in SQL but for base32, which is spelt out digit by digit.
 ORACLE_SQL: dict[str, str] = {}
