@@ -17,6 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,19 +109,21 @@ class _Block:
         return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_tile: int = 4, coverage: float = 0.6, block_bytes: int = 16 << 20) -> DataFrame:
-    """``doc_id, item_id, item_tokens, covered, coverage, tiles`` of each document and item that match."""
+def _blocks(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> Iterator[Broadcast]:
+    """The test set's rows, broadcast in blocks of about ``block_bytes``; an item longer than a block is still one item."""
     slim = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = slim.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    # A block takes items by hash; an item longer than a block is still one item.
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    sources = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    for number in range(blocks):
+        yield docs.sparkSession.sparkContext.broadcast([tuple(r) for r in slim.where(part == number).collect()])
+
 
-    def meet(number: int) -> DataFrame:
-        rows = [tuple(r) for r in slim.where(part == number).collect()]
-        sent = docs.sparkSession.sparkContext.broadcast(rows)
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_tile: int = 4, coverage: float = 0.6, block_bytes: int = 16 << 20) -> DataFrame:
+    """``doc_id, item_id, item_tokens, covered, coverage, tiles`` of each document and item that match."""
+    sources = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
+    def meet(sent: Broadcast) -> DataFrame:
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = _Block(sent.value, min_tile, coverage)
             for b in batches:
@@ -131,4 +134,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_tile: int = 4, cover
 
         return sources.mapInArrow(find, "doc_id long, item_id long, item_tokens long, covered long, tiles long, coverage double")
 
-    return reduce(DataFrame.unionByName, map(meet, range(blocks)))
+    return reduce(DataFrame.unionByName, map(meet, _blocks(docs, benchmark, block_bytes)))
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, min_tile: int = 4, coverage: float = 0.6, block_bytes: int = 16 << 20) -> DataFrame:
+    """Rows of ``docs`` that match no test item, with their columns; no row is shuffled."""
+
+    def rest(kept: DataFrame, sent: Broadcast) -> DataFrame:
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = _Block(sent.value, min_tile, coverage)
+            for b in batches:
+                yield b.filter(pa.array([not block.matches(t) for t in texts(b, "text")], pa.bool_()))
+
+        return kept.mapInArrow(clean, kept.schema)
+
+    return reduce(rest, _blocks(docs, benchmark, block_bytes), docs)

@@ -58,7 +58,7 @@ def _long(values: np.ndarray) -> pa.Array:
 
 def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents as (doc_id, class, size), and (column, count) of columns that repeat among this task's documents."""
-    names = ["doc_id", "sig", "n", "h", "c"]
+    names = ["doc_id", "text_hash", "sig", "n", "h", "c"]
     held: list[np.ndarray] = []
     size = 0
 
@@ -66,7 +66,7 @@ def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, c = np.unique(np.concatenate(held), return_counts=True)
         h, c = h[c > 1], c[c > 1]
         nothing = pa.nulls(len(h), pa.int64())
-        return pa.RecordBatch.from_arrays([nothing, nothing, nothing, _long(h), pa.array(c.astype(np.int64))], names=names)
+        return pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, _long(h), pa.array(c.astype(np.int64))], names=names)
 
     for b in batches:
         sigs, sizes = [], []
@@ -81,7 +81,7 @@ def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield counted()
                 held, size = [], 0
         nothing = pa.nulls(len(sizes), pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), nothing, nothing], names=names)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), nothing, nothing], names=names)
     if held:
         yield counted()
 
@@ -236,10 +236,12 @@ def product_pairs(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, least_frequent: int = 48, most_frequent: int = 1_000_000) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs (doc_id, text)``."""
+    """``doc_id, n_shingles, component_id, text_hash, root`` for each row of ``docs (doc_id, text)``; ``root`` is one for
+    all documents of a component, null without words."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = stored(slim.mapInArrow(_census, "doc_id long, sig long, n long, h long, c long"), "census")
-    census = seen.where("h is null").select("doc_id", "sig", "n")
+    hashed = slim.withColumn("text_hash", F.xxhash64("text"))
+    seen = stored(hashed.mapInArrow(_census, "doc_id long, text_hash long, sig long, n long, h long, c long"), "census")
+    census = seen.where("h is null").select("doc_id", "text_hash", "sig", "n")
     frequent = frequent_columns(seen.where("h is not null").select("h", "c"), least_frequent, most_frequent)
     shared = stored(_shared(blocks(slim, frequent)), "shared")
     edges, roots = hot_links(shared, slim, census)
@@ -248,6 +250,17 @@ def jaccard_components(docs: DataFrame, least_frequent: int = 48, most_frequent:
     classes = census.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("low"))
     joined = classes.join(components(edges).withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     low = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = stored(joined.join(low, "root").select("sig", "component_id"), "named")
+    named = stored(joined.join(low, "root").select("sig", "component_id", "root"), "named")
     out = census.join(named, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "root")
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` with their columns: of each component that with the smallest id, and all texts without words."""
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    first = F.min(F.struct("doc_id", "text_hash")).alias("k")
+    kept = jaccard_components(docs).where("root is not null").groupBy("root").agg(first).select("k.doc_id", "k.text_hash")
+    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    worded = docs.where(~wordless).select("*", F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__hash"))
+    one = worded.join(kept, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    return one.unionByName(docs.where(wordless))

@@ -70,7 +70,7 @@ def op6_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.ngram_join import jaccard_components
 
-    return jaccard_components(_table(spark, sf_dir, "documents"))
+    return jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op7_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,3 +171,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabell
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = scored(slim, train(docs, labels, positives, unlabelled))
     return out.select("doc_id", (remainder() == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def not_toxic(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: int = 4000) -> DataFrame:
+    """Rows of ``docs`` that score below the threshold, with their columns."""
+    return scored(docs, train(docs, labels, positives, unlabelled), "__toxicity").where(F.col("__toxicity") < THRESHOLD).drop("__toxicity")
