@@ -109,8 +109,9 @@ def _contains(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def blocks(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``key, hot, sig, n``: the leading columns of each class. ``key`` is the column, salted where it is frequent, and
-    ``hot`` the frequent column itself. A task skips classes it has met; what others repeat changes nothing."""
+    """``key, hot, sig, n, pos, often``: the leading columns of each class. ``key`` is the column, salted where it is
+    frequent, ``hot`` the frequent column itself, ``pos`` the column's place in the class's order and ``often`` the number
+    of its frequent leading columns. A task skips classes it has met; what others repeat changes nothing."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,8 +119,8 @@ def blocks(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         met: set[int] = set()
 
         def out(parts: list[tuple]) -> pa.RecordBatch:
-            key, hot, sig, n = (np.concatenate(c) for c in zip(*[p[:2] + (np.full(len(p[0]), p[2]), np.full(len(p[0]), p[3])) for p in parts], strict=True))
-            return pa.RecordBatch.from_arrays([_long(key), pa.array(hot.view(np.int64), mask=hot == 0), pa.array(sig, pa.int64()), pa.array(n, pa.int32())], names=["key", "hot", "sig", "n"])
+            key, hot, sig, n, pos, often = (np.concatenate(c) for c in zip(*[p[:2] + (np.full(len(p[0]), p[2]), np.full(len(p[0]), p[3]), np.arange(len(p[0])), np.full(len(p[0]), p[4])) for p in parts], strict=True))
+            return pa.RecordBatch.from_arrays([_long(key), pa.array(hot.view(np.int64), mask=hot == 0), pa.array(sig, pa.int64()), *(pa.array(x, pa.int32()) for x in (n, pos, often))], names=["key", "hot", "sig", "n", "pos", "often"])
 
         for b in batches:
             parts, rows = [], 0
@@ -135,7 +136,7 @@ def blocks(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 hot = s[f][: leading(len(s)) - len(rare)]
                 with np.errstate(over="ignore"):
                     salted = mix(hot + np.uint64(sig % SALTS) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-                parts.append((np.concatenate([rare, salted]), np.concatenate([np.zeros(len(rare), np.uint64), hot]), sig, len(s)))
+                parts.append((np.concatenate([rare, salted]), np.concatenate([np.zeros(len(rare), np.uint64), hot]), sig, len(s), len(hot)))
                 rows += len(rare) + len(hot)
                 if rows > 200_000:
                     yield out(parts)
@@ -143,13 +144,13 @@ def blocks(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             if parts:
                 yield out(parts)
 
-    return docs.select("text").mapInArrow(emit, "key long, hot long, sig long, n int")
+    return docs.select("text").mapInArrow(emit, "key long, hot long, sig long, n int, pos int, often int")
 
 
 def _shared(entries: DataFrame) -> DataFrame:
     """Entries of columns that at least two classes have, and all of frequent columns."""
     bucket = "min(sig) over (partition by key) <> max(sig) over (partition by key)"
-    return entries.select("*", F.expr(bucket).alias("__several")).where("__several or hot is not null").select("key", "hot", "sig", "n")
+    return entries.select("*", F.expr(bucket).alias("__several")).where("__several or hot is not null").drop("__several")
 
 
 def _fits(a: str, b: str) -> Column:
@@ -221,18 +222,24 @@ def hot_links(shared: DataFrame, docs: DataFrame, census: DataFrame, rounds: int
 
 
 def product_pairs(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Pairs of classes of different components whose overlap on leading columns reaches the bound of their sizes."""
-    rows = _with_component(shared.withColumn("bucket", F.coalesce("hot", "key")).select("bucket", "sig", "n").distinct(), roots)
+    """Pairs of classes of different components whose overlap on leading columns reaches the bound of their sizes.
+
+    Overlaps are accumulated over rare columns; what frequent ones could add is counted in full. A frequent column is
+    multiplied only where it can be the first that a linking pair shares: all the overlap then lies from there on, so at
+    least that many columns follow in either."""
+    rows = shared.withColumn("bucket", F.coalesce("hot", "key")).withColumn("rare", F.col("hot").isNull()).select("bucket", "sig", "n", "pos", "often", "rare").distinct()
+    rows = _with_component(rows, roots)
     rows = stored(rows.join(_several(rows, F.col("bucket")).select("bucket"), "bucket", "left_semi"), "product")
-    right = rows.select("bucket", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("comp").alias("d"))
-    met = rows.withColumnRenamed("sig", "a").join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("d")) & _fits("n", "m"))
-    counted = met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"))
+    right = rows.select("bucket", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("comp").alias("d"), F.col("pos").alias("place"), F.col("often").alias("as_often"))
     overlap = F.ceil((F.col("n") + F.col("m")) * 75 / F.lit(175))
+    first = F.col("rare") | ((F.col("n") - F.col("pos") >= overlap) & (F.col("m") - F.col("place") >= overlap))
+    met = rows.withColumnRenamed("sig", "a").join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("d")) & _fits("n", "m") & first)
+    counted = met.groupBy("a", "b", "n", "m", "often", "as_often").agg(F.sum(F.col("rare").cast("int")).alias("c"))
 
     def bound(n: str) -> Column:
         return F.col(n) - F.ceil(F.col(n) * 75 / F.lit(100)) + 1 - (F.col(n) - overlap)
 
-    return counted.where(F.col("c") >= F.least(bound("n"), bound("m"))).select("a", "b")
+    return counted.where(F.col("c") + F.least("often", "as_often") >= F.least(bound("n"), bound("m"))).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, least_frequent: int = 48, most_frequent: int = 1_000_000) -> DataFrame:
