@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +99,25 @@ def texts(batch: pa.RecordBatch, column: str) -> Iterator[str | None]:
         yield from col.slice(at, 256).to_pylist()
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def releasing(task: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """The task function, which hands freed memory back to the system when it ends: workers are used again, and what one
+    task had at its peak would else count against the next."""
+
+    @functools.wraps(task)
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+                trim(0)
+
+    return run
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of ``edges (a long, b long)``: ``(node, root)``, root the smallest node reachable.
 

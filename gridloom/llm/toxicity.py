@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gridloom.llm.common import texts
+from gridloom.llm.common import releasing, texts
 
 STEMS = (3, 4, 5)
 THRESHOLD = 0.7
@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled:
             yield pa.RecordBatch.from_arrays([b.column("positive"), b.column("free"), pa.array([sorted(words(t)) for t in texts(b, "text")], pa.list_(pa.string()))], names=["positive", "free", "words"])
 
     sample = slim.join(picked, "doc_id", "left").select("text", F.coalesce("__positive", F.lit(False)).alias("positive"), free.alias("free")).where("positive or free")
-    rows = sample.mapInArrow(split, "positive boolean, free boolean, words array<string>").collect()
+    rows = sample.mapInArrow(releasing(split), "positive boolean, free boolean, words array<string>").collect()
     return fit([r.words for r in rows if r.positive], [r.words for r in rows if r.free], toxic / n)
 
 
@@ -163,7 +163,7 @@ def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
         for b in batches:
             yield b.append_column(column, pa.array([sent.value.score(t) for t in texts(b, "text")], pa.float64()))
 
-    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
+    return docs.mapInArrow(releasing(score), StructType([*docs.schema.fields, StructField(column, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: int = 4000) -> DataFrame:
