@@ -1,0 +1 @@
+"""Spark-native analytics over named, typed, ordered sheets."""
