@@ -33,6 +33,7 @@ from gridloom.llm.common import ascii_words, components, mix, releasing, stored,
 
 WIDTH = 5
 SALTS = 16
+SKETCH_BITS = 1024
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -47,6 +48,13 @@ def class_of(shingles: np.ndarray) -> int:
     return int(h >> np.uint64(1))
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each shingle, by its hash, out of ``SKETCH_BITS``; bits that one set has alone are shingles it has alone."""
+    bits = np.zeros(SKETCH_BITS, bool)
+    bits[(shingles >> np.uint64(7)) % np.uint64(SKETCH_BITS)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def leading(n: int) -> int:
     """Columns that must be emitted for a set of size n: a partner shares at least ceil(75 n / 100)."""
     return n - -(-75 * n // 100) + 1
@@ -111,16 +119,22 @@ def _contains(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
 def blocks(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """``key, hot, sig, n, pos, often``: the leading columns of each class. ``key`` is the column, salted where it is
     frequent, ``hot`` the frequent column itself, ``pos`` the column's place in the class's order and ``often`` the number
-    of its frequent leading columns. A task skips classes it has met; what others repeat changes nothing."""
+    of its frequent leading columns. A class with frequent ones has one more row, with its ``sketch``. A task skips classes
+    it has met; what others repeat changes nothing."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = sent.value
         met: set[int] = set()
 
-        def out(parts: list[tuple]) -> pa.RecordBatch:
+        def out(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+            names, none = ["key", "hot", "sig", "n", "pos", "often", "sketch"], pa.list_(pa.int64())
             key, hot, sig, n, pos, often = (np.concatenate(c) for c in zip(*[p[:2] + (np.full(len(p[0]), p[2]), np.full(len(p[0]), p[3]), np.arange(len(p[0])), np.full(len(p[0]), p[4])) for p in parts], strict=True))
-            return pa.RecordBatch.from_arrays([_long(key), pa.array(hot.view(np.int64), mask=hot == 0), pa.array(sig, pa.int64()), *(pa.array(x, pa.int32()) for x in (n, pos, often))], names=["key", "hot", "sig", "n", "pos", "often"])
+            yield pa.RecordBatch.from_arrays([_long(key), pa.array(hot.view(np.int64), mask=hot == 0), pa.array(sig, pa.int64()), *(pa.array(x, pa.int32()) for x in (n, pos, often)), pa.nulls(len(key), none)], names=names)
+            if drawn := [(p[2], p[3], p[5]) for p in parts if p[4]]:
+                sigs, sizes, sketches = zip(*drawn, strict=True)
+                own, empty = pa.array(sigs, pa.int64()), pa.nulls(len(sigs), pa.int32())
+                yield pa.RecordBatch.from_arrays([own, pa.nulls(len(sigs), pa.int64()), own, pa.array(sizes, pa.int32()), empty, empty, pa.array(sketches, none)], names=names)
 
         for b in batches:
             parts, rows = [], 0
@@ -136,21 +150,21 @@ def blocks(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 hot = s[f][: leading(len(s)) - len(rare)]
                 with np.errstate(over="ignore"):
                     salted = mix(hot + np.uint64(sig % SALTS) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-                parts.append((np.concatenate([rare, salted]), np.concatenate([np.zeros(len(rare), np.uint64), hot]), sig, len(s), len(hot)))
+                parts.append((np.concatenate([rare, salted]), np.concatenate([np.zeros(len(rare), np.uint64), hot]), sig, len(s), len(hot), sketch(s) if len(hot) else None))
                 rows += len(rare) + len(hot)
                 if rows > 200_000:
-                    yield out(parts)
+                    yield from out(parts)
                     parts, rows = [], 0
             if parts:
-                yield out(parts)
+                yield from out(parts)
 
-    return docs.select("text").mapInArrow(releasing(emit), "key long, hot long, sig long, n int, pos int, often int")
+    return docs.select("text").mapInArrow(releasing(emit), "key long, hot long, sig long, n int, pos int, often int, sketch array<long>")
 
 
 def _shared(entries: DataFrame) -> DataFrame:
-    """Entries of columns that at least two classes have, and all of frequent columns."""
+    """Entries of columns that at least two classes have, all of frequent columns, and the sketches."""
     bucket = "min(sig) over (partition by key) <> max(sig) over (partition by key)"
-    return entries.select("*", F.expr(bucket).alias("__several")).where("__several or hot is not null").drop("__several")
+    return entries.select("*", F.expr(bucket).alias("__several")).where("__several or hot is not null or sketch is not null").drop("__several")
 
 
 def _fits(a: str, b: str) -> Column:
@@ -158,6 +172,20 @@ def _fits(a: str, b: str) -> Column:
     return (F.col(a) * 100 >= F.col(b) * 75) & (F.col(b) * 100 >= F.col(a) * 75)
 
 
+def plausible(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    """Those of ``pairs (a, b)`` whose sketches don't rule a link out: a set of n has at most n less the bits it has alone
+    in common with the other. Classes without a sketch stay."""
+    sketches = shared.where("sketch is not null").select("sig", "n", "sketch").dropDuplicates(["sig"])
+    both = pairs.join(sketches.toDF("a", "n", "x"), "a", "left").join(sketches.toDF("b", "m", "y"), "b", "left")
+
+    def alone(x: str, y: str) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, c: t + c)
+
+    overlap = F.ceil((F.col("n") + F.col("m")) * 75 / F.lit(175))
+    enough = (F.col("n") - alone("x", "y") >= overlap) & (F.col("m") - alone("y", "x") >= overlap)
+    return both.where(F.coalesce(enough, F.lit(True))).select("a", "b")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, census: DataFrame, small: int = 500_000) -> DataFrame:
     """Those of ``pairs (a, b)`` of classes whose whole sets link. Each class is read from one of its documents; their
     ids are broadcast where they are at most ``small``, and else joined by shuffle."""
@@ -213,7 +241,7 @@ def hot_links(shared: DataFrame, docs: DataFrame, census: DataFrame, rounds: int
         star = now.join(drawn.select("key", "p"), "key").select(F.col("p.sig").alias("a"), "p.n", "p.comp", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("comp").alias("d"))
         top = drawn.join(first, "hot").select(F.col("q.sig").alias("a"), "q.n", "q.comp", F.col("p.sig").alias("b"), F.col("p.n").alias("m"), F.col("p.comp").alias("d"))
         pairs = star.unionByName(top).where((F.col("comp") != F.col("d")) & _fits("n", "m")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = verified(pairs, docs, census)
+        found = verified(plausible(pairs, shared), docs, census)
         if not found.head(1):
             break
         edges = found if edges is None else edges.unionByName(found)
@@ -227,7 +255,7 @@ def product_pairs(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
     Overlaps are accumulated over rare columns; what frequent ones could add is counted in full. A frequent column is
     multiplied only where it can be the first that a linking pair shares: all the overlap then lies from there on, so at
     least that many columns follow in either."""
-    rows = shared.withColumn("bucket", F.coalesce("hot", "key")).withColumn("rare", F.col("hot").isNull()).select("bucket", "sig", "n", "pos", "often", "rare").distinct()
+    rows = shared.where("sketch is null").withColumn("bucket", F.coalesce("hot", "key")).withColumn("rare", F.col("hot").isNull()).select("bucket", "sig", "n", "pos", "often", "rare").distinct()
     rows = _with_component(rows, roots)
     rows = stored(rows.join(_several(rows, F.col("bucket")).select("bucket"), "bucket", "left_semi"), "product")
     right = rows.select("bucket", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("comp").alias("d"), F.col("pos").alias("place"), F.col("often").alias("as_often"))
@@ -252,7 +280,7 @@ def jaccard_components(docs: DataFrame, least_frequent: int = 48, most_frequent:
     frequent = frequent_columns(seen.where("h is not null").select("h", "c"), least_frequent, most_frequent)
     shared = stored(_shared(blocks(slim, frequent)), "shared")
     edges, roots = hot_links(shared, slim, census)
-    rest = verified(product_pairs(shared, roots), slim, census)
+    rest = verified(plausible(product_pairs(shared, roots), shared), slim, census)
     edges = rest if edges is None else edges.unionByName(rest)
     classes = census.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("low"))
     joined = classes.join(components(edges).withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
