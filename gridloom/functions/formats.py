@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,18 +14,15 @@ DIRECTIVES = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%-m": "M", "%d": "dd", "%-d
 
 
 def date_pattern(format_: str) -> str:
-    """A strftime format as a pattern for ``date_format``."""
-    out, at = "", 0
-    while at < len(format_):
-        key = next((k for k in (format_[at : at + 3], format_[at : at + 2]) if k in DIRECTIVES), None)
-        if key:
-            out, at = out + DIRECTIVES[key], at + len(key)
-        elif format_.startswith("%%", at):
-            out, at = out + "%", at + 2
-        else:
-            c = format_[at]
-            out, at = out + ("''" if c == "'" else f"'{c}'" if c.isalpha() else c), at + 1
-    return out.replace("''", "''")
+    """A strftime format as a pattern for ``date_format``; text between directives is quoted."""
+    out = []
+    for part in re.split(r"(%-?[A-Za-z%])", format_):
+        if part in DIRECTIVES:
+            out.append(DIRECTIVES[part])
+        elif part:
+            text = "%" if part == "%%" else part
+            out.append("'" + text.replace("'", "''") + "'")
+    return "".join(out)
 
 
 def show_date(x: ColumnOrName, format_: str) -> Column:

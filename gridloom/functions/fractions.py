@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridloom.functions.logic import ColumnOrName, col
+from gridloom.functions.logic import ColumnOrName, col, let
 
 WIDE = "decimal(38,0)"
 NARROW = "decimal(18,0)"
@@ -23,11 +23,18 @@ def _gcd(a: Column, b: Column) -> Column:
 
 
 def fraction(num: ColumnOrName, den: ColumnOrName) -> Column:
-    n, d = col(num).cast(WIDE), col(den).cast(WIDE)
-    g = _gcd(n, d)
-    s = F.when(d < 0, -1).otherwise(1)
-    part = lambda x: F.try_divide(x, g).cast(WIDE) * s
-    return F.when(n.isNotNull() & (d != 0), F.struct(part(n).cast(WIDE).alias("num"), part(d).cast(WIDE).alias("den")))
+    def reduced(n: Column, d: Column) -> Column:
+        return let(lambda n, d, g: F.struct((_part(n, g) * _sign(d)).cast(WIDE).alias("num"), (_part(d, g) * _sign(d)).cast(WIDE).alias("den")), n, d, _gcd(n, d))
+
+    return let(lambda n, d: F.when(n.isNotNull() & (d != 0), reduced(n, d)), col(num).cast(WIDE), col(den).cast(WIDE))
+
+
+def _part(x: Column, g: Column) -> Column:
+    return F.try_divide(x, g).cast(WIDE)
+
+
+def _sign(d: Column) -> Column:
+    return F.when(d < 0, -1).otherwise(1)
 
 
 def whole(x: ColumnOrName) -> Column:

@@ -6,6 +6,7 @@ A missing value gives a missing answer, but for Kleene ``and``/``or``, the tests
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,6 +19,13 @@ def col(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(f: Callable[..., Column], *values: Column) -> Column:
+    """``f(*values)`` with each value worked out once: a value that f reads several times is not repeated in the plan, so
+    nested calls stay as long as they are written."""
+    row = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return F.transform(F.array(row), lambda r: f(*[r[f"v{i}"] for i in range(len(values))]))[0]
+
+
 def if_else(condition: Column, then: Column, otherwise: Column) -> Column:
     """Null where the condition is."""
     return F.when(condition, then).when(~condition, otherwise)

@@ -6,13 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gridloom.functions.arithmetic import divide
-from gridloom.functions.logic import ColumnOrName, col
+from gridloom.functions.logic import ColumnOrName, col, let
 
 
 def measured(value: ColumnOrName, sigma: ColumnOrName) -> Column:
     """``value ± sigma``."""
-    v, s = col(value).cast("double"), col(sigma).cast("double")
-    return F.when(v.isNotNull() & s.isNotNull(), F.struct(v.alias("value"), s.alias("sigma")))
+    made = lambda v, s: F.when(v.isNotNull() & s.isNotNull(), F.struct(v.alias("value"), s.alias("sigma")))
+    return let(made, col(value).cast("double"), col(sigma).cast("double"))
 
 
 def certain(x: ColumnOrName) -> Column:

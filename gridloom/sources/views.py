@@ -104,7 +104,8 @@ def _cell(text: str) -> str | None:
 
 def inline(spark: SparkSession, table: str, types: dict[str, str] | None = None) -> DataFrame:
     """A small Markdown table with ``__row``; columns are text unless ``types`` casts them."""
-    lines = [ln.strip().strip("|") for ln in table.strip().splitlines()]
+    framed = table.strip().startswith("|")
+    lines = [ln.strip().strip("|") if framed else ln for ln in table.strip().splitlines()]
     lines = [ln for ln in lines if not re.fullmatch(r"[\s|:-]*-[\s|:-]*", ln)]
     names = [c.strip() for c in lines[0].split("|")]
     rows = [(i, *(_cell(c) for c in (ln.split("|") + [""] * len(names))[: len(names)])) for i, ln in enumerate(lines[1:])]
