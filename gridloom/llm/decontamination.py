@@ -1,6 +1,6 @@
 """Benchmark decontamination by greedy string tiling.
 
-Tokens are runs of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased, so punctuation and line breaks do not
+Tokens are runs of ASCII letters, digits and non-ASCII characters in lower case, so punctuation and line breaks do not
 hide a match. A document and a test item that share a window of ``min_tile`` tokens are compared: the longest common
 unmarked run is found by Karp-Rabin windows of a searched length, marked in both, and so on down to ``min_tile``. The
 share of the item's tokens under tiles decides, so passages whose sentences have been put in another order count.
@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import releasing, texts, window_hashes, word_hashes
 
-_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if chr(c).isascii() and chr(c).isalnum() or c >= 128 else 32 for c in range(256))
+_TABLE = bytes(c if chr(c).isascii() and chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
 def tokens(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
+    return text.lower().encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
 
 
 def _clear(mark: np.ndarray, k: int) -> np.ndarray:

@@ -109,7 +109,7 @@ def battery(run: str, kind: str) -> tuple[float, float, float]:
         share, part = np.array([26, 26, 10, 2]) / 64, np.searchsorted([26, 52, 62], v, side="right")
     else:
         parts = min(k, max(2, n // 5))
-        share, part = np.full(parts, 1 / parts), (v * parts // k).astype(int)
+        share, part = np.bincount(np.arange(k) * parts // k, minlength=parts) / k, (v * parts // k).astype(int)
     seen = np.bincount(part.astype(int), minlength=len(share))
     uniform = _chi_tail(float(((seen - n * share) ** 2 / (n * share)).sum()), len(share) - 1)
     # Repeats of single symbols: too many for the alphabet's size speak against it.

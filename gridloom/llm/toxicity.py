@@ -2,13 +2,15 @@
 
 A linear model over words and word stems is trained in numpy from confirmed toxic texts and unlabelled ones with the
 class-prior-corrected risk of Kiryo et al. (2017): prior * loss(positive, 1) + max(0, loss(unlabelled, 0) - prior *
-loss(positive, 0)); where the part in max() falls below zero, the step goes against it. Only features that are far more
-frequent in positives than in unlabelled text get a weight, so the length of a text has no pull on its score.
+loss(positive, 0)); where the part in max() would fall below zero, only the positives move the weights. Only features
+that are far more frequent in positives than in unlabelled text get a weight, none of them below zero, so the length of a
+text has no pull on its score.
 
 Labels are read from rows whose crc32(doc_id as text) mod 3 is not 1; the others are held out. The fit uses at most
 ``positives`` and ``unlabelled`` texts (documented bounds, chosen by a hash of the id); class prior and scores cover all
 rows. Null and empty texts get the score of a text without features; a document labelled twice counts as toxic if one
-label says so, null labels are ignored; without positives each score is 0; repeated rows count each; an empty table
+label says so, null labels are ignored; without positives each score is 0, and without features that tell them apart no
+text is called toxic; repeated rows count each; an empty table
 gives no rows. Language, source, id and labels are no inputs of a score; further columns are not read.
 """
 
@@ -30,6 +32,7 @@ from gridloom.llm.common import releasing, texts
 
 STEMS = (3, 4, 5)
 THRESHOLD = 0.7
+RAREST = 0.02  # share of the positive texts that a feature must be in
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -78,7 +81,7 @@ def without_copies(docs: list[list[str]]) -> list[list[str]]:
     return list(first.values())
 
 
-def fit(positive: list[list[str]], unlabelled: list[list[str]], prior: float, steps: int = 400, rate: float = 0.1, decay: float = 2e-4) -> Model:
+def fit(positive: list[list[str]], unlabelled: list[list[str]], prior: float, steps: int = 400, rate: float = 0.1, decay: float = 2e-3) -> Model:
     """Trains on lists of distinct words."""
     if not positive or not unlabelled or not prior:
         return Model({}, -500.0)
@@ -91,7 +94,7 @@ def fit(positive: list[list[str]], unlabelled: list[list[str]], prior: float, st
     least = 1 + math.log(1 + sum(n >= 4 for n in seen[0].values()))
     for f, n in seen[0].items():
         want = len(positive) * (seen[1][f] + 0.5) / len(unlabelled)
-        if n >= max(4, ratio * want) and n * math.log(n / want) - n + want >= least:
+        if n >= max(4, RAREST * len(positive), ratio * want) and n * math.log(n / want) - n + want >= least:
             chosen.append(f)
     chosen.sort()
     index = {f: i for i, f in enumerate(chosen)}
@@ -109,16 +112,19 @@ def fit(positive: list[list[str]], unlabelled: list[list[str]], prior: float, st
         loss = lambda z: np.logaddexp(0, z).mean()  # noqa: E731  of label 0
         negative = loss(zu) - prior * loss(zp)
         low = gradient(ur, uc, sigmoid(zu)) - prior * gradient(pr, pc, sigmoid(zp))
-        g = prior * gradient(pr, pc, sigmoid(zp) - 1) + low if negative >= 0 else -low
+        g = prior * gradient(pr, pc, sigmoid(zp) - 1) + (low if negative >= 0 else 0)
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w[:-1] = np.maximum(w[:-1], 0)  # the features speak for label 1
     # The threshold goes where recall^2 / share called toxic is best (Lee and Liu, 2003), midway to the next lower sum.
     zp, zu = np.sort(np.bincount(pr, w[pc], len(positive))), np.sort(np.bincount(ur, w[uc], len(unlabelled)))
     cuts = np.unique(np.concatenate([zp, zu]))
     above = lambda z: 1 - np.searchsorted(z, cuts) / len(z)
-    best = int(np.argmax(above(zp) ** 2 / np.maximum(above(zu), 1 / len(zu))))
-    middle = (cuts[best] + cuts[best - 1]) / 2 if best else cuts[0] - 1
+    worth = above(zp) ** 2 / np.maximum(above(zu), 1 / len(zu))
+    best = int(np.argmax(worth))
+    # Calling all texts toxic is worth 1: a model that does no better calls none so.
+    middle = (cuts[best] + cuts[best - 1]) / 2 if best and worth[best] > 1.05 else cuts[-1] + 1
     return Model(dict(zip(chosen, w[:-1].tolist(), strict=True)), math.log(THRESHOLD / (1 - THRESHOLD)) - float(middle))
 
 
