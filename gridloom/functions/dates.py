@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,15 @@ from gridloom.functions.logic import ColumnOrName, col
 DAY_NANOS = 86_400_000_000_000
 
 
+def today(on: datetime.date | None = None) -> Column:
+    """The date as a literal of the plan, so that all tasks and retries see the same; ``on`` stands in for the clock."""
+    return F.lit(on or datetime.datetime.now(datetime.UTC).date())
+
+
+def now(at: datetime.datetime | None = None) -> Column:
+    return F.lit((at or datetime.datetime.now(datetime.UTC)).replace(tzinfo=None)).cast("timestamp_ntz")
+
+
 def year(x: ColumnOrName) -> Column:
     return F.year(col(x)).cast("bigint")
 

@@ -193,6 +193,15 @@ def quantity(value: Column, name: str) -> Quantity:
     return Quantity(value.cast("double"), unit(name))
 
 
+def scaled(number: float, prefix: str) -> int | float:
+    """``1.5k.``: a prefix on its own as a number."""
+    if prefix in BINARY:
+        return number * 1024 ** BINARY[prefix]
+    power = PREFIXES[prefix]
+    out = number * 10**power if power >= 0 else number / 10**-power
+    return int(out) if power >= 0 and out == int(out) else out
+
+
 def dms(q: Quantity, places: int = 0) -> Column:
     """``45°30′0″``."""
     seconds = F.round(F.abs(q.to("°").value) * 3600, places)

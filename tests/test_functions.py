@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import aggregates as A
 from gridloom.functions import arithmetic as Ar
 from gridloom.functions import complexes as C
-from gridloom.functions import convert, dates, formats, fractions, logic, maths, quantities, sequences, text
+from gridloom.functions import convert, dates, formats, fractions, logic, maths, quantities, sequences, text, vectors
 from gridloom.functions import uncertain as U
 from gridloom.operators import lookups, prefix, quantiles
 from gridloom.operators.order import file_rows, number_rows
@@ -314,3 +314,27 @@ def test_bands_by_broadcast_and_by_cells_agree(spark):
 def test_rolling_std_of_one_is_null(spark):
     df = spark.createDataFrame([(0, 1.0), (1, 2.0)], "__row long, x double")
     assert [r[0] for r in df.select(rolling_std("x", 1, in_order())).collect()] == [None, None]
+
+
+def test_vectors(spark):
+    v, w = vectors.vector(3, 1, 2), vectors.vector(10, 20, 30)
+    got = lambda c: value(spark, c)
+    assert got(vectors.each(v, lambda x: x * 2)) == [6, 2, 4]
+    assert got(vectors.both(v, w, lambda x, y: x + y)) == [13, 21, 32]
+    assert (got(vectors.at(v, 0)), got(vectors.at(v, -1))) == (3, 2)
+    assert got(vectors.between(v, 1, 9)) == [1, 2]
+    assert got(vectors.sort(v)) == [1, 2, 3] and got(vectors.sort(v, desc=True)) == [3, 2, 1]
+    assert got(vectors.whole_range(F.lit(1), F.lit(4), without_high=True)) == [1, 2, 3] and got(vectors.whole_range(F.lit(4), F.lit(1))) == []
+    assert got(vectors.head(v, 2)) == [3, 1] and got(vectors.tail(v, 2)) == [1, 2] and got(vectors.tail(v, 9)) == [3, 1, 2]
+    n = vectors.vector(1.0, None, 2.5)
+    assert (got(vectors.total(n)), got(vectors.length(n)), got(vectors.count(n))) == (3.5, 3, 2)
+    with pytest.raises(Exception, match="different lengths"):
+        got(vectors.both(v, vectors.vector(1), lambda x, y: x + y))
+    with pytest.raises(Exception, match="INVALID_ARRAY_INDEX"):
+        got(vectors.at(v, 3))
+
+
+def test_clock_and_scales(spark):
+    assert value(spark, dates.today(datetime.date(2025, 1, 31))) == datetime.date(2025, 1, 31)
+    assert value(spark, dates.now(datetime.datetime(2025, 1, 31, 9))) == datetime.datetime(2025, 1, 31, 9)
+    assert (quantities.scaled(1.5, "k"), quantities.scaled(1, "Ki"), quantities.scaled(5, "m")) == (1500, 1024, 0.005)
