@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from gridloom.llm.common import components, stored, unstore
 
@@ -114,8 +115,7 @@ def _usable(column: str) -> str:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    flat = column.flatten() if hasattr(column, "flatten") else column.values
-    return flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
 def index(classes: DataFrame, quantiser: Quantiser, dim: int, reach: float) -> DataFrame:
@@ -129,13 +129,14 @@ def index(classes: DataFrame, quantiser: Quantiser, dim: int, reach: float) -> D
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
-                x = unit(_matrix(part.column("embedding"), dim))
+                raw = _matrix(part.column("embedding"), dim)
+                x = unit(raw)
                 near = _nearest(x, c)
                 codes, miss = q.encode(x, near)
                 row, lst = np.nonzero(q.probes(x, near, reach, gaps))
                 bounds = np.searchsorted(row, np.arange(len(x) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), part.column("copies"), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(near.astype(np.int32)), pa.array([v.tobytes() for v in codes], pa.binary()), pa.array(miss), pa.ListArray.from_arrays(pa.array(bounds), pa.array(lst.astype(np.int32)))],
+                    [part.column("node"), part.column("copies"), pa.array([v.tobytes() for v in raw], pa.binary()), pa.array(near.astype(np.int32)), pa.array([v.tobytes() for v in codes], pa.binary()), pa.array(miss), pa.ListArray.from_arrays(pa.array(bounds), pa.array(lst.astype(np.int32)))],
                     names=["node", "copies", "vec", "list", "codes", "miss", "probes"],
                 )
 
@@ -155,16 +156,16 @@ def _spanning(hits: np.ndarray, labels: np.ndarray) -> np.ndarray:
         labels = to[new]
 
 
-def compare(rows: pd.DataFrame, quantiser: Quantiser, lst: int, cosine: float, step: int = 256) -> pd.DataFrame:
+def compare(rows: pd.DataFrame, quantiser: Quantiser, lst: int, cosine: float, kind: str, step: int = 256) -> pd.DataFrame:
     """``node, links, root`` of a part of a list and a block of classes that probe it: the copies linked with each
-    prober, and edges of a spanning forest."""
+    prober, and edges of a spanning forest. ``kind``: the number format of the vectors' bytes."""
     own = rows["codes"].notna().to_numpy()
     listed, asking = rows[own], rows[~own]
     nodes, copies, asks = listed["node"].to_numpy(), listed["copies"].to_numpy(), asking["node"].to_numpy()
     if not len(nodes) or not len(asks):
         return pd.DataFrame({"node": [], "links": [], "root": []}).astype("int64")
-    x = np.frombuffer(b"".join(listed["vec"]), np.float64).reshape(len(nodes), -1)
-    q = np.frombuffer(b"".join(asking["vec"]), np.float64).reshape(len(asks), -1)
+    x = unit(np.frombuffer(b"".join(listed["vec"]), kind).reshape(len(nodes), -1))
+    q = unit(np.frombuffer(b"".join(asking["vec"]), kind).reshape(len(asks), -1))
     codes = np.frombuffer(b"".join(listed["codes"]), np.uint8).reshape(len(nodes), -1)
     near = (np.sqrt(max(0.0, 2 - 2 * cosine)) + listed["miss"].to_numpy()) ** 2 + 1e-6
     labels, first = np.arange(len(nodes)), np.full(len(asks), -1)
@@ -192,7 +193,7 @@ def compare(rows: pd.DataFrame, quantiser: Quantiser, lst: int, cosine: float, s
     return pd.DataFrame({"node": out_node, "links": np.concatenate([links[linked], np.zeros(len(met), np.int64)]), "root": out_root})
 
 
-def _links(indexed: DataFrame, quantiser: Quantiser, cosine: float, block: int) -> DataFrame:
+def _links(indexed: DataFrame, quantiser: Quantiser, cosine: float, block: int, kind: str) -> DataFrame:
     """``node, links, root`` found between the classes of ``indexed`` and the lists they probe."""
     spark = indexed.sparkSession
     # At most a row for each list, and the lists are bounded.
@@ -208,7 +209,7 @@ def _links(indexed: DataFrame, quantiser: Quantiser, cosine: float, block: int)
     sent = spark.sparkContext.broadcast(quantiser)
 
     def met(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return compare(rows, sent.value, int(key[0]), cosine)
+        return compare(rows, sent.value, int(key[0]), cosine, kind)
 
     return listed.unionByName(probing).groupBy("list", "part", "block").applyInPandas(met, "node long, links long, root long")
 
@@ -218,6 +219,7 @@ def near_vectors(table: DataFrame, cosine: float = 0.95, spread: float = 3.5, pe
     slim = table.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(-1)).alias("vec_id"), "embedding")
     rows = slim.withColumn("node", F.when(F.expr(_usable("embedding")), F.xxhash64("embedding")))
     grouped = rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+    kind = "<f4" if isinstance(table.schema["embedding"].dataType.elementType, FloatType) else "<f8"
     classes = stored(grouped.withColumn("dim", F.size("embedding")), "vectors")
     found = None
     for dim, n in classes.groupBy("dim").count().collect():
@@ -229,7 +231,7 @@ def near_vectors(table: DataFrame, cosine: float = 0.95, spread: float = 3.5, pe
         learnt = unit(learnt) if len(learnt) else unit(np.ones((1, dim)))
         quantiser = Quantiser.fit(learnt, lists)
         indexed = stored(index(some, quantiser, dim, reach_of(cosine, dim, spread)), "index")
-        got = _links(indexed, quantiser, cosine, block)
+        got = _links(indexed, quantiser, cosine, block, kind)
         found = got if found is None else found.unionByName(got)
     if found is None:
         return slim.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
