@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -118,6 +119,18 @@ def releasing(task: Callable[[Batches], Batches]) -> Callable[[Batches], Batches
     return run
 
 
+#: Texts vary in length, so batches are kept small; settings of the session come first.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def mapped(df: DataFrame, task: Callable[[Batches], Batches], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` with batches of bounded size, in tasks that hand their memory back."""
+    for key, value in _BATCHES.items():
+        if df.sparkSession.conf.get(key, None) is None:
+            df.sparkSession.conf.set(key, value)
+    return df.mapInArrow(releasing(task), schema)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of ``edges (a long, b long)``: ``(node, root)``, root the smallest node reachable.
 

@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import releasing, texts, window_hashes, word_hashes
+from gridloom.llm.common import mapped, texts, window_hashes, word_hashes
 
 _TABLE = bytes(c if chr(c).isascii() and chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -132,7 +132,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_tile: int = 4, cover
                 types = [pa.int64()] * 5 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "item_tokens", "covered", "tiles", "coverage"])
 
-        return sources.mapInArrow(releasing(find), "doc_id long, item_id long, item_tokens long, covered long, tiles long, coverage double")
+        return mapped(sources, find, "doc_id long, item_id long, item_tokens long, covered long, tiles long, coverage double")
 
     return reduce(DataFrame.unionByName, map(meet, _blocks(docs, benchmark, block_bytes)))
 
@@ -146,6 +146,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, min_tile: int = 4, cov
             for b in batches:
                 yield b.filter(pa.array([not block.matches(t) for t in texts(b, "text")], pa.bool_()))
 
-        return kept.mapInArrow(releasing(clean), kept.schema)
+        return mapped(kept, clean, kept.schema)
 
     return reduce(rest, _blocks(docs, benchmark, block_bytes), docs)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import ascii_words, components, mix, releasing, stored, texts, unstore, window_hashes, word_hashes
+from gridloom.llm.common import ascii_words, components, mapped, mix, stored, texts, unstore, window_hashes, word_hashes
 
 WIDTH = 5
 SALTS = 16
@@ -158,7 +158,7 @@ def blocks(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             if parts:
                 yield from out(parts)
 
-    return docs.select("text").mapInArrow(releasing(emit), "key long, hot long, sig long, n int, pos int, often int, sketch array<long>")
+    return mapped(docs.select("text"), emit, "key long, hot long, sig long, n int, pos int, often int, sketch array<long>")
 
 
 def _shared(entries: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def verified(pairs: DataFrame, docs: DataFrame, census: DataFrame, small: int =
                     sets.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["sig", "shingles"])
 
-    sets = stored(docs.join(wanted, "doc_id").select("sig", "text").mapInArrow(releasing(spread), "sig long, shingles array<long>").dropDuplicates(["sig"]), "sets")
+    sets = stored(mapped(docs.join(wanted, "doc_id").select("sig", "text"), spread, "sig long, shingles array<long>").dropDuplicates(["sig"]), "sets")
     both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b")
     common = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("o"))
     edges = stored(common.where("100 * o >= 75 * (m + n - o)").select("a", "b"), "edges")
@@ -275,7 +275,7 @@ def jaccard_components(docs: DataFrame, least_frequent: int = 48, most_frequent:
     all documents of a component, null without words."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hashed = slim.withColumn("text_hash", F.xxhash64("text"))
-    seen = stored(hashed.mapInArrow(releasing(_census), "doc_id long, text_hash long, sig long, n long, h long, c long"), "census")
+    seen = stored(mapped(hashed, _census, "doc_id long, text_hash long, sig long, n long, h long, c long"), "census")
     census = seen.where("h is null").select("doc_id", "text_hash", "sig", "n")
     frequent = frequent_columns(seen.where("h is not null").select("h", "c"), least_frequent, most_frequent)
     shared = stored(_shared(blocks(slim, frequent)), "shared")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from gridloom.llm.common import releasing, stored, texts, unstore
+from gridloom.llm.common import mapped, stored, texts, unstore
 
 CAPACITY = 4096
 END_ID = 1
@@ -37,7 +37,7 @@ class _WordIds(dict):
     those of its chunks in a row, and a chunk that is one word and a full stop or comma has those of the two. Chunks of
     usual length are remembered, up to a fixed number; a single word goes straight to the vocabulary's merges."""
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -102,7 +102,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(releasing(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return mapped(slim, cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:

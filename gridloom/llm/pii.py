@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import releasing, texts
+from gridloom.llm.common import mapped, texts
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "id", "account")
@@ -312,7 +312,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
                 spans.append([{"kind": k, "start": s, "end": e} for k, s, e in y])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(base, _SPAN_TYPE), pa.array(spans, _SPAN_TYPE)], names=["doc_id", "base", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(releasing(find), f"doc_id long, base {_SPANS}, spans {_SPANS}")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), find, f"doc_id long, base {_SPANS}, spans {_SPANS}")
 
 
 def _masked(text: str | None, field: Field) -> str | None:
@@ -336,7 +336,7 @@ def redact(docs: DataFrame) -> DataFrame:
             done = pa.array([_masked(t, sent.value) for t in texts(b, "text")], b.schema.field(place).type)
             yield b.set_column(place, b.schema.field(place), done)
 
-    return docs.mapInArrow(releasing(mask), docs.schema)
+    return mapped(docs, mask, docs.schema)
 
 
 def span_text(column: str) -> Column:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stored, texts
+from gridloom.llm.common import mapped, stored, texts
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -212,7 +212,7 @@ def scan(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(base, pa.list_(_SPAN)), pa.array(found, pa.list_(_FOUND))], names=["doc_id", "base", "found"])
 
     schema = f"doc_id long, base {_SPANS}, found array<struct<start:int,end:int,band:int,cell:int>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, schema)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), find, schema)
 
 
 def least_cells(tally: dict[tuple[int, int], int], level: float) -> list[int]:

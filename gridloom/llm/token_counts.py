@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import texts
+from gridloom.llm.common import mapped, texts
 
 _COUNTERS: dict[str | None, Automaton] = {}
 
@@ -103,4 +103,4 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
                 tokens.append(sum(map(pieces.__getitem__, found)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, "doc_id long, n_words long, n_tokens long")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), count, "doc_id long, n_words long, n_tokens long")

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gridloom.llm.common import releasing, texts
+from gridloom.llm.common import mapped, mix, texts, word_hashes
 
 STEMS = (3, 4, 5)
 THRESHOLD = 0.7
@@ -73,15 +72,30 @@ def _matrix(docs: list[list[str]], index: dict[str, int]) -> tuple[np.ndarray, n
     return np.array(rows, np.int64), np.array(cols, np.int64)
 
 
-def without_copies(docs: list[list[str]]) -> list[list[str]]:
-    """One of each group of texts with the same three lowest word hashes, so copies don't pose as evidence."""
-    first: dict[tuple[int, ...], list[str]] = {}
-    for ws in docs:
-        first.setdefault(tuple(sorted(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in ws)[:3]), ws)
-    return list(first.values())
+def without_copies(docs: list[list[str]], bands: int = 8, rows: int = 3) -> list[list[str]]:
+    """One of each family of near copies, so copies don't pose as evidence: texts are of one family that share a band of
+    minimal word hashes, or are joined by such texts."""
+    factors = np.random.default_rng(1).integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    parent = list(range(len(docs)))
 
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
 
-def fit(positive: list[list[str]], unlabelled: list[list[str]], prior: float, steps: int = 400, rate: float = 0.1, decay: float = 2e-3) -> Model:
+    first: dict[tuple, int] = {}
+    for i, ws in enumerate(docs):
+        h = word_hashes([w.encode("utf-8", "surrogatepass") for w in ws])
+        with np.errstate(over="ignore"):
+            low = mix(h[None, :] * factors[:, None]).min(axis=1) if len(h) else factors * np.uint64(0)
+        for b in range(bands):
+            a, c = find(i), find(first.setdefault((b, *low[b * rows : (b + 1) * rows].tolist()), i))
+            parent[max(a, c)] = min(a, c)
+    return [ws for i, ws in enumerate(docs) if parent[i] == i]
+
+
+def fit(positive: list[list[str]], unlabelled: list[list[str]], prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-2) -> Model:
     """Trains on lists of distinct words."""
     if not positive or not unlabelled or not prior:
         return Model({}, -500.0)
@@ -117,14 +131,15 @@ def fit(positive: list[list[str]], unlabelled: list[list[str]], prior: float, st
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w[:-1] = np.maximum(w[:-1], 0)  # the features speak for label 1
-    # The threshold goes where recall^2 / share called toxic is best (Lee and Liu, 2003), midway to the next lower sum.
+    # The threshold goes where recall^2 / share called toxic is best (Lee and Liu, 2003), midway to the next lower sum, or
+    # to the model's own boundary where that is lower.
     zp, zu = np.sort(np.bincount(pr, w[pc], len(positive))), np.sort(np.bincount(ur, w[uc], len(unlabelled)))
     cuts = np.unique(np.concatenate([zp, zu]))
     above = lambda z: 1 - np.searchsorted(z, cuts) / len(z)
     worth = above(zp) ** 2 / np.maximum(above(zu), 1 / len(zu))
     best = int(np.argmax(worth))
     # Calling all texts toxic is worth 1: a model that does no better calls none so.
-    middle = (cuts[best] + cuts[best - 1]) / 2 if best and worth[best] > 1.05 else cuts[-1] + 1
+    middle = min((cuts[best] + cuts[best - 1]) / 2, -w[-1]) if best and worth[best] > 1.05 else cuts[-1] + 1
     return Model(dict(zip(chosen, w[:-1].tolist(), strict=True)), math.log(THRESHOLD / (1 - THRESHOLD)) - float(middle))
 
 
@@ -157,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled:
             yield pa.RecordBatch.from_arrays([b.column("positive"), b.column("free"), pa.array([sorted(words(t)) for t in texts(b, "text")], pa.list_(pa.string()))], names=["positive", "free", "words"])
 
     sample = slim.join(picked, "doc_id", "left").select("text", F.coalesce("__positive", F.lit(False)).alias("positive"), free.alias("free")).where("positive or free")
-    rows = sample.mapInArrow(releasing(split), "positive boolean, free boolean, words array<string>").collect()
+    rows = mapped(sample, split, "positive boolean, free boolean, words array<string>").collect()
     return fit([r.words for r in rows if r.positive], [r.words for r in rows if r.free], toxic / n)
 
 
@@ -169,7 +184,7 @@ def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
         for b in batches:
             yield b.append_column(column, pa.array([sent.value.score(t) for t in texts(b, "text")], pa.float64()))
 
-    return docs.mapInArrow(releasing(score), StructType([*docs.schema.fields, StructField(column, DoubleType())]))
+    return mapped(docs, score, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: int = 4000) -> DataFrame:

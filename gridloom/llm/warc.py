@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import scratch_path
+from gridloom.llm.common import mapped, scratch_path
 
 # Fixed values of the file formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -195,7 +195,7 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 16 << 20, le
             files += 1
         yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
 
-    described(pages).select("page_id", "url", "html", "refers_to").mapInArrow(write, "files long").agg(F.sum("files")).collect()
+    mapped(described(pages).select("page_id", "url", "html", "refers_to"), write, "files long").agg(F.sum("files")).collect()
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -232,7 +232,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "length")
     # Only names are read here; tasks stream the files, so dealing them out evenly costs nothing.
     count = max(1, min(spark.sparkContext.defaultParallelism * 4, files.count()))
-    return files.repartition(count).mapInArrow(read, schema)
+    return mapped(files.repartition(count), read, schema)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
