@@ -81,5 +81,30 @@ def op7_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_semi_markov_pii, op3_ngram_jaccard_join, op6_nnpu_toxicity, op7_product_quantisation, op8_randomness_secrets, op2_token_counts, op4_string_tiling, op5_feistel_shards, op9_best_fit_packing, op10_warc_zstd)}
 
-#: The whole of op10's result can be stated in SQL but for base32, which is spelt out digit by digit.
-ORACLE_SQL: dict[str, str] = {}
+_COMPONENTS = """both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(id, c) AS (SELECT id, id FROM ids UNION SELECT b.b, r.c FROM reached r JOIN both_ways b ON r.id = b.a),
+component AS (SELECT id, min(c) AS component_id FROM reached GROUP BY id)"""
+
+#: SQL for those whose whole result it can express; the others are tested against plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard_join": f"""WITH RECURSIVE words AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ids AS (SELECT id FROM words),
+grams AS (SELECT DISTINCT id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM words WHERE len(w) > 0),
+sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY id),
+met AS (SELECT x.id AS a, y.id AS b, count(*) AS o FROM grams x JOIN grams y ON x.g = y.g AND x.id < y.id GROUP BY ALL),
+links AS (SELECT a, b FROM met JOIN sizes x ON a = x.id JOIN sizes y ON b = y.id WHERE 100 * o >= 75 * (x.n + y.n - o)),
+{_COMPONENTS}
+SELECT ids.id AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM ids JOIN component USING (id) LEFT JOIN sizes USING (id)""",
+    "op7_product_quantisation": f"""WITH RECURSIVE ids AS (SELECT vec_id AS id FROM embeddings),
+v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+links AS (SELECT p.id AS a, q.id AS b FROM v p JOIN v q ON p.id < q.id AND len(p.x) = len(q.x) WHERE list_cosine_similarity(p.x, q.x) >= 0.95),
+{_COMPONENTS},
+counts AS (SELECT a AS id, count(*) AS n FROM both_ways GROUP BY a)
+SELECT ids.id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, component_id = ids.id AS kept FROM ids JOIN component USING (id) LEFT JOIN counts USING (id)""",
+    # Base 32 digits come four at a time from each five hexadecimal ones.
+    "op10_warc_zstd": """WITH p AS (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS original FROM pages),
+d AS (SELECT *, sha1(h) AS hex FROM p)
+SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
+array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (5 * (i // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> original THEN original END AS refers_to FROM d""",
+}
