@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import mapped, scratch_path
+from gridloom.llm.common import mapped, scratch_path, stored
 
 # Fixed values of the file formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -147,14 +147,21 @@ def train_dictionary(pages: DataFrame, samples: int = 256, sample_bytes: int = 8
         return b""
 
 
-def described(pages: DataFrame) -> DataFrame:
+def described(pages: DataFrame, common: int = 10_000) -> DataFrame:
     """``page_id, url, html, digest, refers_to``: the smallest page id of each payload is the original.
 
-    The smallest ids are found with partial aggregates over (digest, page_id) alone; pages join them on the digest."""
+    The smallest ids are found with partial aggregates over (digest, page_id) alone. A payload that more than one page in
+    ``common`` has is looked up in a broadcast table of at most ``common`` rows, so no task gathers its pages; the others
+    join on the digest."""
     slim = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     slim = slim.withColumn("digest", F.sha1("html"))
-    first = slim.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    return slim.join(first, "digest").withColumn("refers_to", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id"))).drop("first_id")
+    first = stored(slim.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")), "payloads")
+    total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = F.col("n") > max(1000, total // common)
+    looked_up = slim.join(F.broadcast(first.where(often).select("digest", F.col("first_id").alias("common_id"))), "digest", "left")
+    rest = looked_up.where("common_id is null").join(first.where(~often).select("digest", "first_id"), "digest").drop("common_id")
+    both = rest.unionByName(looked_up.where("common_id is not null").withColumnRenamed("common_id", "first_id"))
+    return both.withColumn("refers_to", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id"))).drop("first_id")
 
 
 def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 16 << 20, level: int = 3) -> None:

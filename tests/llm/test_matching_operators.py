@@ -213,6 +213,15 @@ def test_warc_awkward_pages(spark):
     assert warc.round_trip(spark, pages.limit(0)).count() == 0
 
 
+def test_common_payloads_are_looked_up(spark):
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("http://a/").alias("url"), F.when(F.col("id") % 2 == 0, "same").otherwise(F.concat(F.lit("p"), (F.col("id") % 900).cast("string"))).alias("html"))
+    got = {r.page_id: r.refers_to for r in warc.described(pages).collect()}
+    first = {}
+    for r in sorted(pages.collect()):
+        want = first.setdefault(r.html, r.page_id)
+        assert got[r.page_id] == (None if want == r.page_id else want)
+
+
 def archive(dictionary=b"", records=()):
     made = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
     pack = zstandard.ZstdCompressor(**({"dict_data": made} if made else {}))
