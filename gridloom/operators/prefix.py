@@ -56,3 +56,19 @@ def shifted(df: DataFrame, column: str, n: int, name: str, block: int = 1_000_00
     """``[C; *-n]`` (or ``*+n`` for negative n) in file order; null outside the sheet."""
     f = (lambda w: F.lag(column, n).over(w)) if n >= 0 else (lambda w: F.lead(column, -n).over(w))
     return with_neighbours(df, {name: f}, max(n, 0), max(-n, 0), block)
+
+
+def filled(df: DataFrame, column: str, name: str, order: list[str], by: list[str] | None = None) -> DataFrame:
+    """``forward_fill``: a missing value takes the last one before it in the order; ranges pass on their last value."""
+    by = by or []
+    kept = ranged(df, *by, *order)
+    there = F.when(F.col(column).isNotNull(), F.col("__pos"))
+    totals = kept.groupBy(*by, "__pid").agg(F.max_by(column, there).alias("__last"))
+    past = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*[F.col(k).alias(f"__k_{k}") for k in by], F.col("__pid").alias("__p"), F.last("__last", ignorenulls=True).over(past).alias("__before"))
+    on = F.col("__pid") == F.col("__p")
+    for k in by:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    w = Window.partitionBy("__pid", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    here = kept.withColumn("__here", F.last(column, ignorenulls=True).over(w))
+    return here.join(before, on, "left").select(*df.columns, F.coalesce("__here", "__before").alias(name))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 
 from gridloom.functions import sequences as S
-from gridloom.operators import prefix, recurrences
+from gridloom.operators import prefix, ranks, recurrences
 from gridloom.operators import windows as W
 from gridloom.operators.order import in_order, number_rows
 from gridloom.plans.registry import query, table
@@ -125,3 +125,21 @@ def sequence_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = number_rows(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
     made = {"place": F.col("__row"), "odd": S.arithmetic("__row", 5, 7).cast("bigint"), "short": S.arithmetic("__row", 5, 7, 99).cast("bigint"), "week": S.dates_by_days("__row", "2025-01-01", 7).cast("string"), "day": S.cycle("__row", S.DAYS, "Wed", short=True)}
     return rows.select("c_custkey", *[c.alias(n) for n, c in made.items()])
+
+
+_RANKED = "(SELECT *, CASE WHEN c_custkey % 11 <> 0 THEN floor(c_acctbal / 500)::BIGINT END AS v FROM customer)"
+
+
+@query(f"""SELECT c_custkey, CASE WHEN v IS NOT NULL THEN rank() OVER (ORDER BY v IS NULL, v DESC) END::BIGINT AS least, CASE WHEN v IS NOT NULL THEN row_number() OVER (ORDER BY v IS NULL, v DESC, c_custkey) END::BIGINT AS ordinal,
+CASE WHEN v IS NOT NULL THEN dense_rank() OVER (ORDER BY v IS NULL, v) END::BIGINT AS dense, CASE WHEN v IS NOT NULL THEN rank() OVER (ORDER BY v IS NULL, v) + (count(*) OVER (PARTITION BY v) - 1) / 2 END::DOUBLE AS average FROM {_RANKED}""")
+def rank_over_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 11 != 0, F.floor(F.col("c_acctbal") / 500)).alias("v"))
+    for name, ties, desc in (("least", "min", True), ("ordinal", "ordinal", True), ("dense", "dense", False), ("average", "average", False)):
+        rows = ranks.ranked(rows, "v", name, ties, desc, row="c_custkey")
+    return rows.drop("v")
+
+
+@query("""SELECT event_id, last_value((CASE WHEN event_id % 7 = 0 THEN value END) IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM events""")
+def fill_over_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", F.when(F.col("event_id") % 7 == 0, F.col("value")).alias("some"))
+    return prefix.filled(rows, "some", "filled", ["ts", "event_id"]).select("event_id", "filled")

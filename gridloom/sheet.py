@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DecimalType, DoubleType, FloatType, IntegralType
 
 from gridloom.functions import aggregates as A
-from gridloom.operators import distinct, lookups, prefix, quantiles, recurrences, stages, windows
+from gridloom.operators import distinct, lookups, prefix, quantiles, ranks, recurrences, stages, windows
 from gridloom.operators.order import ROW, in_order, number_rows
 from gridloom.sources import sinks, views
 
@@ -146,22 +146,31 @@ class Sheet:
     # Down a column.
 
     def window(self, name: str, function: str, column: str, n: int | None = None, order: str | None = None, by: list[str] | None = None) -> Sheet:
-        """``name := column.function(n, order by keys)``. Running values without partition keys, and shifts in the sheet's
-        own order, are worked out over ranges of the order; the rest by Spark's windows."""
+        """``name := column.function(n, order by keys)``. With partition keys these are Spark's windows; without, all rows
+        are one window, which is worked out over ranges and blocks of the order."""
         keys = [k for k in (order, ROW) if k and k in self.df.columns]
-        if function in _RUNNING and not by:
+        if by:
+            w = in_order(keys, by)
+            if function in _ROLLING:
+                return Sheet(self.df.withColumn(name, _ROLLING[function](column, n, w)))
+            f = _PARTITIONED[function]
+            return Sheet(self.df.withColumn(name, f(column, w) if n is None else f(column, w, n)))
+        if function in _RUNNING:
             return Sheet(prefix.running(self.df, keys, {name: (_RUNNING[function], F.col(column))}))
-        if function in ("shift", "diff") and not by and order is None:
-            made = prefix.shifted(self.df, column, n or 1, "__back" if function == "diff" else name)
-            return Sheet(made.withColumn(name, F.col(column) - F.col("__back")).drop("__back") if function == "diff" else made)
-        w = in_order(keys, by)
-        if function in _ROLLING:
-            return Sheet(self.df.withColumn(name, _ROLLING[function](column, n, w)))
-        f = _PARTITIONED[function]
-        return Sheet(self.df.withColumn(name, f(column, w) if n is None else f(column, w, n)))
+        if function == "forward_fill":
+            return Sheet(prefix.filled(self.df, column, name, keys))
+        placed = self.df if keys == [ROW] else number_rows(self.df.withColumnRenamed(ROW, "__sheet_row"), *["__sheet_row" if k == ROW else k for k in keys])
+        if function == "backward_fill":
+            turned = placed.withColumn("__back", -F.col(ROW))
+            made = prefix.filled(turned, column, name, ["__back"]).drop("__back")
+        else:
+            n = n or 1
+            f = (lambda w: _ROLLING[function](column, n, w)) if function in _ROLLING else (lambda w: _PARTITIONED[function](column, w, n))
+            made = prefix.with_neighbours(placed, {name: f}, max(n, 0), max(-n, 0))
+        return Sheet(made.drop(ROW).withColumnRenamed("__sheet_row", ROW) if "__sheet_row" in made.columns else made)
 
     def rank(self, name: str, column: str, ties: str = "average", desc: bool = False, by: list[str] | None = None) -> Sheet:
-        return Sheet(self.df.withColumn(name, windows.rank(column, ties, by, desc)))
+        return Sheet(self.df.withColumn(name, windows.rank(column, ties, by, desc)) if by else ranks.ranked(self.df, column, name, ties, desc))
 
     def accumulate(self, name: str, amount: Column, order: list[str], by: list[str] | None = None, start: float = 0) -> Sheet:
         return Sheet(recurrences.accumulated(self.df, amount, name, order, by, start))
