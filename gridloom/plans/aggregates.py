@@ -9,6 +9,7 @@ from gridloom.functions import aggregates as A
 from gridloom.functions.arithmetic import round_float
 from gridloom.operators import quantiles as Q
 from gridloom.operators import stages
+from gridloom.operators.products import products
 from gridloom.plans.registry import query, table
 
 
@@ -102,3 +103,10 @@ def aggregate_of_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sum_past_64_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = F.col("l_orderkey").cast("decimal(18,0)") * F.lit(9000000000000).cast("decimal(13,0)")
     return stages.group(table(spark, sf_dir, "lineitem"), ["l_returnflag"], wide=A.total(wide, 0, 38).cast("double"))
+
+
+@query("SELECT l_orderkey, product(CASE WHEN l_partkey % 5 = 0 THEN -l_linenumber ELSE l_linenumber END)::BIGINT AS product FROM lineitem GROUP BY l_orderkey")
+def product_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.when(F.col("l_partkey") % 5 == 0, -n).otherwise(n).alias("n"))
+    return products(lines, ["l_orderkey"], "n").select("l_orderkey", F.col("product").cast("bigint").alias("product"))

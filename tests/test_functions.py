@@ -17,6 +17,7 @@ from gridloom.functions import convert, dates, formats, fractions, logic, maths,
 from gridloom.functions import uncertain as U
 from gridloom.operators import lookups, prefix, quantiles
 from gridloom.operators.order import file_rows, number_rows
+from gridloom.operators.products import products
 from gridloom.operators.windows import rolling_std
 from gridloom.operators.order import in_order
 
@@ -338,3 +339,13 @@ def test_clock_and_scales(spark):
     assert value(spark, dates.today(datetime.date(2025, 1, 31))) == datetime.date(2025, 1, 31)
     assert value(spark, dates.now(datetime.datetime(2025, 1, 31, 9))) == datetime.datetime(2025, 1, 31, 9)
     assert (quantities.scaled(1.5, "k"), quantities.scaled(1, "Ki"), quantities.scaled(5, "m")) == (1500, 1024, 0.005)
+
+
+def test_exact_products(spark):
+    rows = [("a", 3), ("a", -4), ("a", 1), ("a", None), ("z", 0), ("z", 5), ("n", None), (None, 10**18), (None, 10**18), (None, -1)]
+    df = spark.createDataFrame(rows, "k string, v bigint")
+    assert {r.k: int(r["product"]) for r in products(df, ["k"], "v").collect()} == {"a": -12, "z": 0, "n": 1, None: -(10**36)}
+    assert [int(r["product"]) for r in products(df.where("k = 'a'"), [], "v").collect()] == [-12]
+    for past in (spark.range(200).select(F.lit(2).alias("v")), spark.createDataFrame([(10**18,)] * 3, "v bigint")):
+        with pytest.raises(Exception, match="38 digits|OVERFLOW|overflow|OUT_OF_RANGE|out of"):
+            products(past, [], "v").collect()
