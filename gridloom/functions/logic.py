@@ -38,7 +38,7 @@ def fill_null(x: ColumnOrName, default: Column) -> Column:
 def is_in(x: ColumnOrName, values: list) -> Column:
     """Null of null only: nulls in the list count for nothing."""
     known = [v for v in values if v is not None]
-    return F.when(col(x).isNotNull(), col(x).isin(known) if known else F.lit(False))
+    return col(x).isin(known) if known else F.when(col(x).isNotNull(), F.lit(False))
 
 
 def in_range(x: ColumnOrName, low: object, high: object, without_low: bool = False, without_high: bool = False) -> Column:
