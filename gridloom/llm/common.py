@@ -139,8 +139,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     No edges give no rows; self loops and repeated edges change nothing.
     """
     flat = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+    def sign(rows: DataFrame) -> tuple:
+        return tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     now = stored(flat, name)
-    last = None
+    last = sign(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -149,10 +153,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low2 = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low2, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         step = stored(small.select("e.u", "e.v").where("u <> v").distinct(), name)
-        sign = step.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         unstore(now)
-        now = step
-        if sign == last:
+        now, before, last = step, last, sign(step)
+        if last == before:
             break
-        last = sign
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

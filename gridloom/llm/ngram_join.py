@@ -225,12 +225,12 @@ def _several(entries: DataFrame, key: Column) -> DataFrame:
     return entries.groupBy(key.alias("bucket")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
 
 
-def hot_links(shared: DataFrame, docs: DataFrame, census: DataFrame, rounds: int = 3, least: int = 64) -> tuple[DataFrame | None, DataFrame | None]:
-    """Verified links within frequent columns: in each round, the classes of each salted part meet one drawn from it, and
+def hot_links(shared: DataFrame, docs: DataFrame, census: DataFrame, rounds: int = 2, least: int = 64) -> DataFrame | None:
+    """Components by verified links within frequent columns: in each round, the classes of each salted part meet one drawn from it, and
     the drawn ones of a column meet each other. Rounds go on while columns with over ``least`` rows hold several
     components; what they leave is for the product."""
     hot = shared.where("hot is not null").distinct()
-    edges = roots = None
+    roots = None
     for number in range(rounds):
         now = _with_component(hot, roots)
         open_columns = _several(now, F.col("hot")).where(F.col("size") > least).select(F.col("bucket").alias("hot"))
@@ -244,9 +244,13 @@ def hot_links(shared: DataFrame, docs: DataFrame, census: DataFrame, rounds: int
         found = verified(plausible(pairs, shared), docs, census)
         if not found.head(1):
             break
-        edges = found if edges is None else edges.unionByName(found)
-        roots = components(edges)
-    return edges, roots
+        roots = components(_with_stars(found, roots))
+    return roots
+
+
+def _with_stars(edges: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``edges`` and, in place of those that gave ``roots``, one from each node to its root."""
+    return edges if roots is None else edges.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
 
 
 def product_pairs(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -279,9 +283,9 @@ def jaccard_components(docs: DataFrame, least_frequent: int = 48, most_frequent:
     census = seen.where("h is null").select("doc_id", "text_hash", "sig", "n")
     frequent = frequent_columns(seen.where("h is not null").select("h", "c"), least_frequent, most_frequent)
     shared = stored(_shared(blocks(slim, frequent)), "shared")
-    edges, roots = hot_links(shared, slim, census)
+    roots = hot_links(shared, slim, census)
     rest = verified(plausible(product_pairs(shared, roots), shared), slim, census)
-    edges = rest if edges is None else edges.unionByName(rest)
+    edges = _with_stars(rest, roots)
     classes = census.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("low"))
     joined = classes.join(components(edges).withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     low = joined.groupBy("root").agg(F.min("low").alias("component_id"))

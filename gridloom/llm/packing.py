@@ -37,7 +37,7 @@ class _WordIds(dict):
     those of its chunks in a row, and a chunk that is one word and a full stop or comma has those of the two. Chunks of
     usual length are remembered, up to a fixed number; a single word goes straight to the vocabulary's merges."""
 
-    def __init__(self, path: str, most: int = 200_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -101,14 +101,15 @@ def fit(positive: list[list[str]], unlabelled: list[list[str]], prior: float, st
         return Model({}, -500.0)
     prior = min(max(prior, 1e-4), 0.9)
     positive, unlabelled = without_copies(positive), without_copies(unlabelled)
-    seen = [Counter(f for ws in docs for f in {f for w in ws for f in features(w)}) for docs in (positive, unlabelled)]
+    seen = Counter(f for ws in positive for f in {f for w in ws for f in features(w)})
+    seen = {f: n for f, n in seen.items() if n >= max(4, RAREST * len(positive))}
+    free = Counter(f for ws in unlabelled for f in {f for w in ws for f in features(w) if f in seen})
     # A feature of toxic texts alone is 1 / prior times as frequent in positives as in unlabelled text. Chosen are those
     # with a good part of that ratio, and a likelihood ratio that chance does not give among all features.
-    chosen, ratio = [], 1 + 0.35 * (1 / prior - 1)
-    least = 1 + math.log(1 + sum(n >= 4 for n in seen[0].values()))
-    for f, n in seen[0].items():
-        want = len(positive) * (seen[1][f] + 0.5) / len(unlabelled)
-        if n >= max(4, RAREST * len(positive), ratio * want) and n * math.log(n / want) - n + want >= least:
+    chosen, ratio, least = [], 1 + 0.35 * (1 / prior - 1), 1 + math.log(1 + len(seen))
+    for f, n in seen.items():
+        want = len(positive) * (free[f] + 0.5) / len(unlabelled)
+        if n >= ratio * want and n * math.log(n / want) - n + want >= least:
             chosen.append(f)
     chosen.sort()
     index = {f: i for i, f in enumerate(chosen)}
