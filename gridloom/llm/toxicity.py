@@ -173,8 +173,16 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled:
             yield pa.RecordBatch.from_arrays([b.column("positive"), b.column("free"), pa.array([sorted(words(t)) for t in texts(b, "text")], pa.list_(pa.string()))], names=["positive", "free", "words"])
 
     sample = slim.join(picked, "doc_id", "left").select("text", F.coalesce("__positive", F.lit(False)).alias("positive"), free.alias("free")).where("positive or free")
-    rows = mapped(sample, split, "positive boolean, free boolean, words array<string>").collect()
-    return fit([r.words for r in rows if r.positive], [r.words for r in rows if r.free], toxic / n)
+    rows = mapped(sample, split, "positive boolean, free boolean, words array<string>").toArrow()
+    known: dict[str, str] = {}  # each word is held once
+    texts_of = {"positive": [], "free": []}
+    for b in rows.to_batches(max_chunksize=64):
+        for r in b.to_pylist():
+            ws = [known.setdefault(w, w) for w in r["words"]]
+            for name, found in texts_of.items():
+                if r[name]:
+                    found.append(ws)
+    return fit(texts_of["positive"], texts_of["free"], toxic / n)
 
 
 def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
