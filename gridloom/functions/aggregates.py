@@ -15,7 +15,8 @@ from gridloom.functions.logic import ColumnOrName, col
 
 
 def total(x: ColumnOrName, scale: int = 0, digits: int = 28) -> Column:
-    """Exact sum of whole numbers or decimals: it is widened, so it does not overflow."""
+    """Exact sum of whole numbers or decimals: it is widened, so it does not overflow. ``digits``: what a value has at
+    most; up to 18 the values are read as machine words."""
     return F.coalesce(F.sum(col(x).cast(f"decimal({digits},{scale})")), F.lit(0)).cast(f"decimal(38,{scale})")
 
 

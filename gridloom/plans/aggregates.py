@@ -22,11 +22,11 @@ def agg_pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = stages.group(
         lines,
         ["l_returnflag", "l_linestatus"],
-        sum_qty=A.total("l_quantity", 2).cast("double"),
-        sum_base_price=A.total("l_extendedprice", 2).cast("double"),
-        sum_disc_price=A.total(price * (1 - off), 4).cast("double"),
+        sum_qty=A.total("l_quantity", 2, 12).cast("double"),
+        sum_base_price=A.total("l_extendedprice", 2, 12).cast("double"),
+        sum_disc_price=A.total(price * (1 - off), 4, 18).cast("double"),
         count_order=A.length(),
-        avg_qty=F.round(A.mean("l_quantity", 2).cast("double"), 6),
+        avg_qty=F.round(A.mean("l_quantity", 2, 12).cast("double"), 6),
     )
     return made.orderBy("l_returnflag", "l_linestatus")
 
