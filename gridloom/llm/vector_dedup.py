@@ -7,11 +7,11 @@ Equal vectors are one class, and classes are indexed whole:
    that the codes leave.
 2. A class probes each list whose cell a partner may lie in. With cosine at least t a partner lies within
    r = sqrt(2 - 2 t); it is in another cell only if it crosses the plane between the two centroids, so lists whose plane
-   is farther than ``reach`` are skipped. ``reach`` is r where few dimensions leave no slack, else ``spread`` standard
-   deviations of a random direction's share, r / sqrt(dim): a deliberate, measured loss far below one in a thousand.
-3. Lists are dealt in parts of about ``block`` classes, and the classes that probe a part in blocks as well, so a group
-   of near copies of any size is many small groups. Within one, table lookups give asymmetric distances to the codes;
-   the triangle inequality with the stored error drops what cannot link, and the rest is compared by exact cosine.
+   is farther than r are skipped. No list that can hold a partner is, whatever the directions a group varies in.
+3. Neighbouring lists are joined in bins of about ``block`` classes, larger lists are dealt in parts of that size, and the
+   classes that probe a bin in blocks as well, so a group of near copies of any size is many small groups. Within one, the
+   asymmetric distances to the codes are one product with the vectors they stand for; the triangle inequality with the
+   stored error drops what cannot link, and the rest is compared by exact cosine.
 
 Only counts and a spanning forest leave a group, not pairs. Vectors that are null, empty, zero or hold null or
 non-finite components link with nothing; vectors of different lengths do not link (each length has an index of its own);
@@ -91,10 +91,15 @@ class Quantiser:
         cross = np.einsum("bmw,mkw->bmk", rest, self.books, optimize=True)
         return (rest**2).sum(axis=2)[:, :, None] - 2 * cross + (self.books**2).sum(axis=2)[None]
 
+    def decoded(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that ``codes`` in ``lists`` stand for, single precision."""
+        made = self.books[np.arange(codes.shape[1])[None, :], codes].reshape(len(codes), -1)
+        return (made[:, : self.centroids.shape[1]] + self.centroids[lists]).astype(np.float32)
+
     def probes(self, x: np.ndarray, near: np.ndarray, reach: float, gaps: np.ndarray) -> np.ndarray:
         """Which lists each row probes: (rows, lists). ``gaps``: distances between the centroids."""
         away = (self.centroids**2).sum(axis=1)[None] - 2 * x @ self.centroids.T
-        return away - away[np.arange(len(x)), near][:, None] <= 2 * reach * gaps[near] + 1e-9
+        return away - away[np.arange(len(x)), near][:, None] <= 2 * reach * gaps[near] + 1e-6
 
 
 def _split(rest: np.ndarray) -> np.ndarray:
@@ -105,9 +110,22 @@ def _split(rest: np.ndarray) -> np.ndarray:
     return padded.reshape(len(rest), parts, WIDTH)
 
 
-def reach_of(cosine: float, dim: int, spread: float) -> float:
-    radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    return radius * min(1.0, spread / np.sqrt(dim))
+def reach_of(cosine: float) -> float:
+    """How far apart two unit vectors of at least this cosine are at most."""
+    return float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+
+
+def bins_of(sizes: np.ndarray, centroids: np.ndarray, block: int) -> np.ndarray:
+    """The bin of each list: each takes its nearest free lists while they have at most ``block`` classes together."""
+    bins, free, made = np.full(len(sizes), -1), np.ones(len(sizes), bool), 0
+    for start in np.argsort(-sizes, kind="stable").tolist():
+        if not free[start]:
+            continue
+        near = np.argsort(((centroids - centroids[start]) ** 2).sum(axis=1), kind="stable")
+        near = np.concatenate([[start], near[free[near] & (near != start)]])
+        some = near[: max(1, int(np.searchsorted(np.cumsum(sizes[near]), block, side="right")))]
+        bins[some], free[some], made = made, False, made + 1
+    return bins
 
 
 def _usable(column: str) -> str:
@@ -156,8 +174,8 @@ def _spanning(hits: np.ndarray, labels: np.ndarray) -> np.ndarray:
         labels = to[new]
 
 
-def compare(rows: pd.DataFrame, quantiser: Quantiser, lst: int, cosine: float, kind: str, step: int = 256) -> pd.DataFrame:
-    """``node, links, root`` of a part of a list and a block of classes that probe it: the copies linked with each
+def compare(rows: pd.DataFrame, quantiser: Quantiser, cosine: float, kind: str, step: int = 256) -> pd.DataFrame:
+    """``node, links, root`` of a part of a bin and a block of classes that probe it: the copies linked with each
     prober, and edges of a spanning forest. ``kind``: the number format of the vectors' bytes."""
     own = rows["codes"].notna().to_numpy()
     listed, asking = rows[own], rows[~own]
@@ -167,16 +185,14 @@ def compare(rows: pd.DataFrame, quantiser: Quantiser, lst: int, cosine: float, k
     x = unit(np.frombuffer(b"".join(listed["vec"]), kind).reshape(len(nodes), -1))
     q = unit(np.frombuffer(b"".join(asking["vec"]), kind).reshape(len(asks), -1))
     codes = np.frombuffer(b"".join(listed["codes"]), np.uint8).reshape(len(nodes), -1)
-    near = (np.sqrt(max(0.0, 2 - 2 * cosine)) + listed["miss"].to_numpy()) ** 2 + 1e-6
+    made = quantiser.decoded(listed["list"].to_numpy(np.int64), codes)
+    # What a distance must not exceed, less the part of it that a row of the list has by itself.
+    near = ((reach_of(cosine) + listed["miss"].to_numpy()) ** 2 - (made.astype(np.float64) ** 2).sum(axis=1) - 1 + 1e-3).astype(np.float32)
     labels, first = np.arange(len(nodes)), np.full(len(asks), -1)
     links = np.zeros(len(asks), np.int64)
     for at in range(0, len(asks), step):
         some = q[at : at + step]
-        table = quantiser.tables(some, lst).astype(np.float32)
-        far = np.zeros((len(some), len(nodes)), np.float32)
-        for m in range(codes.shape[1]):
-            far += table[:, m].take(codes[:, m], axis=1)
-        hits = far <= near[None].astype(np.float32) + np.float32(1e-4)
+        hits = (some * -2).astype(np.float32) @ made.T <= near[None]
         r, c = np.nonzero(hits)
         for i in range(0, len(r), 65_536):
             a, b = r[i : i + 65_536], c[i : i + 65_536]
@@ -194,27 +210,34 @@ def compare(rows: pd.DataFrame, quantiser: Quantiser, lst: int, cosine: float, k
 
 
 def _links(indexed: DataFrame, quantiser: Quantiser, cosine: float, block: int, kind: str) -> DataFrame:
-    """``node, links, root`` found between the classes of ``indexed`` and the lists they probe."""
+    """``node, links, root`` found between the classes of ``indexed`` and the bins they probe."""
     spark = indexed.sparkSession
     # At most a row for each list, and the lists are bounded.
-    sizes = dict(indexed.groupBy("list").count().collect())
-    asking = dict(indexed.select(F.explode("probes").alias("list")).groupBy("list").count().collect())
-    deal = [(lst, -(-n // block), -(-asking.get(lst, 1) // (8 * block))) for lst, n in sizes.items()]
-    parts = F.broadcast(spark.createDataFrame(deal, "list int, parts int, blocks int"))
+    sizes = np.zeros(len(quantiser.centroids), np.int64)
+    for lst, n in indexed.groupBy("list").count().collect():
+        sizes[lst] = n
+    bins = bins_of(sizes, quantiser.centroids, block)
+    held = np.bincount(bins, weights=sizes).astype(np.int64)
+    bin_of = F.lit(bins.tolist())
+    probed = F.array_distinct(F.transform("probes", lambda p: F.get(bin_of, p)))
+    asking = dict(indexed.select(F.explode(probed).alias("bin")).groupBy("bin").count().collect())
+    deal = [(b, -(-n // block), -(-asking.get(b, 1) // (8 * block))) for b, n in enumerate(held.tolist()) if n]
+    parts = F.broadcast(spark.createDataFrame(deal, "bin int, parts int, blocks int"))
     mine, his = (F.pmod(F.xxhash64("node", F.lit(s)), n).cast("int") for s, n in ((1, F.col("parts")), (2, F.col("blocks"))))
     each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    listed = indexed.join(parts, "list").select("list", mine.alias("part"), F.explode(each("blocks")).alias("block"), "node", "copies", "vec", "codes", "miss")
-    probing = indexed.select("node", "copies", "vec", F.explode("probes").alias("list")).join(parts, "list")
-    probing = probing.select("list", F.explode(each("parts")).alias("part"), his.alias("block"), "node", "copies", "vec", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("miss"))
+    listed = indexed.withColumn("bin", F.get(bin_of, F.col("list"))).join(parts, "bin").select("bin", mine.alias("part"), F.explode(each("blocks")).alias("block"), "node", "copies", "vec", "list", "codes", "miss")
+    probing = indexed.select("node", "copies", "vec", F.explode(probed).alias("bin")).join(parts, "bin")
+    none = [F.lit(None).cast(kind_of).alias(n) for n, kind_of in (("list", "int"), ("codes", "binary"), ("miss", "double"))]
+    probing = probing.select("bin", F.explode(each("parts")).alias("part"), his.alias("block"), "node", "copies", "vec", *none)
     sent = spark.sparkContext.broadcast(quantiser)
 
-    def met(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return compare(rows, sent.value, int(key[0]), cosine, kind)
+    def met(rows: pd.DataFrame) -> pd.DataFrame:
+        return compare(rows, sent.value, cosine, kind)
 
-    return listed.unionByName(probing).groupBy("list", "part", "block").applyInPandas(met, "node long, links long, root long")
+    return listed.unionByName(probing).groupBy("bin", "part", "block").applyInPandas(met, "node long, links long, root long")
 
 
-def near_vectors(table: DataFrame, cosine: float = 0.95, spread: float = 3.5, per_list: int = 128, most_lists: int = 4096, sample: int = 65_536, block: int = 2048) -> DataFrame:
+def near_vectors(table: DataFrame, cosine: float = 0.95, per_list: int = 128, most_lists: int = 4096, sample: int = 65_536, block: int = 2048) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row of ``table (vec_id, embedding)``."""
     slim = table.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(-1)).alias("vec_id"), "embedding")
     rows = slim.withColumn("node", F.when(F.expr(_usable("embedding")), F.xxhash64("embedding")))
@@ -230,7 +253,7 @@ def near_vectors(table: DataFrame, cosine: float = 0.95, spread: float = 3.5, pe
         learnt = np.array([r[0] for r in chosen.select("embedding").limit(take).collect()], np.float64).reshape(-1, dim)
         learnt = unit(learnt) if len(learnt) else unit(np.ones((1, dim)))
         quantiser = Quantiser.fit(learnt, lists)
-        indexed = stored(index(some, quantiser, dim, reach_of(cosine, dim, spread)), "index")
+        indexed = stored(index(some, quantiser, dim, reach_of(cosine)), "index")
         got = _links(indexed, quantiser, cosine, block, kind)
         found = got if found is None else found.unionByName(got)
     if found is None:

@@ -168,6 +168,18 @@ def test_recall_on_the_table(spark, sf_dir):
     assert sum(r.n_links for r in got) >= 0.9 * want
 
 
+@pytest.mark.parametrize(("rank", "dim", "apart"), [(1, 64, 1.5), (2, 64, 0.5), (3, 128, 0.4)])
+def test_hot_group_that_varies_along_few_directions(spark, rank, dim, apart):
+    rng = np.random.default_rng(rank)
+    base, ways = rng.normal(size=dim), rng.normal(size=(rank, dim))
+    hot = base / np.linalg.norm(base) + apart * rng.uniform(-1, 1, size=(700, rank)) @ (ways / np.linalg.norm(ways, axis=1)[:, None])
+    x = np.concatenate([hot, rng.normal(size=(1400, dim))]).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_vectors(table, per_list=30, block=256).collect()}
+    unit = vector_dedup.unit(x)
+    assert got == dict(enumerate(((unit @ unit.T >= 0.95).sum(axis=1) - 1).tolist()))
+
+
 def test_no_vectors(spark):
     assert vector_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     only_bad = spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<double>")
