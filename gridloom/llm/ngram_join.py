@@ -17,7 +17,8 @@ two all lie within the other's range, so at least min over both of (leading colu
 
 Shingles and classes are 64-bit hashes; equal hashes of different shingles are taken for equal. Null texts and texts
 without words have no shingles and link with nothing; repeated rows and ids give one row each, in the component of their
-text; an empty table gives no rows. Columns other than doc_id and text are not read.
+text; a null id links like any other, a component takes its smallest id that is not null (null if it has none); an empty
+table gives no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -186,26 +187,38 @@ def plausible(pairs: DataFrame, shared: DataFrame) -> DataFrame:
     return both.where(F.coalesce(enough, F.lit(True))).select("a", "b")
 
 
+def _first() -> Column:
+    """The smallest (doc_id, text_hash), null ids last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, census: DataFrame, small: int = 500_000) -> DataFrame:
     """Those of ``pairs (a, b)`` of classes whose whole sets link. Each class is read from one of its documents; their
-    ids are broadcast where they are at most ``small``, and else joined by shuffle."""
+    ids and hashes are broadcast where they are at most ``small``, and else joined by shuffle."""
     pairs = stored(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    chosen = stored(census.join(ids, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "chosen")
-    wanted = chosen.select("doc_id", "sig")
-    wanted = F.broadcast(wanted) if chosen.count() <= small else wanted
+    chosen = stored(census.join(ids, "sig", "left_semi").groupBy("sig").agg(_first().alias("k")).select("sig", F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash")), "chosen")
+    wanted = F.broadcast(chosen) if chosen.count() <= small else chosen
+    own = docs.withColumn("text_hash", F.xxhash64("text"))
+    own = own.join(wanted, own["doc_id"].eqNullSafe(wanted["__id"]) & (own["text_hash"] == wanted["__hash"])).select("sig", "text")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for b in batches:
             sigs, sets = [], []
             for sig, text in zip(b.column("sig").to_pylist(), texts(b, "text"), strict=True):
+                if sig in met:  # a row that repeats, or copies without ids
+                    continue
                 s = shingle_set(text)
-                if len(s) and class_of(s) == sig:  # ids that repeat with other texts
+                if len(s) and class_of(s) == sig:  # equal hashes of other texts
+                    if len(met) >= 250_000:
+                        met.clear()
+                    met.add(sig)
                     sigs.append(sig)
                     sets.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["sig", "shingles"])
 
-    sets = stored(mapped(docs.join(wanted, "doc_id").select("sig", "text"), spread, "sig long, shingles array<long>").dropDuplicates(["sig"]), "sets")
+    sets = stored(mapped(own, spread, "sig long, shingles array<long>").dropDuplicates(["sig"]), "sets")
     both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b")
     common = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("o"))
     edges = stored(common.where("100 * o >= 75 * (m + n - o)").select("a", "b"), "edges")
@@ -295,11 +308,11 @@ def jaccard_components(docs: DataFrame, least_frequent: int = 48, most_frequent:
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` with their columns: of each component that with the smallest id, and all texts without words."""
+    """Rows of ``docs`` with their columns: of each component that with the smallest id (null ids last), and all texts without words."""
     wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    first = F.min(F.struct("doc_id", "text_hash")).alias("k")
-    kept = jaccard_components(docs).where("root is not null").groupBy("root").agg(first).select("k.doc_id", "k.text_hash")
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    kept = jaccard_components(docs).where("root is not null").groupBy("root").agg(_first().alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias("__kept_id"), F.col("k.text_hash").alias("__kept_hash"))
     worded = docs.where(~wordless).select("*", F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__hash"))
-    one = worded.join(kept, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    same = worded["__id"].eqNullSafe(kept["__kept_id"]) & (worded["__hash"] == kept["__kept_hash"])
+    one = worded.join(kept, same, "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
     return one.unionByName(docs.where(wordless))

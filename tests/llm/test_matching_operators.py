@@ -97,6 +97,24 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, c in want.items() if i == c)
 
 
+def test_documents_without_ids_link_and_stay(spark):
+    texts = [t for _, t in near_texts(150, 5)] + ["alone without an id", "one", "ONE"]
+    texts = [f"{t} w{k % 7}" if k % 5 == 0 else t for k, t in enumerate(texts)]
+    ids = [None if k % 3 == 0 or k >= 120 else k for k in range(len(texts))]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    components = defaultdict(list)
+    for k, root in plain_join(list(enumerate(texts))).items():
+        components[root].append(k)
+    low = {k: min((ids[m] for m in ks if ids[m] is not None), default=None) for ks in components.values() for k in ks}
+    key = lambda r: tuple((x is None, x) for x in r)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect()]
+    assert sorted(got, key=key) == sorted(((ids[k], len(shingles(t)), low[k]) for k, t in enumerate(texts)), key=key)
+    kept = [(r.doc_id, r.text) for r in ngram_join.without_near_copies(docs).collect()]
+    assert sorted((i for i, _ in kept if i is not None)) == sorted({i for i in low.values() if i is not None})
+    at = {t: root for root, ks in components.items() for t in (texts[k] for k in ks)}
+    assert sorted(at[t] for _, t in kept) == sorted(components)
+
+
 def test_join_of_an_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.jaccard_components(none).count() == 0 and ngram_join.without_near_copies(none).count() == 0
