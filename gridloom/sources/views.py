@@ -48,7 +48,7 @@ _CSV = [
     (r"^-?\d{1,18}$", lambda c, _: c.cast("bigint")),
     (r"^-?\d{1,3}(_\d{3})+$", lambda c, _: F.replace(c, F.lit("_"), F.lit("")).cast("bigint")),
     (r"^-?\d+\.\d{1,18}$", lambda c, places: c.cast(f"decimal(38,{places})")),
-    (r"^-?\d+(\.\d+)?%$", lambda c, _: convert.number_cell(c)),
+    (r"^-?\d{1,17}(\.\d{1,8})?%$", lambda c, _: convert.number_cell(c)),
     (r"^-?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$|^-?Inf$|^NaN$", lambda c, _: F.regexp_replace(c, "Inf", "Infinity").cast("double")),
     (r"^\d{4}-\d\d-\d\d$", lambda c, _: c.cast("date")),
     (r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d{1,6})?)?$", lambda c, _: c.cast("timestamp_ntz")),
@@ -59,26 +59,56 @@ _CSV = [
 ]
 
 
-def csv(spark: SparkSession, path: str, infer_rows: int = 10_000, delimiter: str = ",") -> DataFrame:
-    """A CSV view with a header. Types come from the first ``infer_rows`` rows: whole numbers, exact decimals at the
-    greatest number of places, percentages, floats, ISO dates, times (nanoseconds), durations, ``true``/``false`` (in that
-    case only) and ``0x`` numbers; else text. Empty cells are null. A later cell that does not fit is an error."""
-    read = spark.read.option("header", True).option("multiLine", False).option("sep", delimiter).option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path)
-    names = read.columns
-    # Aggregates over the sample: one row for the whole of it, whatever the number of columns.
-    sample = read.limit(infer_rows)
-    tests = [F.coalesce(F.bool_and(F.col(f"`{n}`").rlike(p)), F.lit(False)).alias(f"t{i}_{k}") for i, n in enumerate(names) for k, (p, _) in enumerate(_CSV)]
-    places = [F.max(F.char_length(F.regexp_extract(F.col(f"`{n}`"), r"\.(\d+)$", 1))).alias(f"p{i}") for i, n in enumerate(names)]
-    mixed = [F.coalesce(F.bool_and(F.col(f"`{n}`").rlike(r"^-?\d{1,18}(\.\d{1,18})?$")), F.lit(False)).alias(f"m{i}") for i, n in enumerate(names)]
-    got = sample.agg(*tests, *places, *mixed).first()
+_MIXED = r"^-?\d{1,18}(\.\d{1,18})?$"  # whole numbers among decimals
+
+
+def _places(name: str) -> Column:
+    return F.coalesce(F.max(F.char_length(F.regexp_extract(F.col(f"`{name}`"), r"\.(\d+)$", 1))), F.lit(0))
+
+
+def _all_like(name: str, pattern: str) -> Column:
+    return F.coalesce(F.bool_and(F.col(f"`{name}`").rlike(pattern)), F.lit(False))
+
+
+def _inferred(rows: DataFrame) -> list[tuple[int | None, str | None, int]]:
+    """Of each column: its place in ``_CSV``, the pattern of all its cells (none for text) and its decimal places."""
+    names = rows.columns
+    # Aggregates: one row for the whole of it, whatever the number of columns.
+    tests = [_all_like(n, p).alias(f"t{i}_{k}") for i, n in enumerate(names) for k, (p, _) in enumerate(_CSV)]
+    mixed = [_all_like(n, _MIXED).alias(f"m{i}") for i, n in enumerate(names)]
+    there = [F.count(F.col(f"`{n}`")).alias(f"n{i}") for i, n in enumerate(names)]
+    got = rows.agg(*tests, *mixed, *there, *[_places(n).alias(f"p{i}") for i, n in enumerate(names)]).first()
     out = []
-    for i, n in enumerate(names):
-        c = F.col(f"`{n}`")
+    for i in range(len(names)):
         kind = next((k for k in range(len(_CSV)) if got[f"t{i}_{k}"]), None)
+        pattern = _CSV[kind][0] if kind is not None else None if got[f"n{i}"] else "^$"
         if got[f"m{i}"] and got[f"p{i}"]:
-            kind = 2  # whole numbers among decimals
-        out.append((c if kind is None else _CSV[kind][1](c, got[f"p{i}"] or 0)).alias(n))
-    return read.select(*out)
+            kind, pattern = 2, _MIXED
+        out.append((kind, pattern, got[f"p{i}"]))
+    return out
+
+
+def _holds(rows: DataFrame, kinds: list[tuple[int | None, str | None, int]]) -> bool:
+    """Whether all cells have their column's pattern, and decimals no more than its places."""
+    checks = [F.coalesce(F.bool_and(F.col(f"`{n}`").rlike(p)), F.lit(True)) & ((_places(n) <= most) if k == 2 else F.lit(True)) for n, (k, p, most) in zip(rows.columns, kinds, strict=True) if p is not None]
+    return not checks or rows.agg(reduce(lambda a, b: a & b, checks)).first()[0]
+
+
+def csv(spark: SparkSession, path: str, infer_rows: int = 10_000, delimiter: str = ",") -> DataFrame:
+    """A CSV view with a header. Types come from the first ``infer_rows`` rows: whole numbers, exact decimals at the
+    greatest number of places, percentages, floats, ISO dates, times (nanoseconds), durations, ``true``/``false`` (in that
+    case only) and ``0x`` numbers; else text. Empty cells are null. All rows are then checked, and where a later cell does
+    not fit (or has more places) types are worked out again from every row, so no cell is rounded or dropped.
+
+    Quoted cells may hold line breaks; a file with such cells is read whole by one task, others are split."""
+    # A record that goes on in the next line leaves a quote open in its first.
+    broken = spark.read.text(path).where(F.pmod(F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2)) == 1)
+    several = bool(broken.head(1))
+    read = spark.read.option("header", True).option("multiLine", several).option("sep", delimiter).option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path)
+    kinds = _inferred(read.limit(infer_rows))
+    if not _holds(read, kinds):
+        kinds = _inferred(read)
+    return read.select(*[(F.col(f"`{n}`") if k is None else _CSV[k][1](F.col(f"`{n}`"), places)).alias(n) for n, (k, _, places) in zip(read.columns, kinds, strict=True)])
 
 
 def json(spark: SparkSession, path: str, schema: StructType | None = None, lines: bool = False) -> DataFrame:

@@ -31,6 +31,25 @@ def test_awkward_csv(spark, tmp_path, text):
     assert [tuple(r) for r in df.select(df.columns[0], "b").collect()] == [(1, "x"), (2, "y")]
 
 
+def test_csv_cells_after_the_sample(spark, tmp_path):
+    """A later cell that the first rows' types would round or drop: types come from every row."""
+    path = _csv(tmp_path, "d,p,n,k,late\n1.25,20%,1,1,\n2.50,30%,2,2,\n1.2345,40%,3,x,7\n7,0.5,4,3,8\n")
+    df = views.csv(spark, path, infer_rows=2)
+    assert dict(df.dtypes) == {"d": "decimal(38,4)", "p": "string", "n": "bigint", "k": "string", "late": "bigint"}
+    assert [tuple(r) for r in df.collect()][2:] == [(Decimal("1.2345"), "40%", 3, "x", 7), (Decimal("7.0000"), "0.5", 4, "3", 8)]
+
+
+def test_csv_quoted_line_breaks(spark, tmp_path):
+    df = views.csv(spark, _csv(tmp_path, 'a,b\n1,"x\ny, ""z"""\n2,"w"\n'))
+    assert [tuple(r) for r in df.collect()] == [(1, 'x\ny, "z"'), (2, "w")]
+
+
+def test_csv_percentages_keep_their_places(spark, tmp_path):
+    got = [r.a for r in views.csv(spark, _csv(tmp_path, "a\n12.12345678%\n1%\n")).collect()]
+    assert got == [Decimal("0.1212345678"), Decimal("0.01")]
+    assert [r.a for r in views.csv(spark, _csv(tmp_path, "a\n12.123456789%\n", "g.csv")).collect()] == ["12.123456789%"]
+
+
 def test_csv_without_rows(spark, tmp_path):
     assert views.csv(spark, _csv(tmp_path, "a,b\n")).count() == 0
 
