@@ -49,5 +49,16 @@ def test_rows_equal(name, spark, duck, sf_dir):
     assert not different, different[:3]
 
 
+@pytest.mark.parametrize(("name", "source", "key"), [("letter_sequence_of_all", "customer", "c_custkey"), ("conversions_of_all", "part", "p_partkey")])
+def test_whole_tables_are_read(name, source, key, spark, duck):
+    """At sf0.1, where letters run to three."""
+    large = "/root/testdata/sf0.1"
+    got = sorted(map(tuple, QUERIES[name](spark, large).collect()))
+    assert len(got) == spark.read.parquet(f"{large}/{source}.parquet").count() and got[0][0] == 0
+    assert got == sorted(duck.sql(SQL[name].replace(f"FROM {source}", f"FROM '{large}/{source}.parquet'")).fetchall())
+    if source == "customer":
+        assert {len(r[1]) for r in got} == {1, 2, 3}
+
+
 def test_entry_gives_rows(spark):
     assert entry.entry(spark).count() > 0
