@@ -110,8 +110,15 @@ def _cells(xs: tuple[ColumnOrName, ...]) -> Column:
     return F.filter(F.array(*map(col, xs)), lambda v: v.isNotNull())
 
 
-def row_sum(*xs: ColumnOrName) -> Column:
-    return F.aggregate(_cells(tuple(col(x).cast("decimal(28,2)") for x in xs)), F.lit(0).cast("decimal(38,2)"), lambda a, v: (a + v).cast("decimal(38,2)"))
+def row_sum(*xs: ColumnOrName, scale: int = 2, digits: int = 28) -> Column:
+    """Exact sum of whole numbers or decimals of at most ``scale`` places; a decimal with more is an error."""
+    kind = f"decimal(38,{scale})"
+
+    def cell(x: ColumnOrName) -> Column:
+        fit = col(x).cast(f"decimal({digits},{scale})")
+        return F.when(F.typeof(col(x)).startswith("decimal") & (fit != col(x)), F.raise_error(F.lit(f"row_sum: a value has more than {scale} places"))).otherwise(fit)
+
+    return F.aggregate(_cells(tuple(map(cell, xs))), F.lit(0).cast(kind), lambda a, v: (a + v).cast(kind))
 
 
 def row_sum_float(*xs: ColumnOrName) -> Column:

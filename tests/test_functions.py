@@ -263,6 +263,13 @@ def test_aggregates_of_nothing_and_of_nulls(spark):
         assert tuple(got) == (0, 1.0, None, None, None, True, False, True, 0)
 
 
+def test_row_sums_keep_their_places(spark):
+    df = spark.createDataFrame([(Decimal("0.0050"), Decimal("0.0051"), 3), (Decimal("1.2345"), None, 0)], "x decimal(10,4), y decimal(12,4), n bigint")
+    assert [r[0] for r in df.select(A.row_sum("x", "y", "n", scale=4)).collect()] == [Decimal("3.0101"), Decimal("1.2345")]
+    with pytest.raises(Exception, match="more than 2 places"):
+        df.select(A.row_sum("x", "y")).collect()
+
+
 def test_sums_past_64_bits(spark):
     df = spark.createDataFrame([(2**63 - 1,), (2**63 - 1,)], "x bigint")
     assert df.agg(A.total("x", 0, 38)).first()[0] == 2**64 - 2
