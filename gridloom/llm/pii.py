@@ -1,8 +1,8 @@
 """Personal data by rules and a semi-Markov conditional random field.
 
-Rules find e-mail addresses, IP addresses, card and telephone numbers. The field then reads the stretches of neighbouring
-space-free chunks that hold a digit or an at-sign (also in brackets, as ``[at]``): every run of at most ``MAX_TOKENS``
-tokens is a candidate segment, scored as a whole (its shape, digit count, separators, checksums, neighbours), and
+Rules find e-mail addresses, IP addresses, card and telephone numbers. The field then reads the space-free chunks that
+hold a digit, an at-sign (also in brackets, as ``[at]``) or a spelt dot, with up to ``AROUND`` neighbouring chunks on
+either side: every run of at most ``MAX_TOKENS`` tokens with a digit or an at is a candidate segment, scored as a whole (its shape, digit count, separators, checksums, neighbours), and
 dynamic programming over segments of bounded length picks boundaries and types together. Segments that meet no rule's
 span are added, so forms that rules miss (telephone numbers without a plus, cards that stand next to other digits,
 national ids, account numbers, masked e-mail addresses) are found too.
@@ -30,7 +30,12 @@ from gridloom.llm.common import mapped, texts
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "id", "account")
 MAX_TOKENS = 16
+AROUND = 2  # chunks that a stretch takes in on either side of a hint
+WIDEST = 40  # characters of such a chunk at most
 BITS = 13
+# Endings of addresses in plain words ("john at example dot com") that are no common English words.
+ENDINGS = frozenset("com org net edu gov mil info biz io co uk de fr es nl eu ca au jp ch se".split())
+PLAIN = 1 << BITS  # the one feature of segments that can be no personal data
 
 Span = tuple[str, int, int]
 
@@ -40,7 +45,7 @@ _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_HINT = re.compile(r"[0-9@]|[\[(]at[\])]")
+_HINT = re.compile(r"[0-9@]|[\[(](?:at|dot)[\])]|(?<!\S)at[ \t][^\s]{1,40}[ \t][\[(]?dot[\])]?(?!\S)|(?<!\S)dot(?!\S)")
 _LAST = re.compile(r"\w*\W*$")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
 
@@ -86,15 +91,18 @@ def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -
     """Hashed features of the segment of tokens i..j-1 as a whole."""
     start, end = tokens[i][0], tokens[j - 1][1]
     s, digits = text[start:end], _digits(text[start:end])
-    before = text[tokens[i - 1][0] : start].strip().lower() if i else _LAST.search(text, max(0, start - 24), start).group().lower()
+    before = text[tokens[i - 1][0] : start].lower() if i and tokens[i - 1][1] == start else _LAST.search(text, max(0, start - 24), start).group().lower()
     glued = (start > 0 and not text[start - 1].isspace(), end < len(text) and not text[end].isspace() and text[end] not in ".,;:!?")
     n = len(digits)
     parts = s.split(".") if s.count(".") == 3 else []
     octets = bool(parts) and all(p.isdigit() and int(p) <= 255 for p in parts if len(p) < 9) and all(0 < len(p) < 9 for p in parts)
-    seps = "".join(sorted({c for c in s if not c.isalnum()}))
-    out = [_key("b"), _key("shape", _shape(s)), _key("n", n), _key("seps", seps), _key("glue", *glued), _key("n+seps", n, seps), _key("tokens", j - i), _key("ends", s[0].isalnum(), s[-1].isalnum(), s[0] in "+(")]
-    out += [_key("word", before), _key("word+n", before, n), _key("at", "@" in s, "." in s.partition("@")[2]), _key("letters", any(c.isalpha() for c in s))]
-    out += [_key("luhn", 13 <= n <= 19 and n == sum(c not in " -" for c in s) and luhn(digits)), _key("octets", octets), _key("spelt", bool(re.fullmatch(r"[A-Za-z0-9._-]+ ?[\[(]?at[\])]? ?[A-Za-z0-9-]+ ?[\[(]?dot[\])]? ?[A-Za-z]+", s)))]
+    # A spelt address has a form of its own, or it would share that of any few words; plain words need a known ending.
+    m = re.fullmatch(r"[A-Za-z0-9._-]+ ?([\[(]?)at[\])]? ?[A-Za-z0-9-]+ ?[\[(]?dot[\])]? ?([A-Za-z]+)", s)
+    spelt = ("spelt" if m[1] or m[2].lower() in ENDINGS else "words") if m else ""
+    seps = spelt or "".join(sorted({c for c in s if not c.isalnum()}))
+    out = [_key("b"), _key("shape", spelt or _shape(s)), _key("n", spelt or n), _key("seps", seps), _key("glue", *glued), _key("n+seps", n, seps), _key("tokens", spelt or j - i), _key("ends", s[0].isalnum(), s[-1].isalnum(), s[0] in "+(")]
+    out += [_key("word", before), _key("word+n", before, n), _key("at", "@" in s, "." in s.partition("@")[2]), _key("letters", spelt or any(c.isalpha() for c in s))]
+    out += [_key("luhn", 13 <= n <= 19 and n == sum(c not in " -" for c in s) and luhn(digits)), _key("octets", octets), _key("spelt", spelt)]
     out += [_key("iban", bool(re.fullmatch(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?", s)))]
     return out
 
@@ -105,20 +113,38 @@ class Field:
     Type 0 is "none", whose segments are single tokens of score 0."""
 
     def __init__(self) -> None:
-        self.w = np.zeros((len(KINDS) + 1, 1 << BITS))
+        self.w = np.zeros((len(KINDS) + 1, (1 << BITS) + 1))
+        self.w[:, PLAIN] = -1e4
         self.t = np.zeros((len(KINDS) + 1, len(KINDS) + 1))
 
     @staticmethod
     def lattice(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
-        """Candidate segments of a stretch, by end."""
-        return [(i, j, segment_features(text, tokens, i, j)) for j in range(1, len(tokens) + 1) for i in range(j - 1, max(-1, j - 1 - MAX_TOKENS), -1)]
+        """Candidate segments of a stretch, by end. Those without a digit or an at, which all kinds have, are ``PLAIN``."""
+        hinted = Field.hinted(text, tokens)
+        return [(i, j, segment_features(text, tokens, i, j) if i <= hinted[j - 1] else [PLAIN]) for j in range(1, len(tokens) + 1) for i in range(j - 1, max(-1, j - 1 - MAX_TOKENS), -1)]
+
+    @staticmethod
+    def likely(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
+        """The lattice without the plain segments, which are never best."""
+        hinted = Field.hinted(text, tokens)
+        return [(i, j, segment_features(text, tokens, i, j)) for j in range(1, len(tokens) + 1) for i in range(hinted[j - 1], max(-1, j - 1 - MAX_TOKENS), -1)]
+
+    @staticmethod
+    def hinted(text: str, tokens: list[tuple[int, int]]) -> list[int]:
+        """For each token the last one up to it with a digit or an at, or -1."""
+        out, last = [], -1
+        for k, (a, b) in enumerate(tokens):
+            if text[a] in "0123456789@" or text[a:b].lower() == "at":
+                last = k
+            out.append(last)
+        return out
 
     def scores(self, segments: list[tuple[int, int, list[int]]]) -> np.ndarray:
         return np.array([self.w[1:, f].sum(axis=1) for _, _, f in segments]).reshape(len(segments), len(KINDS))
 
     def decode(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
         """The best segmentation: ``(first token, end token, type)`` of the typed segments."""
-        segments = self.lattice(text, tokens)
+        segments = self.likely(text, tokens)
         score = self.scores(segments)
         n, kinds = len(tokens), len(KINDS) + 1
         best = np.full((n + 1, kinds), -np.inf)
@@ -209,24 +235,32 @@ def sentences(n: int, seed: int) -> Iterator[tuple[str, list[Span]]]:
         whole = next(stem + c for c in "0123456789" if luhn(stem + c))
         return r.choice([whole, " ".join(whole[i : i + 4] for i in range(0, 16, 4)), "-".join(whole[i : i + 4] for i in range(0, 16, 4))])
 
+    def spelt() -> str:
+        a, b = r.choice([(" at ", " dot "), (" at ", " dot "), (" [at] ", " [dot] "), (" (at) ", " (dot) ")])
+        return r.choice([name(), f"{name()}.{name()}", f"{name()}{d(2)}"]) + a + name() + b + r.choice(["com", "org", "net"])
+
+    def bank() -> str:
+        return "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(4))
+
     area = lambda: str(r.randint(201, 989))
     make = {
-        "email": lambda: r.choice([f"{name()}.{d(2)}@{name()}.com", f"{name()}[at]{name()}.com", f"{name()}[at]{name()}[dot]org", f"{name()}(at){name()}(dot)net"]),
+        "email": lambda: r.choice([f"{name()}.{d(2)}@{name()}.com", f"{name()}[at]{name()}.com", f"{name()}[at]{name()}[dot]org", f"{name()}(at){name()}(dot)net", spelt(), spelt(), spelt(), spelt()]),
         "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
         "card": card,
         "phone": lambda: r.choice([f"+{d(1)} ({area()}) 555-{d(4)}", f"({area()}) 555-{d(4)}", f"{area()}-555-{d(4)}", f"{area()}.555.{d(4)}", f"+{d(2)} {d(3)} {d(4)} {d(3)}", f"0{d(2)} {d(4)} {d(4)}"]),
         "id": lambda: f"{r.randint(100, 899)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}",
-        "account": lambda: r.choice("DE FR ES GB NL".split()) + d(2) + r.choice(["", " "]).join(["", d(4), d(4), d(4), d(4)]),
+        "account": lambda: r.choice("DE FR ES GB NL".split()) + d(2) + r.choice(["", " "]).join(["", *([d(4)] if r.random() < 0.6 else [bank()]), d(4), d(4), d(4), *([d(2)] if r.random() < 0.3 else [])]),
     }
     none = [
         lambda: f"{r.randint(0, 30)}.{r.randint(0, 99)}", lambda: f"version {r.randint(1, 9)}.{r.randint(0, 9)}.", lambda: d(r.randint(1, 9)), lambda: f"{r.randint(1900, 2099)}-{r.randint(10, 12)}-{r.randint(10, 28)}",
         lambda: f"{r.randint(10, 23)}:{d(2)}:{d(2)}", lambda: f"{r.randint(1, 999)},{d(3)}", lambda: f"{d(2)}/{d(2)}/20{d(2)}", lambda: d(r.choice([11, 12, 15, 16, 20, 24])), lambda: f"{r.randint(256, 999)}.{d(3)}.{d(3)}.{d(3)}", lambda: f"#{d(5)}",
-        lambda: f"{name()}{d(2)}", lambda: f"v{d(1)}.{d(1)}.{d(2)}", lambda: f"pp. {d(3)}-{d(3)}", lambda: f"{d(1)} + {d(2)} - {d(3)}", lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice([18, 32, 40]))), lambda: f"@{name()}", lambda: "AKIA" + "".join(r.choice("ABCDEFGHIJ234567") for _ in range(16)),
+        lambda: f"{name()}{d(2)}", lambda: f"v{d(1)}.{d(1)}.{d(2)}", lambda: f"pp. {d(3)}-{d(3)}", lambda: f"{d(1)} + {d(2)} - {d(3)}", lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice([18, 32, 40]))), lambda: f"@{name()}", lambda: f"{name()} at {d(2)}:{d(2)}", lambda: f"at the dot {name()}", lambda: f"{name()} at {r.choice(word)} dot {r.choice([*word, name()])}", lambda: f"{bank()} {d(4)}", lambda: "AKIA" + "".join(r.choice("ABCDEFGHIJ234567") for _ in range(16)),
     ]
     for _ in range(n):
         text, spans = "", []
         for _ in range(r.randint(1, 3)):
-            text += " ".join(r.choice(word) for _ in range(r.randint(1, 3))) + " "
+            if text or r.random() < 0.8:
+                text += " ".join(r.choice(word) for _ in range(r.randint(1, 3))) + " "
             if r.random() < 0.55:
                 kind = r.choice(KINDS)
                 if r.random() < 0.3:
@@ -249,7 +283,7 @@ def trained(n: int = 400, epochs: int = 6, seed: int = 7) -> Field:
             first, last = {x: k for k, (x, _) in enumerate(tokens)}, {y: k + 1 for k, (_, y) in enumerate(tokens)}
             gold = [(first[x], last[y], KINDS.index(kind) + 1) for kind, x, y in spans if a <= x < b]
             if all(j - i <= MAX_TOKENS for i, j, _ in gold):
-                rows.append((len(tokens), field.lattice(text, tokens), gold))
+                rows.append((len(tokens), field.likely(text, tokens), gold))
     for epoch in range(epochs):
         for row in rows:
             field.step(*row, rate=0.25 / (1 + 0.4 * epoch))
@@ -257,24 +291,45 @@ def trained(n: int = 400, epochs: int = 6, seed: int = 7) -> Field:
     return field
 
 
+def _beside(text: str, at: int, step: int) -> int:
+    """The far end of the chunks, ``AROUND`` at most, that follow ``at`` (or come before, for a ``step`` of -1), each one
+    white-space character away and on the same line."""
+    back = step < 0
+    for _ in range(AROUND):
+        space = at - 1 if back else at
+        if not 0 <= space < len(text) or text[space] == "\n" or not text[space].isspace():
+            break
+        start = end = space if back else space + 1
+        while (end > 0 if back else end < len(text)) and not text[end - 1 if back else end].isspace() and abs(end - start) <= WIDEST:
+            end += step
+        if not 0 < abs(end - start) <= WIDEST:
+            break
+        at = end
+    return at
+
+
 def stretches(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of chunks with a hint, one white-space character apart and on one line. Other tokens can be part of no
-    segment, so reading the runs one by one changes no answer."""
+    """Runs of chunks with a hint and those around them, one white-space character apart and on one line. Runs whose hints
+    are more than ``AROUND`` chunks apart stay two, and the second starts where the first ends."""
     begin = end = -1
-    for m in _HINT.finditer(text) if "at" in text or "@" in text or _DIGIT.search(text) else ():
-        if m.start() < end:
+    seen = 0
+    for m in _HINT.finditer(text) if "at" in text or "@" in text or "dot" in text or _DIGIT.search(text) else ():
+        if m.end() <= seen:
             continue
         a, b = m.span()
-        while a > max(end, 0) and not text[a - 1].isspace():
+        while a > seen and not text[a - 1].isspace():
             a -= 1
         while b < len(text) and not text[b].isspace():
             b += 1
-        if end >= 0 and a == end + 1 and text[end] != "\n":
-            end = b
+        near = _beside(text, a, -1)
+        joined = end >= 0 and near <= seen + 1 and text[seen] != "\n"
+        seen, b = b, _beside(text, b, 1)
+        if joined:
+            end = max(end, b)
             continue
         if end >= 0:
             yield begin, end
-        begin, end = a, b
+        begin, end = max(near, end), b
     if end >= 0:
         yield begin, end
 

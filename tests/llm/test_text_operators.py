@@ -62,6 +62,19 @@ def test_field_on_held_out_sentences():
     assert hit / wanted > 0.9 and hit / found > 0.9
 
 
+@pytest.mark.parametrize("value", ["john.smith [at] example [dot] com", "john at example dot com", "mary (at) sample (dot) org", "GB82 WEST 1234 5698 7654 32", "NL91 ABNA 0417 1643 0012"])
+@pytest.mark.parametrize("around", ["please write to {} for the rest", "{}", "the account: {}\nand more of the text"])
+def test_values_with_chunks_of_letters_only(value, around):
+    text = around.format(value)
+    at = text.index(value)
+    assert (at, at + len(value)) in {s[1:] for s in pii.field_spans(text, pii.trained())}
+
+
+@pytest.mark.parametrize("text", ["we met at noon and left at the dot of six", "look at the dot on the map", "the year 2019 was good", "chapter 12 begins at page 340"])
+def test_plain_words_around_hints_are_left(text):
+    assert pii.field_spans(text, pii.trained()) == []
+
+
 def test_field_decoding_is_the_best_of_all_segmentations():
     field = pii.trained()
     text = "call 555-1234 now"
