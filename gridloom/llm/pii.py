@@ -8,15 +8,20 @@ span are added, so forms that rules miss (telephone numbers without a plus, card
 national ids, account numbers, masked e-mail addresses) are found too.
 
 The field is trained here on sentences made from templates, by the exact gradient of its conditional likelihood.
-Null and empty texts have no spans; repeated rows count each; an empty table gives no rows; columns other than doc_id
-and text pass through ``redact`` and are not read elsewhere. Offsets are code points, ends exclusive.
+Null and empty texts have no spans; repeated rows count each; a null id is kept; an empty table gives no rows; columns
+other than doc_id and text pass through ``redact`` and are not read elsewhere. Offsets are code points, ends exclusive.
+A text of any length is read whole: the rules take time in proportion to it, and decoding moves along a stretch with the
+last ``MAX_TOKENS`` tokens and the segments chosen so far in memory. Of segmentations that score the same, the one with
+no segment, then the shorter segment and the type listed first, is taken.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 from random import Random
 
@@ -30,18 +35,20 @@ from gridloom.llm.common import mapped, texts
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "id", "account")
 MAX_TOKENS = 16
+MAX_CHARS, MAX_DIGITS = 96, 34  # of a segment: the longest account numbers have 34 characters
 AROUND = 2  # chunks that a stretch takes in on either side of a hint
 WIDEST = 40  # characters of such a chunk at most
 BITS = 13
 # Endings of addresses in plain words ("john at example dot com") that are no common English words.
 ENDINGS = frozenset("com org net edu gov mil info biz io co uk de fr es nl eu ca au jp ch se".split())
-PLAIN = 1 << BITS  # the one feature of segments that can be no personal data
 
 Span = tuple[str, int, int]
+Facts = tuple[str, str, bool, bool, int, bool, bool]
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+# From the start of a run of digits and without going back: no other start in the run could match.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -55,8 +62,8 @@ def luhn(digits: str) -> bool:
     return (sum(map(int, digits[-1::-2])) + sum(d - 9 if d > 9 else d for d in doubled)) % 10 == 0
 
 
-def _digits(s: str) -> str:
-    return "".join(_DIGIT.findall(s))
+def _count(s: str) -> int:
+    return sum(map(s.count, "0123456789"))
 
 
 def base_spans(text: str) -> list[Span]:
@@ -74,8 +81,12 @@ def base_spans(text: str) -> list[Span]:
     if not _DIGIT.search(text):
         return out
     out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p[-3:] or 0) <= 255 for p in m.group().split("."))]
-    out += [("card", *m.span()) for m in _CARD.finditer(text) if 13 <= len(d := _digits(m.group())) <= 19 and luhn(d)]
-    out += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m.group())) <= 15]
+    for m in _CARD.finditer(text):
+        a, b = m.span()
+        # 19 digits and what stands between them
+        if 13 <= b - a <= 37 and 13 <= len(d := m.group().replace(" ", "").replace("-", "")) <= 19 and luhn(d):
+            out.append(("card", a, b))
+    out += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= _count(m.group()) <= 15]
     return out
 
 
@@ -87,24 +98,64 @@ def _key(*parts: object) -> int:
     return zlib.crc32("\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass")) >> (32 - BITS)
 
 
-def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[int]:
-    """Hashed features of the segment of tokens i..j-1 as a whole."""
-    start, end = tokens[i][0], tokens[j - 1][1]
-    s, digits = text[start:end], _digits(text[start:end])
-    before = text[tokens[i - 1][0] : start].lower() if i and tokens[i - 1][1] == start else _LAST.search(text, max(0, start - 24), start).group().lower()
-    glued = (start > 0 and not text[start - 1].isspace(), end < len(text) and not text[end].isspace() and text[end] not in ".,;:!?")
-    n = len(digits)
-    parts = s.split(".") if s.count(".") == 3 else []
-    octets = bool(parts) and all(p.isdigit() and int(p) <= 255 for p in parts if len(p) < 9) and all(0 < len(p) < 9 for p in parts)
+_ZERO = str.maketrans("123456789", "0" * 9)
+_SPELT = re.compile(r"[A-Za-z0-9._-]+ ?([\[(]?)at[\])]? ?[A-Za-z0-9-]+ ?[\[(]?dot[\])]? ?([A-Za-z]+)")
+_ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?")
+
+
+def facts(text: str, start: int, end: int, before: str, glued: tuple[bool, bool], size: int) -> Facts:
+    """All that the features of a segment of ``size`` tokens read: its characters with zeros for digits, what stands
+    around it, and whether its digits pass a card's checksum and its parts are below 256."""
+    s = text[start:end]
+    masked = s.translate(_ZERO)
+    n = masked.count("0")
+    card = 13 <= n <= 19 and n == len(s) - s.count(" ") - s.count("-") and luhn(s.replace(" ", "").replace("-", ""))
+    parts = s.split(".") if masked.count(".") == 3 else []
+    octets = bool(parts) and all(p.isascii() and p.isdigit() and len(p) < 9 and int(p) <= 255 for p in parts)
+    return masked, before, *glued, size, card, octets
+
+
+def segment_features(told: Facts) -> list[int]:
+    """Hashed features of a segment as a whole."""
+    s, before, left, right, size, card, octets = told
+    n = s.count("0")
     # A spelt address has a form of its own, or it would share that of any few words; plain words need a known ending.
-    m = re.fullmatch(r"[A-Za-z0-9._-]+ ?([\[(]?)at[\])]? ?[A-Za-z0-9-]+ ?[\[(]?dot[\])]? ?([A-Za-z]+)", s)
+    m = _SPELT.fullmatch(s)
     spelt = ("spelt" if m[1] or m[2].lower() in ENDINGS else "words") if m else ""
     seps = spelt or "".join(sorted({c for c in s if not c.isalnum()}))
-    out = [_key("b"), _key("shape", spelt or _shape(s)), _key("n", spelt or n), _key("seps", seps), _key("glue", *glued), _key("n+seps", n, seps), _key("tokens", spelt or j - i), _key("ends", s[0].isalnum(), s[-1].isalnum(), s[0] in "+(")]
+    out = [_key("b"), _key("shape", spelt or _shape(s)), _key("n", spelt or n), _key("seps", seps), _key("glue", left, right), _key("n+seps", n, seps), _key("tokens", spelt or size), _key("ends", s[0].isalnum(), s[-1].isalnum(), s[0] in "+(")]
     out += [_key("word", before), _key("word+n", before, n), _key("at", "@" in s, "." in s.partition("@")[2]), _key("letters", spelt or any(c.isalpha() for c in s))]
-    out += [_key("luhn", 13 <= n <= 19 and n == sum(c not in " -" for c in s) and luhn(digits)), _key("octets", octets), _key("spelt", spelt)]
-    out += [_key("iban", bool(re.fullmatch(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?", s)))]
-    return out
+    return [*out, _key("luhn", card), _key("octets", octets), _key("spelt", spelt), _key("iban", bool(_ACCOUNT.fullmatch(s)))]
+
+
+def ending(text: str, tokens: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int, list[tuple[int, int, Facts]]]]:
+    """For each token its bounds and the candidates that end with it, the shortest first: ``(tokens, start, facts)`` of
+    those with a digit or an at, of at most ``MAX_TOKENS`` tokens, ``MAX_CHARS`` characters and ``MAX_DIGITS`` digits, that
+    begin with a letter, a digit, a plus or a bracket and end with a letter or a digit."""
+    last: deque[tuple[int, str, bool, bool, int, bool]] = deque(maxlen=MAX_TOKENS)
+    before_end = -1
+    for a, b in tokens:
+        if before_end == a:
+            before = text[max(last[-1][0], a - 24) : a].lower()
+        else:
+            before = _LAST.search(text, max(0, a - 24), a).group().lower()
+        first = text[a]
+        plain = first.isascii() and first.isalnum()
+        hint = first in "0123456789@" or text[a:b].lower() == "at"
+        last.append((a, before.translate(_ZERO), a > 0 and not text[a - 1].isspace(), hint, b - a if plain and first.isdigit() else 0, plain or first in "+("))
+        before_end = b
+        if not plain:
+            yield a, b, []
+            continue
+        right = b < len(text) and not text[b].isspace() and text[b] not in ".,;:!?"
+        found, hinted, digits = [], False, 0
+        for size, (start, word, left, own, n, begins) in enumerate(reversed(last), 1):
+            hinted, digits = hinted or own, digits + n
+            if b - start > MAX_CHARS or digits > MAX_DIGITS:
+                break
+            if hinted and begins:
+                found.append((size, start, facts(text, start, b, word, (left, right), size)))
+        yield a, b, found
 
 
 class Field:
@@ -113,62 +164,55 @@ class Field:
     Type 0 is "none", whose segments are single tokens of score 0."""
 
     def __init__(self) -> None:
-        self.w = np.zeros((len(KINDS) + 1, (1 << BITS) + 1))
-        self.w[:, PLAIN] = -1e4
+        self.w = np.zeros((len(KINDS) + 1, 1 << BITS))
         self.t = np.zeros((len(KINDS) + 1, len(KINDS) + 1))
+        self.known: dict[Facts, list[float] | None] = {}
 
-    @staticmethod
-    def lattice(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
-        """Candidate segments of a stretch, by end. Those without a digit or an at, which all kinds have, are ``PLAIN``."""
-        hinted = Field.hinted(text, tokens)
-        return [(i, j, segment_features(text, tokens, i, j) if i <= hinted[j - 1] else [PLAIN]) for j in range(1, len(tokens) + 1) for i in range(j - 1, max(-1, j - 1 - MAX_TOKENS), -1)]
-
-    @staticmethod
-    def likely(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
-        """The lattice without the plain segments, which are never best."""
-        hinted = Field.hinted(text, tokens)
-        return [(i, j, segment_features(text, tokens, i, j)) for j in range(1, len(tokens) + 1) for i in range(hinted[j - 1], max(-1, j - 1 - MAX_TOKENS), -1)]
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
 
     @staticmethod
-    def hinted(text: str, tokens: list[tuple[int, int]]) -> list[int]:
-        """For each token the last one up to it with a digit or an at, or -1."""
-        out, last = [], -1
-        for k, (a, b) in enumerate(tokens):
-            if text[a] in "0123456789@" or text[a:b].lower() == "at":
-                last = k
-            out.append(last)
-        return out
+    def lattice(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
+        """Candidate segments of a stretch, by end: ``(first token, end token, features)``."""
+        return [(j - size, j, segment_features(told)) for j, (_, _, found) in enumerate(ending(text, tokens), 1) for size, _, told in found]
 
     def scores(self, segments: list[tuple[int, int, list[int]]]) -> np.ndarray:
         return np.array([self.w[1:, f].sum(axis=1) for _, _, f in segments]).reshape(len(segments), len(KINDS))
 
-    def decode(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-        """The best segmentation: ``(first token, end token, type)`` of the typed segments."""
-        segments = self.likely(text, tokens)
-        score = self.scores(segments)
-        n, kinds = len(tokens), len(KINDS) + 1
-        best = np.full((n + 1, kinds), -np.inf)
-        best[0, 0] = 0
-        back: list[dict[int, tuple[int, int]]] = [{} for _ in range(n + 1)]
-        at = 0
-        for j in range(1, n + 1):
-            into = best[j - 1] + self.t[:, 0]
-            y = int(into.argmax())
-            best[j, 0], back[j][0] = into[y], (j - 1, y)
-            while at < len(segments) and segments[at][1] == j:
-                i = segments[at][0]
-                into = best[i][:, None] + self.t[:, 1:]
-                y = into.argmax(axis=0)
-                value = into[y, np.arange(kinds - 1)] + score[at]
-                for k in np.flatnonzero(value > best[j, 1:]).tolist():
-                    best[j, k + 1], back[j][k + 1] = value[k], (i, int(y[k]))
-                at += 1
-        out, j, y = [], n, int(best[n].argmax())
-        while j > 0:
-            i, z = back[j][y]
-            if y:
-                out.append((i, j, y))
-            j, y = i, z
+    def worth(self, told: Facts) -> list[float] | None:
+        """The scores of a candidate by type; none where it can be in no best segmentation: whatever the types beside
+        it, as many tokens of type 0 would score no less. Known ones are remembered, up to a fixed number."""
+        if told in self.known:
+            return self.known[told]
+        score, t = self.w[1:, segment_features(told)].sum(axis=1), self.t
+        gain = score + (t[:, 1:] - t[:, :1]).max(axis=0) + np.maximum(0, (t[1:] - t[:1]).max(axis=1)) - (told[4] - 1) * t[0, 0]
+        if len(self.known) >= 50_000:
+            self.known.clear()
+        out = self.known[told] = score.tolist() if gain.max() > 0 else None
+        return out
+
+    def decode(self, text: str, tokens: Iterable[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """The best segmentation: ``(start, end, type)`` of the typed segments."""
+        t, kinds = self.t.tolist(), range(1, len(KINDS) + 1)
+        # After each of the last tokens the best (score, type, chosen segments), by type of the last one; segments are
+        # linked to those before them, so only chosen ones are held.
+        now: list[tuple] = [(0.0, 0, None)]
+        past: deque[list[tuple]] = deque([now], maxlen=MAX_TOKENS)
+        for _, end, found in ending(text, tokens):
+            best: dict[int, tuple] = {0: max(((v + t[z][0], 0, chosen) for v, z, chosen in now), key=lambda s: s[0])}
+            for size, start, told in found:
+                if (score := self.worth(told)) is None:
+                    continue
+                for y in kinds:
+                    value, chosen = max(((v + t[z][y], chosen) for v, z, chosen in past[-size]), key=lambda s: s[0])
+                    if y not in best or value + score[y - 1] > best[y][0]:
+                        best[y] = (value + score[y - 1], y, (chosen, start, end, y))
+            now = list(best.values())
+            past.append(now)
+        out, chosen = [], max(now, key=lambda s: s[0])[2]
+        while chosen:
+            chosen, *segment = chosen
+            out.append(tuple(segment))
         return out[::-1]
 
     def step(self, n: int, segments: list[tuple[int, int, list[int]]], gold: list[tuple[int, int, int]], rate: float) -> float:
@@ -283,7 +327,7 @@ def trained(n: int = 400, epochs: int = 6, seed: int = 7) -> Field:
             first, last = {x: k for k, (x, _) in enumerate(tokens)}, {y: k + 1 for k, (_, y) in enumerate(tokens)}
             gold = [(first[x], last[y], KINDS.index(kind) + 1) for kind, x, y in spans if a <= x < b]
             if all(j - i <= MAX_TOKENS for i, j, _ in gold):
-                rows.append((len(tokens), field.likely(text, tokens), gold))
+                rows.append((len(tokens), field.lattice(text, tokens), gold))
     for epoch in range(epochs):
         for row in rows:
             field.step(*row, rate=0.25 / (1 + 0.4 * epoch))
@@ -336,17 +380,32 @@ def stretches(text: str) -> Iterator[tuple[int, int]]:
 
 def field_spans(text: str, field: Field) -> list[Span]:
     """Typed segments of the whole text."""
-    out: list[Span] = []
-    for a, b in stretches(text):
-        tokens = [m.span() for m in _TOKEN.finditer(text, a, b)]
-        out += [(KINDS[y - 1], tokens[i][0], tokens[j - 1][1]) for i, j, y in field.decode(text, tokens)]
-    return out
+    tokens = lambda a, b: (m.span() for m in _TOKEN.finditer(text, a, b))
+    return [(KINDS[y - 1], start, end) for a, b in stretches(text) for start, end, y in field.decode(text, tokens(a, b))]
+
+
+def meeting(spans: list[Span]) -> Callable[[int, int], bool]:
+    """Whether start..end meets one of the spans, by one look into their union."""
+    starts, ends = [], []
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def meets(start: int, end: int) -> bool:
+        at = bisect_left(starts, end) - 1
+        return at >= 0 and ends[at] > start
+
+    return meets
 
 
 def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     """The rules' spans, and those with the field's that meet none of them, by kind as listed, then start."""
     base = base_spans(text)
-    added = [s for s in field_spans(text, field) if not any(s[1] < b[2] and b[1] < s[2] for b in base)]
+    meets = meeting(base)
+    added = [s for s in field_spans(text, field) if not meets(s[1], s[2])]
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
+import time
 import zlib
 from random import Random
 
@@ -75,32 +77,67 @@ def test_plain_words_around_hints_are_left(text):
     assert pii.field_spans(text, pii.trained()) == []
 
 
-def test_field_decoding_is_the_best_of_all_segmentations():
+@pytest.mark.parametrize("text", ["call 555-1234 now", "12 4111 1111 3-4", "+1 (415) 555-0199, x"])
+def test_field_decoding_is_the_best_of_all_segmentations(text):
     field = pii.trained()
-    text = "call 555-1234 now"
     tokens = [m.span() for m in pii._TOKEN.finditer(text)]
     segments = field.lattice(text, tokens)
     score = {(i, j): s for (i, j, _), s in zip(segments, field.scores(segments), strict=True)}
 
+    @functools.cache
     def best(at, last):
         if at == len(tokens):
             return 0.0
         out = field.t[last, 0] + best(at + 1, 0)
-        for j in range(at + 1, min(len(tokens), at + pii.MAX_TOKENS) + 1):
-            for y in range(1, len(pii.KINDS) + 1):
+        for j in range(at + 1, len(tokens) + 1):
+            for y in range(1, len(pii.KINDS) + 1) if (at, j) in score else ():
                 out = max(out, field.t[last, y] + score[at, j][y - 1] + best(j, y))
         return out
 
     total, last, at = 0.0, 0, 0
-    for i, j, y in field.decode(text, tokens):
-        for _ in range(at, i):
+    first, end = {a: k for k, (a, _) in enumerate(tokens)}, {b: k + 1 for k, (_, b) in enumerate(tokens)}
+    for a, b, y in field.decode(text, tokens):
+        for _ in range(at, first[a]):
             total, last = total + field.t[last, 0], 0
-        total, last, at = total + field.t[last, y] + score[i, j][y - 1], y, j
+        total, last, at = total + field.t[last, y] + score[first[a], end[b]][y - 1], y, end[b]
     for _ in range(at, len(tokens)):
         total, last = total + field.t[last, 0], 0
     assert total == pytest.approx(best(0, 0))
 
 
+@pytest.mark.parametrize("text", ["see 1.2.3.4² there", "call ٣٤٥-٦٧٨-٩٠١٢ or ５５５-1234", "①②③.④.5.6", "1.2.3.4\u0663"])
+def test_digits_of_other_scripts_are_no_digits(text):
+    assert [s for s in pii.all_spans(text, pii.trained())[0]] == plain_pii(text)
+
+
+def test_very_long_runs_take_time_in_proportion():
+    field, r = pii.trained(), Random(4)
+    took = []
+    for n in (20_000, 80_000):
+        for text in ("7" * n, ",".join(str(r.randint(0, 9999)) for _ in range(n // 5)), " ".join(f"{r.randint(201, 989)}-555-{r.randint(1000, 9999)}" for _ in range(n // 13))):
+            began = time.process_time()
+            assert pii.base_spans(text) == plain_pii(text) or n > 20_000
+            pii.field_spans(text, field)
+            took.append(time.process_time() - began)
+    assert all(late < 16 * early + 1 for early, late in zip(took[:3], took[3:], strict=True))
+
+
+def test_spans_found_one_by_one_are_those_of_the_whole_run():
+    field = pii.trained()
+    found = pii.field_spans(" ".join(f"{200 + i}-555-{1000 + i}" for i in range(500)), field)
+    assert [e - s for k, s, e in found if k == "phone"] == [12] * 500
+
+
+def test_meeting_spans():
+    r = Random(2)
+    for _ in range(200):
+        spans = [("x", a, a + r.randint(1, 9)) for a in (r.randint(0, 60) for _ in range(r.randint(0, 6)))]
+        meets = pii.meeting(spans)
+        for a in range(0, 70, 3):
+            b = a + r.randint(1, 8)
+            assert meets(a, b) == any(a < y and x < b for _, x, y in spans)
+
+
 def test_pii_query(spark, sf_dir):
     got = {r.doc_id: r for r in queries.QUERIES["op1_semi_markov_pii"](spark, sf_dir).collect()}
     for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
