@@ -4,16 +4,20 @@ Writing: each page is a ``response`` record, or a ``revisit`` of the page with t
 Reading: the dictionary comes from the skippable frame (magic 0x184D2A5D), each later frame must hold exactly one
 record, and the version line, required headers, lengths and digests are validated; a bad frame raises ``WarcError``.
 
+Each attempt of a writing task has file names of its own, and the names that count are the rows which Spark keeps of the
+attempt that succeeded (the manifest). Files that a lost or a speculative attempt leaves behind are never read.
+
 A null html is an empty payload, repeated page ids stay separate rows, a null id is written as -1 and comes first, an
-empty table gives no archive and no rows. Columns other than page_id, url and html are not read.
+empty table gives no archive and no rows. Very long pages are written and read whole, one record in memory at a time. Of
+equal payloads with one id all are responses. Columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import io
-import os
 import re
 import struct
 import urllib.parse
@@ -133,14 +137,37 @@ def read_archive(source: io.BufferedIOBase) -> Iterator[dict]:
         yield parse_record(b"".join(parts))
 
 
+#: Schemes of Hadoop's file systems by the names that Arrow has for the same stores.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfss", "abfs": "abfs", "hdfs": "hdfs", "viewfs": "viewfs", "gs": "gs", "s3": "s3", "file": "file"}
+
+
+def arrow_uri(path: str) -> str:
+    """A Hadoop path as Arrow reads it: ``s3a://b/k`` is ``s3://b/k``, ``file:/x`` is ``file:///x``; no scheme is local."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return "file://" + path
+    if scheme not in SCHEMES:
+        raise ValueError(f"archives cannot be written to {scheme}: (known are {', '.join(SCHEMES)})")
+    return f"{SCHEMES[scheme]}://" + ("/" + rest.lstrip("/") if scheme == "file" else rest.removeprefix("//"))
+
+
+@functools.cache
 def _sink(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return (pyarrow.fs.LocalFileSystem(), folder) if folder.startswith("/") else pyarrow.fs.FileSystem.from_uri(folder)
+    uri = arrow_uri(folder)
+    if uri.startswith("file://"):
+        return pyarrow.fs.LocalFileSystem(), uri.removeprefix("file://")
+    try:
+        return pyarrow.fs.FileSystem.from_uri(uri)
+    except (OSError, ValueError, NotImplementedError) as e:
+        raise ValueError(f"Arrow on this worker has no file system for {uri}: {e}") from e
 
 
 def train_dictionary(pages: DataFrame, samples: int = 256, sample_bytes: int = 8192, size: int = 16384) -> bytes:
     """A dictionary from at most ``samples`` pages' leading ``sample_bytes`` characters: a bounded sample, which only
-    helps compression. Too few pages to learn from give none."""
-    got = [r[0].encode() for r in pages.where("html <> ''").select(F.substring("html", 1, sample_bytes)).limit(samples).collect()]
+    helps compression. It is chosen by a hash of the id, so archives are the same whenever they are written. Too few pages
+    to learn from give none."""
+    some = pages.where("html <> ''").select(F.xxhash64("page_id", F.lit(10)).alias("r"), "page_id", F.substring("html", 1, sample_bytes).alias("t"))
+    got = [r.t.encode("utf-8", "surrogatepass") for r in some.orderBy("r", "page_id", "t").limit(samples).collect()]
     try:
         return zstandard.train_dictionary(size, got).as_bytes() if len(got) >= 16 else b""
     except zstandard.ZstdError:
@@ -164,49 +191,45 @@ def described(pages: DataFrame, common: int = 10_000) -> DataFrame:
     return both.withColumn("refers_to", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id"))).drop("first_id")
 
 
-def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 16 << 20, level: int = 3) -> None:
-    """Writes ``pages (page_id, url, html)`` as ``*.warc.zst`` files of about ``roll_bytes`` each in the shared folder.
-
-    A file is written under a name of its own attempt and then moved, so a repeated task replaces what it wrote.
-    Of rows that repeat both id and payload each is a response."""
+def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 16 << 20, level: int = 3) -> DataFrame:
+    """Writes ``pages (page_id, url, html)`` as ``*.warc.zst`` files of about ``roll_bytes`` each in the shared folder and
+    returns their manifest, ``path, records``, kept in the shared store."""
+    spark = pages.sparkSession
     dictionary = train_dictionary(pages)
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
         store, base = _sink(folder)
-        store.create_dir(base, recursive=True)
         made = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         packer = zstandard.ZstdCompressor(level=level, write_content_size=True, **({"dict_data": made} if made else {}))
-        out, size, files, trial = None, 0, 0, f"{base}/.part-{part}-{uuid.uuid4().hex}"
-
-        def shut() -> None:
-            out.close()
-            store.move(trial, f"{base}/part-{part:06d}-{files:05d}.warc.zst")
-
+        attempt, out, size, files = uuid.uuid4().hex, None, 0, []
         for b in batches:
-            for page, url, html, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
+            columns = [b.column(c) for c in ("page_id", "url", "html", "refers_to")]
+            for at in range(b.num_rows):
+                page, url, html, refers = (c[at].as_py() for c in columns)
                 payload = html.encode("utf-8", "surrogatepass")
                 frame = packer.compress(record_bytes(page, url, payload, payload_digest(payload), refers))
                 if out is not None and size + len(frame) > roll_bytes:
-                    shut()
-                    out, files = None, files + 1
+                    out.close()
+                    out = None
                 if out is None:
-                    out, size = store.open_output_stream(trial, compression=None), 0
+                    files.append([f"part-{attempt}-{len(files):05d}.warc.zst", 0])
+                    out, size = store.open_output_stream(f"{base}/{files[-1][0]}", compression=None), 0
                     out.write(dictionary_frame(dictionary) if dictionary else b"")
                 out.write(frame)
                 size += len(frame)
+                files[-1][1] += 1
         if out is not None:
-            shut()
-            files += 1
-        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{n}" for n, _ in files], pa.string()), pa.array([n for _, n in files], pa.int64())], names=["path", "records"])
 
-    mapped(described(pages).select("page_id", "url", "html", "refers_to"), write, "files long").agg(F.sum("files")).collect()
+    return stored(mapped(described(pages).select("page_id", "url", "html", "refers_to"), write, "path string, records long"), "manifest")
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """``page_id, payload, payload_bytes, payload_digest, record_type, refers_to`` of each record in the archives."""
+def read_archives(manifest: DataFrame) -> DataFrame:
+    """``page_id, payload, payload_bytes, payload_digest, record_type, refers_to`` of each record in the archives of
+    ``manifest (path, records)``; a file with another number of records is an error."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
@@ -216,34 +239,29 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
         for b in batches:
-            for path in b.column("path").to_pylist():
-                store, name = _sink(re.sub("^file:/+", "/", path))
-                rows, held = [], 0
+            for path, records in zip(b.column("path").to_pylist(), b.column("records").to_pylist(), strict=True):
+                store, name = _sink(path)
+                rows, held, n = [], 0, 0
                 with store.open_input_stream(name, compression=None) as source:
                     for r in read_archive(source):
                         h = r["headers"]
                         page, refers = (int(x.rpartition(":")[2].rstrip(">")) if x else None for x in (h["warc-record-id"], h.get("warc-refers-to")))
                         rows.append((page, r["payload"], r["payload_bytes"], h["warc-payload-digest"].removeprefix("sha1:"), r["record_type"], refers))
-                        held += len(r["payload"])
+                        held, n = held + len(r["payload"]), n + 1
                         if held > 4 << 20 or len(rows) >= 1000:
                             yield out(rows)
                             rows, held = [], 0
+                if n != records:
+                    raise WarcError(f"{path} has {n} records and not {records}")
                 if rows:
                     yield out(rows)
 
     schema = "page_id long, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(where):
-        return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "length")
     # Only names are read here; tasks stream the files, so dealing them out evenly costs nothing.
-    count = max(1, min(spark.sparkContext.defaultParallelism * 4, files.count()))
-    return mapped(files.repartition(count), read, schema)
+    count = max(1, min(manifest.sparkSession.sparkContext.defaultParallelism * 4, manifest.count()))
+    return mapped(manifest.repartition(count), read, schema)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Writes archives to the shared store and reads them back."""
-    folder = scratch_path(spark, "warc")
-    write_archives(pages, os.fspath(folder))
-    return read_archives(spark, folder)
+    return read_archives(write_archives(pages, scratch_path(spark, "warc")))

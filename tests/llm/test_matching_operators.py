@@ -252,6 +252,30 @@ def test_common_payloads_are_looked_up(spark):
         assert got[r.page_id] == (None if want == r.page_id else want)
 
 
+def test_files_that_no_attempt_owns_up_to_are_not_read(spark, tmp_path):
+    """As a lost attempt leaves them: whole files, and one cut short."""
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("http://a/").alias("url"), F.concat(F.lit("page "), F.col("id").cast("string")).alias("html")).repartition(3)
+    folder = tmp_path / "archives"
+    first = warc.write_archives(pages, str(folder), roll_bytes=3000)
+    assert first.count() > 3 and first.agg(F.sum("records")).first()[0] == 400
+    again = warc.write_archives(pages, f"file:{folder}", roll_bytes=2000)
+    next(folder.glob("*.zst")).with_name("part-lost-00000.warc.zst").write_bytes(b"cut")
+    for manifest in (first, again):
+        assert sorted(r.page_id for r in warc.read_archives(manifest).collect()) == list(range(400))
+    with pytest.raises(Exception, match="records and not"):
+        warc.read_archives(first.withColumn("records", F.col("records") + 1)).collect()
+
+
+@pytest.mark.parametrize(("path", "uri"), [("s3a://b/k", "s3://b/k"), ("/x/y", "file:///x/y"), ("file:/x", "file:///x"), ("file:///x", "file:///x"), ("hdfs://h:8020/x", "hdfs://h:8020/x"), ("abfss://c@a.dfs.core.windows.net/x", "abfss://c@a.dfs.core.windows.net/x")])
+def test_paths_of_shared_stores(path, uri):
+    assert warc.arrow_uri(path) == uri
+
+
+def test_unknown_stores_are_refused():
+    with pytest.raises(ValueError, match="oss"):
+        warc.arrow_uri("oss://b/k")
+
+
 def archive(dictionary=b"", records=()):
     made = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
     pack = zstandard.ZstdCompressor(**({"dict_data": made} if made else {}))
