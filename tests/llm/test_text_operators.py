@@ -258,6 +258,40 @@ def test_tiling_covers_what_plain_greedy_tiling_covers():
         assert got == sorted(plain_tiles(doc, item, 3))
 
 
+def test_matches_are_those_of_plain_tiling_of_all_pairs():
+    r = Random(8)
+    words = [f"t{i}" for i in range(40)]
+    items = [(i, " ".join(r.choices(words, k=r.randint(2, 14)))) for i in range(12)]
+    items.append((99, items[3][1]))
+    block = decontamination._Block(items, 3, 0.6)
+    some = 0
+    for _ in range(150):
+        cut = r.choice(items)[1].split()
+        at = r.randrange(len(cut))
+        doc = " ".join([*r.choices([*words, "other"], k=r.randint(0, 15)), *cut[at:], "other", *cut[:at], *r.choices(words, k=5)])
+        want = []
+        for i, text in items:
+            item = text.split()
+            tiles = plain_tiles(doc.split(), item, 3) if len(item) >= 3 else []
+            if tiles and sum(tiles) >= 0.6 * len(item):
+                want.append((i, len(item), sum(tiles), len(tiles)))
+        assert sorted(block.matches(doc)) == sorted(want)
+        some += len(want)
+    assert some > 100
+
+
+def test_running_hashes_are_those_of_equal_windows():
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 3, 300)
+    runs = decontamination.Running(ids)
+    for k in (1, 2, 5, 9):
+        starts = np.arange(len(ids) - k + 1)
+        seen = {}
+        for s, h in zip(starts.tolist(), runs.windows(starts, k).tolist(), strict=True):
+            assert seen.setdefault(h, tuple(ids[s : s + k])) == tuple(ids[s : s + k])
+        assert len(seen) == len({tuple(ids[s : s + k]) for s in starts})
+
+
 def test_reordered_passages_are_caught_and_clean_texts_left(spark, sf_dir):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect() if len(decontamination.tokens(r.text)) >= 15][:8]
