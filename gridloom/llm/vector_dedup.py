@@ -8,15 +8,17 @@ Equal vectors are one class, and classes are indexed whole:
 2. A class probes each list whose cell a partner may lie in. With cosine at least t a partner lies within
    r = sqrt(2 - 2 t); it is in another cell only if it crosses the plane between the two centroids, so lists whose plane
    is farther than r are skipped. No list that can hold a partner is, whatever the directions a group varies in.
-3. Neighbouring lists are joined in bins of about ``block`` classes, larger lists are dealt in parts of that size, and the
-   classes that probe a bin in blocks as well, so a group of near copies of any size is many small groups. Within one, the
+3. Neighbouring lists are joined in bins of about ``block`` classes. A larger list has centroids of its own, one for each
+   ``block`` classes, and is split and probed by them in the same way, so the number of lists in all grows with the table
+   and their size does not. What is still larger is dealt in pieces, and the classes that probe a part in blocks, so a
+   group of near copies of any size is many small groups. Within one, the
    asymmetric distances to the codes are one product with the vectors they stand for; the triangle inequality with the
    stored error drops what cannot link, and the rest is compared by exact cosine.
 
 Only counts and a spanning forest leave a group, not pairs. Vectors that are null, empty, zero or hold null or
 non-finite components link with nothing; vectors of different lengths do not link (each length has an index of its own);
-repeated rows count each; a null id is read as -1; an empty table gives no rows. Classes are 64-bit hashes of the
-vector. Columns other than vec_id and embedding are not read.
+repeated rows count each; a null id is read as -1; an empty table gives no rows. Of lists equally near the first counts.
+Classes are 64-bit hashes of the vector. Columns other than vec_id and embedding are not read.
 """
 
 from __future__ import annotations
@@ -29,12 +31,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import FloatType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import FloatType, IntegerType, StructField, StructType
 
 from gridloom.llm.common import components, stored, unstore
 
 CODES = 64  # codewords of a subspace
 WIDTH = 4  # dimensions of a subspace
+MOST_PARTS = 4096  # of one list; past that (8 million classes in a list) parts are dealt in pieces
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -44,6 +48,11 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _gaps(c: np.ndarray) -> np.ndarray:
+    """Distances between the rows."""
+    return np.sqrt(np.maximum(0, (c * c).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None] - 2 * c @ c.T))
+
+
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     half = 0.5 * (centres * centres).sum(axis=1)
     return np.concatenate([(x[i : i + 4096] @ centres.T - half).argmax(axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.empty(0, np.int64)
@@ -143,7 +152,7 @@ def index(classes: DataFrame, quantiser: Quantiser, dim: int, reach: float) -> D
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = sent.value
         c = q.centroids
-        gaps = np.sqrt(np.maximum(0, (c * c).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None] - 2 * c @ c.T))
+        gaps = _gaps(c)
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
@@ -209,6 +218,32 @@ def compare(rows: pd.DataFrame, quantiser: Quantiser, cosine: float, kind: str,
     return pd.DataFrame({"node": out_node, "links": np.concatenate([links[linked], np.zeros(len(met), np.int64)]), "root": out_root})
 
 
+def _spread(rows: DataFrame, subs: DataFrame, kind: str, reach: float | None) -> DataFrame:
+    """``rows (bin, node, vec, ...)`` with the part of their bin that they lie in, or, given a ``reach``, each part that a
+    partner may lie in. ``subs``: ``bin, deal, centres`` for each deal of a bin's rows, which is one group."""
+    schema = StructType([*rows.schema.fields, StructField("part", IntegerType())])
+
+    def place(rows: pa.Table, subs: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return schema_of.empty_table()
+        dim = len(rows.column("vec")[0].as_py()) // np.dtype(kind).itemsize
+        centres = np.frombuffer(subs.column("centres")[0].as_py(), np.float64).reshape(-1, dim)
+        q = Quantiser(centres, np.zeros((0, CODES, WIDTH)))
+        gaps = _gaps(centres)
+        row, part = [], []
+        for at in range(0, rows.num_rows, 2048):
+            x = unit(np.frombuffer(b"".join(rows.column("vec").slice(at, 2048).to_pylist()), kind).reshape(-1, dim))
+            near = _nearest(x, centres)
+            r, p = (np.arange(len(x)), near) if reach is None else np.nonzero(q.probes(x, near, reach, gaps))
+            row.append(at + r)
+            part.append(p)
+        return rows.take(pa.array(np.concatenate(row))).append_column("part", pa.array(np.concatenate(part).astype(np.int32))).cast(schema_of)
+
+    schema_of = to_arrow_schema(schema)
+    dealt = rows.withColumn("__deal", F.pmod(F.xxhash64("node", F.lit(3)), F.col("__deals"))).groupBy("bin", "__deal")
+    return dealt.cogroup(subs.groupBy("bin", "deal")).applyInArrow(lambda x, y: place(x.drop_columns(["__deal"]), y), schema)
+
+
 def _links(indexed: DataFrame, quantiser: Quantiser, cosine: float, block: int, kind: str) -> DataFrame:
     """``node, links, root`` found between the classes of ``indexed`` and the bins they probe."""
     spark = indexed.sparkSession
@@ -220,25 +255,58 @@ def _links(indexed: DataFrame, quantiser: Quantiser, cosine: float, block: int,
     held = np.bincount(bins, weights=sizes).astype(np.int64)
     bin_of = F.lit(bins.tolist())
     probed = F.array_distinct(F.transform("probes", lambda p: F.get(bin_of, p)))
-    asking = dict(indexed.select(F.explode(probed).alias("bin")).groupBy("bin").count().collect())
-    deal = [(b, -(-n // block), -(-asking.get(b, 1) // (8 * block))) for b, n in enumerate(held.tolist()) if n]
-    parts = F.broadcast(spark.createDataFrame(deal, "bin int, parts int, blocks int"))
-    mine, his = (F.pmod(F.xxhash64("node", F.lit(s)), n).cast("int") for s, n in ((1, F.col("parts")), (2, F.col("blocks"))))
     each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    listed = indexed.withColumn("bin", F.get(bin_of, F.col("list"))).join(parts, "bin").select("bin", mine.alias("part"), F.explode(each("blocks")).alias("block"), "node", "copies", "vec", "list", "codes", "miss")
-    probing = indexed.select("node", "copies", "vec", F.explode(probed).alias("bin")).join(parts, "bin")
     none = [F.lit(None).cast(kind_of).alias(n) for n, kind_of in (("list", "int"), ("codes", "binary"), ("miss", "double"))]
-    probing = probing.select("bin", F.explode(each("parts")).alias("part"), his.alias("block"), "node", "copies", "vec", *none)
+    listed = indexed.select(F.get(bin_of, F.col("list")).alias("bin"), "node", "copies", "vec", "list", "codes", "miss")
+    probing = indexed.select(F.explode(probed).alias("bin"), "node", "copies", "vec", *none)
+    large = [(b, min(-(-n // block), MOST_PARTS)) for b, n in enumerate(held.tolist()) if n > block]
+    if large:
+        asking = dict(probing.groupBy("bin").count().collect())
+        split = F.broadcast(spark.createDataFrame([(b, n, -(-int(held[b]) // (8 * block)), -(-asking[b] // (8 * block))) for b, n in large], "bin int, __parts int, __own int, __asked int"))
+        # A sample of each large bin, at most 16 rows for each of its parts.
+        share = F.lit(float(1 << 30)) * 16 * F.col("__parts") / F.lit(held.astype(float).tolist())[F.col("bin")]
+        some = listed.join(split, "bin").where(F.pmod(F.xxhash64("node", F.lit(4)), F.lit(1 << 30)) < share)
+
+        def centres(rows: pd.DataFrame) -> pd.DataFrame:
+            x = unit(np.frombuffer(b"".join(rows.sort_values("node")["vec"]), kind).reshape(len(rows), -1))
+            return pd.DataFrame({"bin": rows["bin"].iloc[:1], "centres": [k_means(x, int(rows["__parts"].iloc[0])).tobytes()]})
+
+        subs = stored(some.select("bin", "node", "vec", "__parts").groupBy("bin").applyInPandas(centres, "bin int, centres binary"), "centres")
+        own, asked = (subs.join(split.select("bin", c), "bin").select("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1)).alias("deal"), "centres") for c in ("__own", "__asked"))
+        deals = lambda rows, c: rows.join(split.select("bin", F.col(c).cast("long").alias("__deals")), "bin")
+        is_large = F.col("bin").isin([b for b, _ in large]) if len(large) <= 1000 else F.get(F.lit((held > block).tolist()), F.col("bin"))
+        listed = listed.where(~is_large).withColumn("part", F.lit(0)).unionByName(_spread(deals(listed.where(is_large), "__own"), own, kind, None).drop("__deals"))
+        probing = probing.where(~is_large).withColumn("part", F.lit(0)).unionByName(_spread(deals(probing.where(is_large), "__asked"), asked, kind, reach_of(cosine)).drop("__deals"))
+        listed, probing = stored(listed, "listed"), stored(probing, "probing")
+    else:
+        listed, probing = (rows.withColumn("part", F.lit(0)) for rows in (listed, probing))
+    # A row for each part: one for about ``block`` classes.
+    counts = listed.groupBy("bin", "part").agg(F.ceil(F.count("*") / block).cast("int").alias("pieces"))
+    asks = probing.groupBy("bin", "part").agg(F.ceil(F.count("*") / (8 * block)).cast("int").alias("blocks"))
+    deal = stored(counts.join(asks, ["bin", "part"]), "deal")
+    deal = F.broadcast(deal) if deal.count() <= 500_000 else deal
+    mine, his = (F.pmod(F.xxhash64("node", F.lit(s)), F.col(n)).cast("int") for s, n in ((1, "pieces"), (2, "blocks")))
+    columns = ["bin", "part", "piece", "block", "node", "copies", "vec", "list", "codes", "miss"]
+    listed = listed.join(deal, ["bin", "part"]).withColumn("piece", mine).withColumn("block", F.explode(each("blocks"))).select(*columns)
+    probing = probing.join(deal, ["bin", "part"]).withColumn("block", his).withColumn("piece", F.explode(each("pieces"))).select(*columns)
     sent = spark.sparkContext.broadcast(quantiser)
 
     def met(rows: pd.DataFrame) -> pd.DataFrame:
         return compare(rows, sent.value, cosine, kind)
 
-    return listed.unionByName(probing).groupBy("bin", "part", "block").applyInPandas(met, "node long, links long, root long")
+    return listed.unionByName(probing).groupBy("bin", "part", "piece", "block").applyInPandas(met, "node long, links long, root long")
+
+
+def _sample(classes: DataFrame, dim: int, n: int, take: int) -> np.ndarray:
+    """About ``take`` vectors, chosen by a hash: rows of a matrix."""
+    chosen = classes.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, take / n)) + 1)
+    got = chosen.select("node", "embedding").toArrow().sort_by("node").column("embedding").combine_chunks()
+    return unit(_matrix(got, dim)) if len(got) else unit(np.ones((1, dim)))
 
 
 def near_vectors(table: DataFrame, cosine: float = 0.95, per_list: int = 128, most_lists: int = 4096, sample: int = 65_536, block: int = 2048) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` for each row of ``table (vec_id, embedding)``."""
+    """``vec_id, n_links, component_id, kept`` for each row of ``table (vec_id, embedding)``. ``sample``: the most rows that
+    lists and codebooks are fitted to, and the driver holds (at most 256 MB of them)."""
     slim = table.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(-1)).alias("vec_id"), "embedding")
     rows = slim.withColumn("node", F.when(F.expr(_usable("embedding")), F.xxhash64("embedding")))
     grouped = rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
@@ -248,11 +316,8 @@ def near_vectors(table: DataFrame, cosine: float = 0.95, per_list: int = 128, mo
     for dim, n in classes.groupBy("dim").count().collect():
         some = classes.where(F.col("dim") == dim)
         lists = max(1, min(most_lists, n // per_list))
-        take = min(sample, 16_384 if lists <= 512 else 32 * lists)
-        chosen = some.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.1 * take / n)) + 1)
-        learnt = np.array([r[0] for r in chosen.select("embedding").limit(take).collect()], np.float64).reshape(-1, dim)
-        learnt = unit(learnt) if len(learnt) else unit(np.ones((1, dim)))
-        quantiser = Quantiser.fit(learnt, lists)
+        take = min(sample, (256 << 20) // (8 * dim), 16_384 if lists <= 512 else 32 * lists)
+        quantiser = Quantiser.fit(_sample(some, dim, n, take), lists)
         indexed = stored(index(some, quantiser, dim, reach_of(cosine)), "index")
         got = _links(indexed, quantiser, cosine, block, kind)
         found = got if found is None else found.unionByName(got)

@@ -198,6 +198,18 @@ def test_hot_group_that_varies_along_few_directions(spark, rank, dim, apart):
     assert got == dict(enumerate(((unit @ unit.T >= 0.95).sum(axis=1) - 1).tolist()))
 
 
+@pytest.mark.parametrize("dim", [8, 96])
+def test_lists_past_the_first_level_are_split(spark, dim):
+    """Three lists at the first level, about a hundred parts below them."""
+    rng = np.random.default_rng(dim)
+    near = rng.normal(size=(300, dim))
+    x = np.concatenate([near, near[rng.integers(300, size=1500)] + 0.12 / np.sqrt(dim) * rng.normal(size=(1500, dim)) * np.linalg.norm(near, axis=1).mean(), rng.normal(size=(1200, dim))]).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_vectors(table, most_lists=3, block=32).collect()}
+    unit = vector_dedup.unit(x)
+    assert got == dict(enumerate(((unit @ unit.T >= 0.95).sum(axis=1) - 1).tolist()))
+
+
 def test_no_vectors(spark):
     assert vector_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     only_bad = spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<double>")
