@@ -21,14 +21,25 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a local folder of our own."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset on one machine (tests), a local folder of our own. On a
+    cluster it must be set: what an executor writes to its own disk no other one sees."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while f"__{name}" in taken:
+        name += "_"
+    return f"__{name}"
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a scratch folder through Hadoop's file system, whatever store it is in."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

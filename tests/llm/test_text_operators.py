@@ -375,6 +375,59 @@ def test_risk_estimator_separates_planted_words():
     assert toxicity.fit([], [["a"]], 0.1).score("a") < 1e-6
 
 
+def test_weights_are_those_of_plain_dense_steps():
+    """Adam on the risk of dense matrices, with its gradient by differences."""
+    rng = np.random.default_rng(6)
+    dense_p, dense_u, prior, decay = (rng.random((12, 4)) < 0.5).astype(float), (rng.random((30, 4)) < 0.2).astype(float), 0.2, 1e-3
+
+    def risk(w, parts):
+        zp, zu = dense_p @ w[:-1] + w[-1], dense_u @ w[:-1] + w[-1]
+        low = np.log1p(np.exp(zu)).mean() - prior * np.log1p(np.exp(zp)).mean()
+        return prior * np.log1p(np.exp(-zp)).mean() + (low if parts else 0), low
+
+    w, m, v = np.zeros(5), np.zeros(5), np.zeros(5)
+    for step in range(1, 41):
+        both = risk(w, True)[1] >= 0
+        g = np.array([(risk(w + d, both)[0] - risk(w - d, both)[0]) / 2e-6 for d in np.eye(5) * 1e-6])
+        g[:-1] += decay * w[:-1]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w[:-1] = np.maximum(w[:-1], 0)
+    got = toxicity.descend(np.nonzero(dense_p), np.nonzero(dense_u), (12, 30), 4, prior, steps=40, decay=decay)
+    assert np.allclose(got, w, atol=1e-3)
+
+
+def test_boundary_is_where_recall_squared_over_share_is_best():
+    r = Random(4)
+    for _ in range(60):
+        p, u = [float(r.randint(2, 6)) for _ in range(15)], [float(r.randint(0, 4)) for _ in range(40)]
+        got = toxicity.boundary(np.array(p), np.array(u), 1e9)
+        worth = lambda cut, p=p, u=u: (sum(x >= cut for x in p) / len(p)) ** 2 / max(sum(x >= cut for x in u) / len(u), 1 / len(u))
+        assert worth(got) == pytest.approx(max(worth(c) for c in {*p, *u}))
+        assert toxicity.boundary(np.array(p), np.array(u), 1.5) == min(got, 1.5)
+    assert toxicity.boundary(np.array([1.0, 2.0]), np.array([1.0, 2.0, 2.0]), 0.0) == 3.0
+
+
+def test_scores_are_those_of_a_plain_pass(spark, sf_dir):
+    """The query against the model, row by row in one process; samples smaller than the table are the lowest hashes."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    known = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    trains = [i for i in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    share = {r.doc_id: r.s for r in docs.select("doc_id", toxicity._share().alias("s")).collect()}
+    some = [i for i in trains if share[i] < 0.95 * 4000 / len(trains)]
+    model = toxicity.fit([sorted(toxicity.words(rows[i])) for i in trains if known.get(i) == 1], [sorted(toxicity.words(rows[i])) for i in some], sum(known.values()) / len(known))
+    for r in queries.QUERIES["op6_nnpu_toxicity"](spark, sf_dir).collect():
+        assert r.score == pytest.approx(model.score(rows[r.doc_id]), abs=1e-6) and r.predicted == (r.score >= 0.7)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_words_of_long_texts_for_the_fit_are_bounded():
+    text = " ".join("abcdefghij"[i // 100 % 10] + "abcdefghij"[i // 10 % 10] + "abcdefghij"[i % 10] for i in range(1000))
+    assert len(toxicity.some_words(text, 100)) == 100 and toxicity.some_words(text, 1000) == sorted(toxicity.words(text))
+    assert set(toxicity.some_words(text, 100)) <= set(toxicity.some_words(text + " zzz", 101))
+
+
 # Packing.
 
 
