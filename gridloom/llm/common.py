@@ -156,15 +156,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     now = stored(flat, name)
     last = sign(now)
-    while True:
+    while last[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.where("u <> v").distinct()
-        low2 = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low2, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        step = stored(small.select("e.u", "e.v").where("u <> v").distinct(), name)
+        low = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), name)
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # Each node takes its smallest neighbour, and so do its other neighbours.
+        step = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        step = stored(step.distinct(), name)
         unstore(now)
+        unstore(large)
         now, before, last = step, last, sign(step)
         if last == before:
             break

@@ -3,38 +3,51 @@
 Rows are documents, columns the hashes of their distinct 5-word shingles (words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased;
 a shorter text is one shingle). Documents with equal sets are one class, and classes are multiplied:
 
-1. One pass keeps the id, class and set size of each document, and counts shingles that repeat within a task. The
-   frequent ones (at most ``most_frequent``, the threshold follows the data) go last in every document's column order.
+1. One pass keeps the id, class and set size of each document, and counts columns in ``CELLS`` cells by their hash: sums
+   over all tasks, of one size whatever the table's. Columns in cells that stand out are called frequent, and go last in
+   every document's column order.
 2. A second pass emits, for each class, the leading columns that any partner at the threshold must share one of. They
-   are dealt by column, the blocks of the product; columns with one class are dropped.
-3. Frequent columns, which whole groups of near copies share, are split by a salt; their classes are first compared with
-   a few chosen ones, and verified links unite most of such a group.
-4. For classes not yet united the product is accumulated over the columns. A pair whose count stays below the bound that
-   the two sizes imply is discarded; the others are verified on their whole sets, and the components follow.
+   are dealt by column; columns with one class are dropped, those of many rows are salted.
+3. Within frequent and long columns, which whole groups of near copies share, classes first meet a few chosen ones, and
+   links unite most of such a group. Rounds go on until few pairs are left or a round does not halve them.
+4. The product is accumulated over the leading columns. In a long column only classes outside its largest component meet
+   the others, so what is united is not multiplied again. A pair whose count stays below the bound that the two sizes
+   imply is discarded.
+5. For the pairs that are left the product goes on over all columns, block by block; a pair is discarded as soon as what
+   is left of the smaller row cannot bring its count to the bound. The whole overlaps decide, and components follow.
 
 No bound drops a pair that links: with sizes a, b and overlap o >= 75 (a + b) / 175, the leading columns of one of the
 two all lie within the other's range, so at least min over both of (leading columns - (size - o)) are shared.
 
-Shingles and classes are 64-bit hashes; equal hashes of different shingles are taken for equal. Null texts and texts
-without words have no shingles and link with nothing; repeated rows and ids give one row each, in the component of their
-text; a null id links like any other, a component takes its smallest id that is not null (null if it has none); an empty
-table gives no rows. Columns other than doc_id and text are not read.
+Shingles are 64-bit hashes, equal ones taken for equal. Classes have two such hashes: where one is that of different
+sets, the other tells them apart. Null texts and texts without words have no shingles and link with nothing; repeated
+rows and ids give one row each, in the component of their text; a null id links like any other, a component takes its
+smallest id that is not null (null if it has none); very long texts are sets like others, of as many columns as they
+have; of chosen classes that are equal the smallest hash is taken, which no result depends on; an empty table gives no
+rows. Columns other than doc_id and text are not read, and keep their names and values in ``without_near_copies``.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import ascii_words, components, mapped, mix, stored, texts, unstore, window_hashes, word_hashes
+from gridloom.llm.common import ascii_words, components, free_name, mapped, mix, stored, texts, unstore, window_hashes, word_hashes
 
 WIDTH = 5
-SALTS = 16
 SKETCH_BITS = 1024
+CELLS, CELL_BLOCK = 1 << 21, 1 << 16
+LONG = 256  # rows of a column past which its classes first meet chosen ones
+PART = 1024  # rows of a frequent column that share a salt, about
+COLUMN_BLOCKS = 8
+
+_NONE: frozenset[int] = frozenset()
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -42,11 +55,19 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(window_hashes(word_hashes(ascii_words(text)), WIDTH))
 
 
-def class_of(shingles: np.ndarray) -> int:
-    """A 63-bit hash of the whole set."""
+def set_hashes(shingles: np.ndarray) -> tuple[int, int]:
+    """Two 63-bit hashes of the whole set."""
     with np.errstate(over="ignore"):
-        h = mix(np.add.reduce(mix(shingles + np.uint64(0x51ED27))) + np.bitwise_xor.reduce(mix(shingles)) * np.uint64(3) + np.uint64(len(shingles)))
-    return int(h >> np.uint64(1))
+        x = np.bitwise_xor.reduce(mix(shingles))
+        one = mix(np.add.reduce(mix(shingles + np.uint64(0x51ED27))) + x * np.uint64(3) + np.uint64(len(shingles)))
+        two = mix(np.add.reduce(mix(shingles + np.uint64(0xA0761D))) * np.uint64(5) + x)
+    return int(one >> np.uint64(1)), int(two >> np.uint64(1))
+
+
+def class_of(shingles: np.ndarray, shared: frozenset[int] = _NONE) -> int:
+    """The set's first hash, or the second where different sets have the first (``shared``)."""
+    one, two = set_hashes(shingles)
+    return two if one in shared else one
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -65,107 +86,130 @@ def _long(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.uint64).view(np.int64))
 
 
-def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents as (doc_id, class, size), and (column, count) of columns that repeat among this task's documents."""
-    names = ["doc_id", "text_hash", "sig", "n", "h", "c"]
-    held: list[np.ndarray] = []
-    size = 0
+def cell_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
 
-    def counted() -> pa.RecordBatch:
-        h, c = np.unique(np.concatenate(held), return_counts=True)
-        h, c = h[c > 1], c[c > 1]
-        nothing = pa.nulls(len(h), pa.int64())
-        return pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, _long(h), pa.array(c.astype(np.int64))], names=names)
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest numbers that hold them, compressed."""
+    width = np.min_scalar_type(int(counts.max()))
+    return bytes([width.itemsize]) + zlib.compress(counts.astype(width).tobytes(), 1)
 
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw[1:]), f"<u{raw[0]}").astype(np.int64)
+
+
+def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents as (doc_id, class and its other hash, size), and this task's counts of columns by cell, in blocks."""
+    names = ["doc_id", "text_hash", "sig", "other", "n", "block", "cells"]
+    counts = np.zeros(CELLS, np.uint32)
     for b in batches:
-        sigs, sizes = [], []
+        sigs, others, sizes, held, size = [], [], [], [], 0
         for text in texts(b, "text"):
             s = shingle_set(text)
-            sigs.append(class_of(s) if len(s) else None)
+            one, two = set_hashes(s) if len(s) else (None, None)
+            sigs.append(one)
+            others.append(two)
             sizes.append(len(s))
-            if len(s):
-                held.append(s)
-                size += len(s)
-            if size > 2_000_000:
-                yield counted()
+            held.append(s)
+            size += len(s)
+            if size > 500_000:
+                np.add.at(counts, cell_of(np.concatenate(held)), 1)
                 held, size = [], 0
-        nothing = pa.nulls(len(sizes), pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), nothing, nothing], names=names)
-    if held:
-        yield counted()
-
-
-def frequent_columns(counts: DataFrame, least: int, most: int) -> np.ndarray:
-    """Sorted columns with the highest counts: all of ``least`` or more, unless those are over ``most``, when the
-    threshold rises."""
-    kept = stored(counts.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least), "frequent")
-    steps = F.floor(F.log2("c") * 8).cast("int").alias("step")
-    tally = sorted((r.step, r["count"]) for r in kept.groupBy(steps).count().collect())
-    total, first = 0, 10_000
-    for step, count in reversed(tally):
-        if total + count > most:
-            break
-        total, first = total + count, step
-    got = kept.where(steps >= first).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
-    unstore(kept)
-    return np.sort(got)
-
-
-def _contains(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(sorted_values):
-        return np.zeros(len(x), bool)
-    return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
-
-
-def blocks(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``key, hot, sig, n, pos, often``: the leading columns of each class. ``key`` is the column, salted where it is
-    frequent, ``hot`` the frequent column itself, ``pos`` the column's place in the class's order and ``often`` the number
-    of its frequent leading columns. A class with frequent ones has one more row, with its ``sketch``. A task skips classes
-    it has met; what others repeat changes nothing."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+        if size:
+            np.add.at(counts, cell_of(np.concatenate(held)), 1)
+        n = len(sizes)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(sigs, pa.int64()), pa.array(others, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+    made = [(i, _packed(part)) for i, part in enumerate(counts.reshape(-1, CELL_BLOCK)) if part.any()]
+    none = pa.nulls(len(made), pa.int64())
+    yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array([i for i, _ in made], pa.int32()), pa.array([c for _, c in made], pa.binary())], names=names)
+
+
+def cell_levels(counts: DataFrame, least: int) -> np.ndarray:
+    """A number for each cell: 0 where its columns are rare, else the logarithm to base 2, rounded up, of how far its count
+    is above the usual one. Frequent are cells that stand out by ``least`` and by six standard deviations of chance."""
+
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(CELL_BLOCK, np.int64)
+        for raw in rows["cells"]:
+            total += _unpacked(raw)
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "cells": [_packed(total)]})
+
+    blocks = CELLS // CELL_BLOCK
+    deals = int((counts.count() / blocks) ** 0.5 / 8) + 1  # so that no group holds the rows of all tasks
+    if deals > 1:
+        dealt = counts.groupBy("block", F.pmod(F.xxhash64("cells"), F.lit(deals)))
+        counts = dealt.applyInPandas(lambda rows: added(rows[["block", "cells"]]), "block int, cells binary")
+    total = np.zeros(CELLS, np.int64)
+    for block, raw in counts.groupBy("block").applyInPandas(added, "block int, cells binary").collect():  # ``blocks`` rows at most
+        total[block * CELL_BLOCK : (block + 1) * CELL_BLOCK] = _unpacked(raw)
+    usual = float(np.median(total))
+    above = total - usual
+    return np.where(above >= max(least, 6 * usual**0.5), np.ceil(np.log2(np.maximum(above, 1))) + 1, 0).astype(np.uint8)
+
+
+def parts_of(levels: np.ndarray) -> np.ndarray:
+    """Over how many salts a frequent column is dealt."""
+    return np.maximum(1, (1 << np.maximum(levels.astype(np.int64) - 1, 0)) // PART).astype(np.int32)
+
+
+def blocks(docs: DataFrame, levels: np.ndarray, shared: frozenset[int]) -> DataFrame:
+    """``col, salt, parts, sig, n, pos, often``: the leading columns of each class. ``parts`` is 0 for rare columns, else the
+    number of salts of the frequent one, ``pos`` the column's place in the class's order and ``often`` the number of its
+    frequent leading columns. A class with frequent ones has one more row, with its ``sketch``. A task skips classes it has
+    met; what others repeat changes nothing."""
+    sent = docs.sparkSession.sparkContext.broadcast(levels)
+    names = ["col", "salt", "parts", "sig", "n", "pos", "often", "sketch"]
+
+    def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        size = np.array([len(r[0]) for r in rows])
+        each = lambda k, kind: pa.array(np.repeat(np.array([r[k] for r in rows]), size), kind)
+        parts = np.concatenate([r[1] for r in rows])
+        sig = np.repeat(np.array([r[2] for r in rows], np.int64), size)
+        pos = np.arange(len(sig)) - np.repeat(np.cumsum(size) - size, size)
+        salt = sig % np.maximum(parts, 1)
+        yield pa.RecordBatch.from_arrays([_long(np.concatenate([r[0] for r in rows])), *(pa.array(x.astype(np.int32)) for x in (salt, parts)), pa.array(sig), each(3, pa.int32()), pa.array(pos.astype(np.int32)), each(4, pa.int32()), pa.nulls(len(sig), pa.list_(pa.int64()))], names=names)
+        if drawn := [(r[2], r[3], r[5]) for r in rows if r[4]]:
+            sigs, sizes, sketches = zip(*drawn, strict=True)
+            own, empty, none = pa.array(sigs, pa.int64()), pa.nulls(len(sigs), pa.int32()), pa.array([0] * len(sigs), pa.int32())
+            yield pa.RecordBatch.from_arrays([own, none, none, own, pa.array(sizes, pa.int32()), empty, empty, pa.array(sketches, pa.list_(pa.int64()))], names=names)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = sent.value
+        level = sent.value
         met: set[int] = set()
-
-        def out(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-            names, none = ["key", "hot", "sig", "n", "pos", "often", "sketch"], pa.list_(pa.int64())
-            key, hot, sig, n, pos, often = (np.concatenate(c) for c in zip(*[p[:2] + (np.full(len(p[0]), p[2]), np.full(len(p[0]), p[3]), np.arange(len(p[0])), np.full(len(p[0]), p[4])) for p in parts], strict=True))
-            yield pa.RecordBatch.from_arrays([_long(key), pa.array(hot.view(np.int64), mask=hot == 0), pa.array(sig, pa.int64()), *(pa.array(x, pa.int32()) for x in (n, pos, often)), pa.nulls(len(key), none)], names=names)
-            if drawn := [(p[2], p[3], p[5]) for p in parts if p[4]]:
-                sigs, sizes, sketches = zip(*drawn, strict=True)
-                own, empty = pa.array(sigs, pa.int64()), pa.nulls(len(sigs), pa.int32())
-                yield pa.RecordBatch.from_arrays([own, pa.nulls(len(sigs), pa.int64()), own, pa.array(sizes, pa.int32()), empty, empty, pa.array(sketches, none)], names=names)
-
         for b in batches:
-            parts, rows = [], 0
+            rows, size = [], 0
             for text in texts(b, "text"):
                 s = shingle_set(text)
-                if not len(s) or (sig := class_of(s)) in met:
+                if not len(s) or (sig := class_of(s, shared)) in met:
                     continue
                 if len(met) >= 250_000:
                     met.clear()
                 met.add(sig)
-                f = _contains(often, s)
-                rare = s[~f][: leading(len(s))]
-                hot = s[f][: leading(len(s)) - len(rare)]
-                with np.errstate(over="ignore"):
-                    salted = mix(hot + np.uint64(sig % SALTS) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-                parts.append((np.concatenate([rare, salted]), np.concatenate([np.zeros(len(rare), np.uint64), hot]), sig, len(s), len(hot), sketch(s) if len(hot) else None))
-                rows += len(rare) + len(hot)
-                if rows > 200_000:
-                    yield from out(parts)
-                    parts, rows = [], 0
-            if parts:
-                yield from out(parts)
-
-    return mapped(docs.select("text"), emit, "key long, hot long, sig long, n int, pos int, often int, sketch array<long>")
+                lead = leading(len(s))
+                lv = level[cell_of(s)]
+                f = lv > 0
+                rare = s[~f][:lead]
+                hot, own = s[f][: lead - len(rare)], lv[f][: lead - len(rare)]
+                rows.append((np.concatenate([rare, hot]), np.concatenate([np.zeros(len(rare), np.int32), parts_of(own)]), sig, len(s), len(hot), sketch(s) if len(hot) else None))
+                size += len(rare) + len(hot)
+                if size > 200_000:
+                    yield from out(rows)
+                    rows, size = [], 0
+            if rows:
+                yield from out(rows)
+
+    return mapped(docs.select("text"), emit, "col long, salt int, parts int, sig long, n int, pos int, often int, sketch array<long>")
 
 
 def _shared(entries: DataFrame) -> DataFrame:
-    """Entries of columns that at least two classes have, all of frequent columns, and the sketches."""
-    bucket = "min(sig) over (partition by key) <> max(sig) over (partition by key)"
-    return entries.select("*", F.expr(bucket).alias("__several")).where("__several or hot is not null or sketch is not null").drop("__several")
+    """Entries of columns that at least two classes have, all of frequent columns, and the sketches. ``long``: in a column
+    that is frequent or has more than ``LONG`` rows. A rare column has no more rows than a cell may have unnoticed."""
+    span = "over (partition by col, salt)"
+    told = entries.select("*", F.expr(f"min(sig) {span} <> max(sig) {span}").alias("several"), F.expr(f"count(*) {span}").alias("rows"))
+    told = told.where("several or parts > 0 or sketch is not null")
+    return told.select(*entries.columns, F.expr(f"sketch is null and (parts > 0 or rows > {LONG})").alias("long"))
 
 
 def _fits(a: str, b: str) -> Column:
@@ -192,8 +236,38 @@ def _first() -> Column:
     return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, census: DataFrame, small: int = 500_000) -> DataFrame:
-    """Those of ``pairs (a, b)`` of classes whose whole sets link. Each class is read from one of its documents; their
+def accumulated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs of rows ``a, b, x, y`` those that link: the product of each pair accumulated over blocks of columns. A pair
+    leaves once what is left of the smaller row cannot bring it to the bound."""
+    for batch in batches:
+        columns, owners, sizes = [], [], []
+        for name in ("x", "y"):
+            lists = batch.column(name)
+            offsets = lists.offsets.to_numpy()
+            columns.append(lists.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64))
+            sizes.append(np.diff(offsets).astype(np.int64))
+            owners.append(np.repeat(np.arange(batch.num_rows), sizes[-1]))
+        need = -(-75 * (sizes[0] + sizes[1]) // 175)
+        count, rest = np.zeros(batch.num_rows, np.int64), np.stack(sizes)
+        alive = rest.min(axis=0) >= need
+        column_blocks = [(c >> np.uint64(61)).astype(np.int8) for c in columns]
+        for block in range(COLUMN_BLOCKS):
+            here = [np.flatnonzero((k == block) & alive[o]) for k, o in zip(column_blocks, owners, strict=True)]
+            h = np.concatenate([c[at] for c, at in zip(columns, here, strict=True)])
+            o = np.concatenate([o[at] for o, at in zip(owners, here, strict=True)])
+            order = np.lexsort((h, o))
+            h, o = h[order], o[order]
+            twice = (h[1:] == h[:-1]) & (o[1:] == o[:-1])  # a column that both rows have: sets have it once each
+            count += np.bincount(o[1:][twice], minlength=batch.num_rows)
+            for k in (0, 1):
+                rest[k] -= np.bincount(owners[k][here[k]], minlength=batch.num_rows)
+            alive &= count + rest.min(axis=0) >= need
+        link = alive & (100 * count >= 75 * (sizes[0] + sizes[1] - count))
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(link)) for c in ("a", "b")], names=["a", "b"])
+
+
+def linked(pairs: DataFrame, docs: DataFrame, census: DataFrame, shared: frozenset[int], small: int = 500_000) -> DataFrame:
+    """Those of ``pairs (a, b)`` of classes whose whole rows link. Each class is read from one of its documents; their
     ids and hashes are broadcast where they are at most ``small``, and else joined by shuffle."""
     pairs = stored(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
@@ -210,7 +284,7 @@ def verified(pairs: DataFrame, docs: DataFrame, census: DataFrame, small: int =
                 if sig in met:  # a row that repeats, or copies without ids
                     continue
                 s = shingle_set(text)
-                if len(s) and class_of(s) == sig:  # equal hashes of other texts
+                if len(s) and class_of(s, shared) == sig:  # equal hashes of other texts
                     if len(met) >= 250_000:
                         met.clear()
                     met.add(sig)
@@ -220,8 +294,7 @@ def verified(pairs: DataFrame, docs: DataFrame, census: DataFrame, small: int =
 
     sets = stored(mapped(own, spread, "sig long, shingles array<long>").dropDuplicates(["sig"]), "sets")
     both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b")
-    common = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("o"))
-    edges = stored(common.where("100 * o >= 75 * (m + n - o)").select("a", "b"), "edges")
+    edges = stored(mapped(both.select("a", "b", "x", "y"), accumulated, "a long, b long"), "edges")
     for t in (sets, chosen, pairs):
         unstore(t)
     return edges
@@ -233,31 +306,39 @@ def _with_component(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
     return entries.join(roots.withColumnsRenamed({"node": "sig", "root": "comp"}), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
 
 
-def _several(entries: DataFrame, key: Column) -> DataFrame:
-    """Columns (``key``) whose classes are not yet all in one component."""
-    return entries.groupBy(key.alias("bucket")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-
-
-def hot_links(shared: DataFrame, docs: DataFrame, census: DataFrame, rounds: int = 2, least: int = 64) -> DataFrame | None:
-    """Components by verified links within frequent columns: in each round, the classes of each salted part meet one drawn from it, and
-    the drawn ones of a column meet each other. Rounds go on while columns with over ``least`` rows hold several
-    components; what they leave is for the product."""
-    hot = shared.where("hot is not null").distinct()
-    roots = None
-    for number in range(rounds):
-        now = _with_component(hot, roots)
-        open_columns = _several(now, F.col("hot")).where(F.col("size") > least).select(F.col("bucket").alias("hot"))
-        now = now.join(open_columns, "hot", "left_semi")
-        draw = F.struct(F.xxhash64("sig", "key", F.lit(number)).alias("r"), "sig", "n", "comp")
-        drawn = now.groupBy("key", "hot").agg(F.min(draw).alias("p"))
-        first = drawn.groupBy("hot").agg(F.min(F.struct("p.r", "p.sig", "p.n", "p.comp")).alias("q"))
-        star = now.join(drawn.select("key", "p"), "key").select(F.col("p.sig").alias("a"), "p.n", "p.comp", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("comp").alias("d"))
-        top = drawn.join(first, "hot").select(F.col("q.sig").alias("a"), "q.n", "q.comp", F.col("p.sig").alias("b"), F.col("p.n").alias("m"), F.col("p.comp").alias("d"))
-        pairs = star.unionByName(top).where((F.col("comp") != F.col("d")) & _fits("n", "m")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = verified(plausible(pairs, shared), docs, census)
+def _majority(rows: DataFrame) -> DataFrame:
+    """``col, rows, major, most`` of ``rows (col, comp)``: each column's rows, largest component and its rows. Both steps
+    add up within tasks first."""
+    counts = rows.groupBy("col", "comp").agg(F.count("*").alias("c"))
+    return counts.groupBy("col").agg(F.sum("c").alias("rows"), F.max(F.struct("c", "comp")).alias("top")).select("col", "rows", F.col("top.comp").alias("major"), F.col("top.c").alias("most"))
+
+
+def long_links(shared: DataFrame, docs: DataFrame, census: DataFrame, same: frozenset[int], few: int = 16) -> DataFrame | None:
+    """Components by links within long columns: in each round the classes of each salt of a column meet one drawn from it,
+    by a rank that is one for all columns, and the drawn ones of a column meet each other. Rounds end when at most ``few``
+    pairs a row are left to the product, or a round does not halve them."""
+    rows = stored(shared.where("long").select("col", "salt", "sig", "n").distinct(), "long")
+    total = rows.count()
+    roots, left, number = None, None, 0
+    while total:
+        now = _with_component(rows, roots)
+        open_columns = stored(_majority(now).where("rows > most"), "open")
+        before, left = left, open_columns.agg(F.coalesce(F.sum(F.col("rows").cast("double") * (F.col("rows") - F.col("most"))), F.lit(0.0))).first()[0]
+        if left <= few * total or (before is not None and left > before / 2):
+            unstore(open_columns)
+            break
+        now = now.join(open_columns.select("col"), "col", "left_semi")
+        drawn = now.groupBy("col", "salt").agg(F.min(F.struct(F.xxhash64("sig", F.lit(number)).alias("r"), "sig", "n", "comp")).alias("p"))
+        first = drawn.groupBy("col").agg(F.min("p").alias("q"))
+        met = [now.join(drawn, ["col", "salt"]).select("p", F.struct("sig", "n", "comp").alias("o")), drawn.join(first, "col").select(F.col("q").alias("p"), F.struct("p.sig", "p.n", "p.comp").alias("o"))]
+        pairs = met[0].unionByName(met[1]).where((F.col("p.comp") != F.col("o.comp")) & _fits("p.n", "o.n"))
+        pairs = pairs.select(F.least("p.sig", "o.sig").alias("a"), F.greatest("p.sig", "o.sig").alias("b")).distinct()
+        found = linked(plausible(pairs, shared), docs, census, same)
+        unstore(open_columns)
         if not found.head(1):
             break
-        roots = components(_with_stars(found, roots))
+        roots, number = components(_with_stars(found, roots)), number + 1
+    unstore(rows)
     return roots
 
 
@@ -271,15 +352,27 @@ def product_pairs(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
 
     Overlaps are accumulated over rare columns; what frequent ones could add is counted in full. A frequent column is
     multiplied only where it can be the first that a linking pair shares: all the overlap then lies from there on, so at
-    least that many columns follow in either."""
-    rows = shared.where("sketch is null").withColumn("bucket", F.coalesce("hot", "key")).withColumn("rare", F.col("hot").isNull()).select("bucket", "sig", "n", "pos", "often", "rare").distinct()
-    rows = _with_component(rows, roots)
-    rows = stored(rows.join(_several(rows, F.col("bucket")).select("bucket"), "bucket", "left_semi"), "product")
-    right = rows.select("bucket", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("comp").alias("d"), F.col("pos").alias("place"), F.col("often").alias("as_often"))
+    least that many columns follow in either. In long columns the rows outside the largest component (a pair of different
+    components has one) meet all rows, dealt by salt."""
+    columns = ["col", "salt", "parts", "sig", "n", "pos", "often", "long"]
+    rows = stored(_with_component(shared.where("sketch is null").select(*columns).distinct(), roots), "product")
     overlap = F.ceil((F.col("n") + F.col("m")) * 75 / F.lit(175))
-    first = F.col("rare") | ((F.col("n") - F.col("pos") >= overlap) & (F.col("m") - F.col("place") >= overlap))
-    met = rows.withColumnRenamed("sig", "a").join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("d")) & _fits("n", "m") & first)
-    counted = met.groupBy("a", "b", "n", "m", "often", "as_often").agg(F.sum(F.col("rare").cast("int")).alias("c"))
+    first = (F.col("parts") == 0) | ((F.col("n") - F.col("pos") >= overlap) & (F.col("m") - F.col("place") >= overlap))
+    right = {"sig": "b", "n": "m", "comp": "d", "pos": "place", "often": "as_often"}
+    differ = (F.col("comp") != F.col("d")) & _fits("n", "m") & first
+    short = rows.where("not long").drop("salt", "parts", "long")
+    met = short.withColumnRenamed("sig", "a").join(short.withColumnsRenamed(right), "col").withColumn("parts", F.lit(0)).where(differ & (F.col("a") < F.col("b")))
+    wide = rows.where("long")
+    major = stored(_majority(wide).where("rows > most"), "major")
+    minor = wide.drop("salt").join(major.select("col", "major"), "col").where("comp <> major").withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest("parts", F.lit(1)) - 1)))
+    others = wide.join(major.select("col", F.col("major").alias("their_major")), "col").drop("parts", "long").withColumnsRenamed(right)
+    # Two rows outside the largest component meet from both sides, of which one counts.
+    crossed = minor.withColumnRenamed("sig", "a").join(others, ["col", "salt"]).where(differ & ((F.col("d") == F.col("their_major")) | (F.col("a") < F.col("b"))))
+    kept = ["a", "b", "n", "m", "often", "as_often", "parts"]
+    turned = {"a": "b", "b": "a", "n": "m", "m": "n", "often": "as_often", "as_often": "often"}
+    sides = [F.when(F.col("a") < F.col("b"), F.col(c)).otherwise(F.col(turned.get(c, c))).alias(c) for c in kept]
+    both = met.select(*kept).unionByName(crossed.select(*kept)).select(*sides)
+    counted = both.groupBy("a", "b", "n", "m", "often", "as_often").agg(F.sum((F.col("parts") == 0).cast("int")).alias("c"))
 
     def bound(n: str) -> Column:
         return F.col(n) - F.ceil(F.col(n) * 75 / F.lit(100)) + 1 - (F.col(n) - overlap)
@@ -287,20 +380,27 @@ def product_pairs(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
     return counted.where(F.col("c") + F.least("often", "as_often") >= F.least(bound("n"), bound("m"))).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, least_frequent: int = 48, most_frequent: int = 1_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, least_frequent: int = 48) -> DataFrame:
     """``doc_id, n_shingles, component_id, text_hash, root`` for each row of ``docs (doc_id, text)``; ``root`` is one for
     all documents of a component, null without words."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hashed = slim.withColumn("text_hash", F.xxhash64("text"))
-    seen = stored(mapped(hashed, _census, "doc_id long, text_hash long, sig long, n long, h long, c long"), "census")
-    census = seen.where("h is null").select("doc_id", "text_hash", "sig", "n")
-    frequent = frequent_columns(seen.where("h is not null").select("h", "c"), least_frequent, most_frequent)
-    shared = stored(_shared(blocks(slim, frequent)), "shared")
-    roots = hot_links(shared, slim, census)
-    rest = verified(plausible(product_pairs(shared, roots), shared), slim, census)
-    edges = _with_stars(rest, roots)
-    classes = census.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("low"))
-    joined = classes.join(components(edges).withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    seen = stored(mapped(hashed, _census, "doc_id long, text_hash long, sig long, other long, n long, block int, cells binary"), "census")
+    rows = seen.where("block is null")
+    classes = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("low"), F.min("other").alias("least"), F.max("other").alias("most"))
+    classes = stored(classes, "classes")
+    # Different sets with one hash: a handful in 10^10.
+    same = frozenset(r.sig for r in classes.where("least <> most").select("sig").collect())
+    if same:
+        rows = rows.withColumn("sig", F.when(F.col("sig").isin(*same), F.col("other")).otherwise(F.col("sig")))
+        classes = stored(rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("low")), "classes")
+    census = rows.select("doc_id", "text_hash", "sig", "n")
+    levels = cell_levels(seen.where("block is not null").select("block", "cells"), least_frequent)
+    shared = stored(_shared(blocks(slim, levels, same)), "shared")
+    roots = long_links(shared, slim, census, same)
+    rest = linked(plausible(product_pairs(shared, roots), shared), slim, census, same)
+    unstore(shared)
+    joined = classes.join(components(_with_stars(rest, roots)).withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     low = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     named = stored(joined.join(low, "root").select("sig", "component_id", "root"), "named")
     out = census.join(named, "sig", "left")
@@ -311,8 +411,9 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` with their columns: of each component that with the smallest id (null ids last), and all texts without words."""
     wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     kept = jaccard_components(docs).where("root is not null").groupBy("root").agg(_first().alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("__kept_id"), F.col("k.text_hash").alias("__kept_hash"))
-    worded = docs.where(~wordless).select("*", F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__hash"))
-    same = worded["__id"].eqNullSafe(kept["__kept_id"]) & (worded["__hash"] == kept["__kept_hash"])
-    one = worded.join(kept, same, "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    own, text = free_name(docs, "id"), free_name(docs, "hash")
+    kept = kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"))
+    worded = docs.where(~wordless).select("*", F.col("doc_id").cast("long").alias(own), F.xxhash64("text").alias(text))
+    same = worded[own].eqNullSafe(kept["kept_id"]) & (worded[text] == kept["kept_hash"])
+    one = worded.join(kept, same, "left_semi").dropDuplicates([own, text]).select(*docs.columns)
     return one.unionByName(docs.where(wordless))

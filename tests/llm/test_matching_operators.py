@@ -10,6 +10,7 @@ from collections import defaultdict
 from random import Random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -130,6 +131,41 @@ def test_sketches_never_rule_out_a_link():
         assert len(np.intersect1d(a, b)) <= len(a) - alone
 
 
+def test_accumulated_products_are_the_overlaps():
+    rng = np.random.default_rng(7)
+    pairs = []
+    for i in range(300):
+        a = np.unique(rng.integers(0, 2**64, int(rng.integers(1, 80)), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.choice([0.8, 0.95, 1.0])], rng.integers(0, 2**64, int(rng.integers(0, 9)), dtype=np.uint64)]))
+        pairs.append((i, 1000 + i, a, b))
+    want = [(i, j) for i, j, a, b in pairs if 100 * (o := len(np.intersect1d(a, b))) >= 75 * (len(a) + len(b) - o)]
+    kind = pa.list_(pa.int64())
+    batch = pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs]), pa.array([p[1] for p in pairs]), *(pa.array([p[k].view(np.int64) for p in pairs], kind) for k in (2, 3))], names=["a", "b", "x", "y"])
+    got = [tuple(r.values()) for b in ngram_join.accumulated(iter([batch.slice(0, 100), batch.slice(100)])) for r in b.to_pylist()]
+    assert got == want and 50 < len(want) < 290
+
+
+def test_cells_are_counted_over_all_tasks(spark):
+    """A column that is once in each of many tasks stands out."""
+    rng = np.random.default_rng(9)
+    tasks = []
+    for _ in range(60):
+        counts = np.zeros(ngram_join.CELLS, np.int64)
+        np.add.at(counts, rng.integers(0, ngram_join.CELLS, 20_000), 1)
+        counts[12345] += 1
+        counts[777_777] += 200
+        tasks += [(i, ngram_join._packed(c)) for i, c in enumerate(counts.reshape(-1, ngram_join.CELL_BLOCK)) if c.any()]
+    levels = ngram_join.cell_levels(spark.createDataFrame(tasks, "block int, cells binary"), 48)
+    assert np.flatnonzero(levels).tolist() == [12345, 777_777] and ngram_join.parts_of(levels[[12345, 777_777]]).tolist() == [1, 16]
+
+
+def test_sets_with_one_hash_are_told_apart():
+    a, b = np.arange(5, dtype=np.uint64), np.arange(6, dtype=np.uint64)
+    one, two = ngram_join.set_hashes(a)
+    assert ngram_join.class_of(a) == one and ngram_join.class_of(a, frozenset([one])) == two != one
+    assert ngram_join.class_of(b, frozenset([one])) == ngram_join.set_hashes(b)[0]
+
+
 def test_leading_columns_of_linking_sets_meet():
     rng = np.random.default_rng(5)
     for _ in range(300):
