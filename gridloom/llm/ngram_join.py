@@ -157,8 +157,8 @@ def parts_of(levels: np.ndarray) -> np.ndarray:
 def blocks(docs: DataFrame, levels: np.ndarray, shared: frozenset[int]) -> DataFrame:
     """``col, salt, parts, sig, n, pos, often``: the leading columns of each class. ``parts`` is 0 for rare columns, else the
     number of salts of the frequent one, ``pos`` the column's place in the class's order and ``often`` the number of its
-    frequent leading columns. A class with frequent ones has one more row, with its ``sketch``. A task skips classes it has
-    met; what others repeat changes nothing."""
+    frequent leading columns. A class with frequent ones has one more row, with its ``sketch`` and, as ``pos``, the share of
+    its columns that are rare, in thousandths. A task skips classes it has met; what others repeat changes nothing."""
     sent = docs.sparkSession.sparkContext.broadcast(levels)
     names = ["col", "salt", "parts", "sig", "n", "pos", "often", "sketch"]
 
@@ -170,10 +170,10 @@ def blocks(docs: DataFrame, levels: np.ndarray, shared: frozenset[int]) -> DataF
         pos = np.arange(len(sig)) - np.repeat(np.cumsum(size) - size, size)
         salt = sig % np.maximum(parts, 1)
         yield pa.RecordBatch.from_arrays([_long(np.concatenate([r[0] for r in rows])), *(pa.array(x.astype(np.int32)) for x in (salt, parts)), pa.array(sig), each(3, pa.int32()), pa.array(pos.astype(np.int32)), each(4, pa.int32()), pa.nulls(len(sig), pa.list_(pa.int64()))], names=names)
-        if drawn := [(r[2], r[3], r[5]) for r in rows if r[4]]:
-            sigs, sizes, sketches = zip(*drawn, strict=True)
+        if drawn := [(r[2], r[3], r[5], r[6]) for r in rows if r[4]]:
+            sigs, sizes, sketches, apart = zip(*drawn, strict=True)
             own, empty, none = pa.array(sigs, pa.int64()), pa.nulls(len(sigs), pa.int32()), pa.array([0] * len(sigs), pa.int32())
-            yield pa.RecordBatch.from_arrays([own, none, none, own, pa.array(sizes, pa.int32()), empty, empty, pa.array(sketches, pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([own, none, none, own, pa.array(sizes, pa.int32()), pa.array(apart, pa.int32()), empty, pa.array(sketches, pa.list_(pa.int64()))], names=names)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = sent.value
@@ -192,7 +192,7 @@ def blocks(docs: DataFrame, levels: np.ndarray, shared: frozenset[int]) -> DataF
                 f = lv > 0
                 rare = s[~f][:lead]
                 hot, own = s[f][: lead - len(rare)], lv[f][: lead - len(rare)]
-                rows.append((np.concatenate([rare, hot]), np.concatenate([np.zeros(len(rare), np.int32), parts_of(own)]), sig, len(s), len(hot), sketch(s) if len(hot) else None))
+                rows.append((np.concatenate([rare, hot]), np.concatenate([np.zeros(len(rare), np.int32), parts_of(own)]), sig, len(s), len(hot), sketch(s) if len(hot) else None, 1000 * int((~f).sum()) // len(s)))
                 size += len(rare) + len(hot)
                 if size > 200_000:
                     yield from out(rows)
@@ -315,9 +315,13 @@ def _majority(rows: DataFrame) -> DataFrame:
 
 def long_links(shared: DataFrame, docs: DataFrame, census: DataFrame, same: frozenset[int], few: int = 16) -> DataFrame | None:
     """Components by links within long columns: in each round the classes of each salt of a column meet one drawn from it,
-    by a rank that is one for all columns, and the drawn ones of a column meet each other. Rounds end when at most ``few``
+    by a rank that is one for all columns, and the drawn ones of a column meet each other. Copies of one text have the
+    text's columns and few of their own, so first the class with the smallest share of rare columns is drawn, which is
+    nearest to all of its group, and then any. Rounds end when at most ``few``
     pairs a row are left to the product, or a round does not halve them."""
-    rows = stored(shared.where("long").select("col", "salt", "sig", "n").distinct(), "long")
+    apart = shared.where("sketch is not null").groupBy("sig").agg(F.min("pos").alias("apart"))
+    rows = shared.where("long").select("col", "salt", "sig", "n").distinct().join(apart, "sig", "left")
+    rows = stored(rows.select("col", "salt", "sig", "n", F.coalesce("apart", F.lit(1000)).alias("apart")), "long")
     total = rows.count()
     roots, left, number = None, None, 0
     while total:
@@ -328,7 +332,8 @@ def long_links(shared: DataFrame, docs: DataFrame, census: DataFrame, same: froz
             unstore(open_columns)
             break
         now = now.join(open_columns.select("col"), "col", "left_semi")
-        drawn = now.groupBy("col", "salt").agg(F.min(F.struct(F.xxhash64("sig", F.lit(number)).alias("r"), "sig", "n", "comp")).alias("p"))
+        rank = F.struct((F.lit(0) if number else F.col("apart")).alias("apart"), F.xxhash64("sig", F.lit(number)).alias("h"))
+        drawn = now.groupBy("col", "salt").agg(F.min(F.struct(rank.alias("r"), "sig", "n", "comp")).alias("p"))
         first = drawn.groupBy("col").agg(F.min("p").alias("q"))
         met = [now.join(drawn, ["col", "salt"]).select("p", F.struct("sig", "n", "comp").alias("o")), drawn.join(first, "col").select(F.col("q").alias("p"), F.struct("p.sig", "p.n", "p.comp").alias("o"))]
         pairs = met[0].unionByName(met[1]).where((F.col("p.comp") != F.col("o.comp")) & _fits("p.n", "o.n"))
