@@ -7,6 +7,10 @@ count for each partition.
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,16 +39,28 @@ def file_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``; our own where that is unset (tests)."""
+    """``df`` written as Parquet to the shared folder of ``spark.checkpoint.dir`` and read back, so lineage is cut, the plan
+    runs once and any executor may be lost. Where the folder is unset on one machine (tests) it is one of our own; on a
+    cluster it must be set. What is written is deleted when the driver ends."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="gridloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="gridloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/gridloom-rows-{uuid.uuid4().hex}"
+
+    def tidy() -> None:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended: the store's owner clears its checkpoint folder
+            return
+
+    atexit.register(tidy)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ranged(df: DataFrame, *keys: Column | str) -> DataFrame:

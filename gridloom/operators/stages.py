@@ -47,9 +47,9 @@ def head(df: DataFrame, n: int, *keys: str, desc: bool = False) -> DataFrame:
 
 
 def tail(df: DataFrame, n: int, *keys: str) -> DataFrame:
-    """The last ``n`` rows in the order of the keys, or of the sheet."""
+    """The last ``n`` rows in the order of the keys, or of the sheet: a top-k from the end, put back in order."""
     names = [*keys, *([ROW] if ROW in df.columns else [])]
-    return df.orderBy(*[F.col(k).desc() for k in names]).limit(n)
+    return df.orderBy(*[F.col(k).desc() for k in names]).limit(n).orderBy(*names)
 
 
 def rows_between(df: DataFrame, low: int, high: int) -> DataFrame:
@@ -58,14 +58,19 @@ def rows_between(df: DataFrame, low: int, high: int) -> DataFrame:
 
 
 def row_at(df: DataFrame, position: int) -> DataFrame:
-    """One row; negative positions count from the end."""
-    if position >= 0:
-        return df.filter(F.col(ROW) == position)
-    return df.orderBy(F.col(ROW).desc()).limit(-position).orderBy(ROW).limit(1)
+    """One row; negative positions count from the end. A position outside the sheet is an error."""
+    rows = df.agg(F.coalesce(F.max(ROW) + 1, F.lit(0)).alias("__rows"))  # one row
+    at = F.lit(position) if position >= 0 else F.col("__rows") + position
+    outside = F.raise_error(F.format_string(f"no row {position}: the sheet has %s", "__rows")).cast("long")
+    wanted = rows.select(F.when((at >= 0) & (at < F.col("__rows")), at.cast("long")).otherwise(outside).alias("__at"))
+    return wanted.join(df, F.col("__at") == F.col(ROW)).select(*df.columns)
 
 
 def masked(df: DataFrame, mask: DataFrame, column: str) -> DataFrame:
-    """``S[; mask]``: rows at whose position the mask's Boolean ``column`` is true."""
+    """``S[; mask]``: rows at whose position the mask's Boolean ``column`` is true; it must have a value for each row."""
+    values, rows = mask.count(), df.count()
+    if values != rows:
+        raise ValueError(f"a mask of {values} values for {rows} rows")
     return df.join(mask.where(F.col(column)).select(ROW), ROW, "left_semi")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.types import DataType, DecimalType, DoubleType, FloatType, Inte
 from gridloom.functions import aggregates as A
 from gridloom.operators import distinct, lookups, prefix, quantiles, ranks, recurrences, stages, windows
 from gridloom.operators.order import ROW, in_order, number_rows
+from gridloom.operators.products import products
 from gridloom.sources import sinks, views
 
 _PARTITIONED = {"cum_sum": windows.cum_sum, "cum_min": windows.cum_min, "cum_max": windows.cum_max, "cum_prod": windows.cum_prod, "cum_count": windows.cum_count, "diff": windows.diff, "pct_change": windows.pct_change, "shift": windows.shift, "forward_fill": windows.forward_fill, "backward_fill": windows.backward_fill}
@@ -130,12 +131,23 @@ class Sheet:
 
     def group_by(self, *keys: str, **aggregates: tuple[Column | str, str] | Column) -> Sheet:
         """A row for each value of the keys, null a value of its own, in the order of the keys."""
-        made = {n: a if isinstance(a, Column) else self._aggregate(*a) for n, a in aggregates.items()}
-        return Sheet(stages.group(self.df, list(keys), **made).orderBy(*keys))
+        return Sheet(self._grouped(list(keys), aggregates).orderBy(*keys))
+
+    def _grouped(self, keys: list[str], aggregates: dict[str, tuple[Column | str, str] | Column]) -> DataFrame:
+        """Exact products, which need more than a running state, are joined to the other aggregates."""
+        whole = {n: a[0] for n, a in aggregates.items() if not isinstance(a, Column) and a[1] == "product" and isinstance(self.type_of(a[0]), IntegralType)}
+        made = {n: a if isinstance(a, Column) else self._aggregate(*a) for n, a in aggregates.items() if n not in whole}
+        out = self.df.groupBy(*keys).agg(*[c.alias(n) for n, c in (made or {"__n": A.length()}).items()])
+        for n, column in whole.items():
+            one = products(self.df.withColumn("__value", F.col(column) if isinstance(column, str) else column), keys, "__value", n)
+            one = one.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+            on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+            out = out.join(one, on) if keys else out.join(F.broadcast(one), F.lit(True))  # one row without keys
+        return out.select(*keys, *aggregates)
 
     def aggregate(self, **aggregates: tuple[Column | str, str] | Column) -> Sheet:
         """One row."""
-        return Sheet(self.df.agg(*[(a if isinstance(a, Column) else self._aggregate(*a)).alias(n) for n, a in aggregates.items()]))
+        return Sheet(self._grouped([], aggregates))
 
     def quantiles(self, value: str, *keys: str, **qs: float) -> Sheet:
         return Sheet(quantiles.quantiles(self.df, list(keys), value, qs))
@@ -146,9 +158,14 @@ class Sheet:
     # Down a column.
 
     def window(self, name: str, function: str, column: str, n: int | None = None, order: str | None = None, by: list[str] | None = None) -> Sheet:
-        """``name := column.function(n, order by keys)``. With partition keys these are Spark's windows; without, all rows
-        are one window, which is worked out over ranges and blocks of the order."""
+        """``name := column.function(n, order by keys)``. Running and filled values are worked out over ranges of the order
+        (within each of the partition keys), and so are looks at neighbours without such keys; with them these are Spark's
+        windows, which sort a key's rows in one task."""
         keys = [k for k in (order, ROW) if k and k in self.df.columns]
+        if by and function in _RUNNING:
+            return Sheet(prefix.running(self.df, keys, {name: (_RUNNING[function], F.col(column))}, by))
+        if by and function == "forward_fill":
+            return Sheet(prefix.filled(self.df, column, name, keys, by))
         if by:
             w = in_order(keys, by)
             if function in _ROLLING:
@@ -164,13 +181,13 @@ class Sheet:
             turned = placed.withColumn("__back", -F.col(ROW))
             made = prefix.filled(turned, column, name, ["__back"]).drop("__back")
         else:
-            n = n or 1
+            n = 1 if n is None else n
             f = (lambda w: _ROLLING[function](column, n, w)) if function in _ROLLING else (lambda w: _PARTITIONED[function](column, w, n))
             made = prefix.with_neighbours(placed, {name: f}, max(n, 0), max(-n, 0))
         return Sheet(made.drop(ROW).withColumnRenamed("__sheet_row", ROW) if "__sheet_row" in made.columns else made)
 
     def rank(self, name: str, column: str, ties: str = "average", desc: bool = False, by: list[str] | None = None) -> Sheet:
-        return Sheet(self.df.withColumn(name, windows.rank(column, ties, by, desc)) if by else ranks.ranked(self.df, column, name, ties, desc))
+        return Sheet(ranks.ranked(self.df, column, name, ties, desc, by))
 
     def accumulate(self, name: str, amount: Column, order: list[str], by: list[str] | None = None, start: float = 0) -> Sheet:
         return Sheet(recurrences.accumulated(self.df, amount, name, order, by, start))

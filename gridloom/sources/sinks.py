@@ -23,18 +23,19 @@ def to_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
 
 
 def _plain(df: DataFrame) -> DataFrame:
-    """JSON has no Inf or NaN: such floats become text in a column that holds any, as all columns of floats are written
-    as a struct's text only where needed."""
+    """JSON has no Inf or NaN: columns of floats that hold any are written as text, the others as numbers."""
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, DoubleType)]
+    odd = lambda c: F.isnan(c) | (F.abs(c) == float("inf"))
+    held = df.agg(*[F.coalesce(F.bool_or(odd(F.col(f"`{n}`"))), F.lit(False)) for n in floats]).first() if floats else ()
     out = {}
-    for f in df.schema.fields:
-        if isinstance(f.dataType, DoubleType):
-            c = F.col(f"`{f.name}`")
-            out[f.name] = F.when(F.isnan(c), "NaN").when(c == float("inf"), "Inf").when(c == float("-inf"), "-Inf")
-    return df.select(*[F.coalesce(out[c], F.col(f"`{c}`").cast("string")).alias(c) if c in out else F.col(f"`{c}`") for c in df.columns])
+    for n in (n for n, any_odd in zip(floats, held, strict=True) if any_odd):
+        c = F.col(f"`{n}`")
+        out[n] = F.when(F.isnan(c), "NaN").when(c == float("inf"), "Inf").when(c == float("-inf"), "-Inf").otherwise(c.cast("string"))
+    return df.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in df.columns])
 
 
 def to_json(df: DataFrame, path: str, inf_as_text: bool = False) -> None:
-    """A file of one object a row; with ``inf_as_text`` floats are written as text, so Inf and NaN survive."""
+    """A file of one object a row; with ``inf_as_text`` columns of floats with an Inf or NaN are written as text."""
     (_plain(_visible(df)) if inf_as_text else _visible(df)).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
