@@ -166,7 +166,10 @@ def train_dictionary(pages: DataFrame, samples: int = 256, sample_bytes: int = 8
     """A dictionary from at most ``samples`` pages' leading ``sample_bytes`` characters: a bounded sample, which only
     helps compression. It is chosen by a hash of the id, so archives are the same whenever they are written. Too few pages
     to learn from give none."""
-    some = pages.where("html <> ''").select(F.xxhash64("page_id", F.lit(10)).alias("r"), "page_id", F.substring("html", 1, sample_bytes).alias("t"))
+    # About twice the samples pass the share, so the lowest hashes are looked for among few rows.
+    drawn = F.pmod(F.xxhash64("page_id", "url", F.lit(10)), F.lit(1 << 30))
+    share = min(1.0, 2 * samples / max(pages.count(), 1))
+    some = pages.where("html <> ''").where(drawn < int(share * (1 << 30)) + 1).select(drawn.alias("r"), "page_id", F.substring("html", 1, sample_bytes).alias("t"))
     got = [r.t.encode("utf-8", "surrogatepass") for r in some.orderBy("r", "page_id", "t").limit(samples).collect()]
     try:
         return zstandard.train_dictionary(size, got).as_bytes() if len(got) >= 16 else b""
