@@ -4,7 +4,7 @@ Documents become token ids plus one end id, longer ones are cut into pieces of t
 few sequences as can be found. Each group of pieces is packed by best-fit decreasing and its bin count compared with
 the largest lower bound of a family of dual-feasible functions. Where a group has a gap, or the total exceeds the bound
 over all pieces, the pieces of its loose bins are exchanged with those of other groups and packed again, until the
-total is certified or a round saves nothing.
+total is certified, a round saves nothing or ``rounds`` are done; pieces of one length are placed in the order of rows.
 
 Only (id, length, checksum) rows move; a group holds about ``group_items`` rows at any input size. A null text is empty
 and so is one piece of the end id; repeated rows are pieces of their own; an empty table gives no rows. Columns other
