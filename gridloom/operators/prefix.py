@@ -7,7 +7,9 @@ neighbours exchange only the rows at the borders. No key, and no lack of a key,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gridloom.operators.order import ROW, ranged
@@ -41,13 +43,14 @@ def running(df: DataFrame, order: list[str], values: dict[str, tuple[str, Column
     return joined.select(*df.columns, *out)
 
 
-def with_neighbours(df: DataFrame, values: dict[str, Column], before: int = 0, after: int = 0, block: int = 1_000_000, row: str = ROW) -> DataFrame:
+def with_neighbours(df: DataFrame, values: dict[str, Callable[[WindowSpec], Column]], before: int = 0, after: int = 0, block: int = 1_000_000, row: str = ROW, by: list[str] | None = None) -> DataFrame:
     """Adds columns over ``w``, a window that reaches ``before`` rows back and ``after`` rows on in the order of the dense
-    ``row``: blocks of rows, each with copies of its neighbours' border rows. ``values``: ``name: function of a window``."""
+    ``row``: blocks of rows, each with copies of its neighbours' border rows. ``values``: ``name: function of a window``.
+    With ``by`` the row number must put rows of equal keys together; windows then end where the keys change."""
     own = F.floor(F.col(row) / block)
     spread = F.sequence(F.floor((F.col(row) - after) / block), F.floor((F.col(row) + before) / block))
     dealt = df.withColumn("__own", own).withColumn("__block", F.explode(spread))
-    w = Window.partitionBy("__block").orderBy(row)
+    w = Window.partitionBy("__block", *(by or [])).orderBy(row)
     made = dealt.withColumns({n: f(w) for n, f in values.items()})
     return made.where("__block = __own").select(*df.columns, *values)
 

@@ -2,34 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.order import ROW
 from gridloom.operators.prefix import running
 
 
+TIES = ("average", "min", "max", "dense", "ordinal")
+
+
 def ranked(df: DataFrame, column: str, name: str, ties: str = "average", desc: bool = False, by: list[str] | None = None, row: str = ROW) -> DataFrame:
     """Adds ``name``: ``average`` (a float), ``min``, ``max``, ``dense`` or ``ordinal``; null has no rank."""
-    if ties not in ("average", "min", "max", "dense", "ordinal"):
-        raise ValueError(f"no way to rank ties: {ties}")
-    keys = by or []
-    if ties == "ordinal":
+    return ranked_all(df, column, {name: (ties, desc)}, by, row)
+
+
+def ranked_all(df: DataFrame, column: str, wanted: dict[str, tuple[str, bool]], by: list[str] | None = None, row: str = ROW) -> DataFrame:
+    """Several ranks ``name: (ties, desc)`` of one column, from one count of its values."""
+    for ties, _ in wanted.values():
+        if ties not in TIES:
+            raise ValueError(f"no way to rank ties: {ties}")
+    keys, names = by or [], df.columns
+    if any(ties == "ordinal" for ties, _ in wanted.values()):
         # The place among equal values is the place in the whole order less the values before.
         df = running(df, [column, row], {"__nth": ("sum", F.col(column).isNotNull().cast("bigint"))}, keys)
     tally = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("__n"))
     tally = running(tally, [column], {"__upto": ("sum", F.col("__n")), "__dense": ("count", F.col("__n"))}, keys)
-    if desc:
+    if any(desc for _, desc in wanted.values()):
         whole = tally.groupBy(*[F.col(k).alias(f"__g_{k}") for k in keys]).agg(F.max("__upto").alias("__all"), F.max("__dense").alias("__kinds"))
         on = [F.col(k).eqNullSafe(F.col(f"__g_{k}")) for k in keys]
         tally = tally.join(whole, on) if keys else tally.join(F.broadcast(whole), F.lit(True))  # one row without keys
-    low, high = (F.col("__all") - F.col("__upto") + 1, F.col("__all") - F.col("__upto") + F.col("__n")) if desc else (F.col("__upto") - F.col("__n") + 1, F.col("__upto"))
-    dense = F.col("__kinds") - F.col("__dense") + 1 if desc else F.col("__dense")
-    before = F.col("__upto") - F.col("__n")
-    looked = tally.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(column).alias("__value"), low.alias("__low"), high.alias("__high"), dense.alias("__dense"), before.alias("__before"))
+    carried = [c for c in ("__upto", "__n", "__dense", "__all", "__kinds") if c in tally.columns]
+    looked = tally.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(column).alias("__value"), *carried)
     on = F.col(column) == F.col("__value")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    made = {"min": F.col("__low"), "max": F.col("__high"), "dense": F.col("__dense"), "average": (F.col("__low") + F.col("__high")) / 2}
-    rank = F.col("__low") + F.col("__nth") - F.col("__before") - 1 if ties == "ordinal" else made[ties]
-    return df.join(looked, on, "left").select(*[c for c in df.columns if c != "__nth"], rank.alias(name))
+
+    def rank(ties: str, desc: bool) -> Column:
+        before = F.col("__upto") - F.col("__n")
+        low, high = (F.col("__all") - F.col("__upto") + 1, F.col("__all") - before) if desc else (before + 1, F.col("__upto"))
+        if ties == "dense":
+            return F.col("__kinds") - F.col("__dense") + 1 if desc else F.col("__dense")
+        if ties == "ordinal":
+            return low + F.col("__nth") - before - 1
+        return {"min": low, "max": high, "average": (low + high) / 2}[ties]
+
+    return df.join(looked, on, "left").select(*names, *[rank(*how).alias(n) for n, how in wanted.items()])

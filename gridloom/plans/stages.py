@@ -73,7 +73,7 @@ SELECT band, count(c_custkey)::BIGINT AS customers, coalesce(sum(c_acctbal::DECI
 FROM bands LEFT JOIN customer ON c_acctbal >= low AND c_acctbal < high GROUP BY band""")
 def conditional_aggregate_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     bands = spark.range(8).select(F.col("id").alias("band"), (F.col("id") * 1000.0 - 1000).alias("low"), (F.col("id") * 1500.0 + 500).alias("high"))
-    made = lookups.conditional_range(bands, table(spark, sf_dir, "customer"), "low", "high", "c_acctbal", {"customers": F.lit(0), "balance": F.lit(0)}, customers=A.length(), balance=A.total("c_acctbal", 2))
+    made = lookups.conditional_range(bands, table(spark, sf_dir, "customer"), "low", "high", "c_acctbal", {"balance": F.lit(0)}, customers=("len", "c_acctbal"), balance=("sum", F.col("c_acctbal").cast("decimal(12,2)")))
     return made.select("band", F.col("customers").cast("bigint").alias("customers"), F.col("balance").cast("double").alias("balance"))
 
 

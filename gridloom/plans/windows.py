@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, WindowSpec
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import sequences as S
 from gridloom.operators import prefix, ranks, recurrences
 from gridloom.operators import windows as W
-from gridloom.operators.order import in_order, number_rows
+from gridloom.operators.order import number_rows
 from gridloom.plans.registry import query, table
 
 #: A value that is missing on every seventh event.
@@ -20,16 +20,21 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("some", F.when(F.col("event_id") % 7 != 0, F.col("value")).cast("decimal(12,2)"))
 
 
-def _by_user() -> WindowSpec:
-    return in_order(["ts", "event_id"], ["user_id"])
+_ORDER, _USER = ["ts", "event_id"], ["user_id"]
+
+
+def _by_user(events: DataFrame) -> DataFrame:
+    """Numbered so that a user's events stand together, in order: one user may have any part of all events."""
+    return number_rows(events, *_USER, *_ORDER)
 
 
 @query(f"""SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN sum(({_SOME})::DECIMAL(12,2)) OVER (w ROWS UNBOUNDED PRECEDING) END::DOUBLE AS cum_sum,
 CASE WHEN event_id % 7 <> 0 THEN min({_SOME}) OVER (w ROWS UNBOUNDED PRECEDING) END AS cum_min, CASE WHEN event_id % 7 <> 0 THEN max({_SOME}) OVER (w ROWS UNBOUNDED PRECEDING) END AS cum_max,
 count({_SOME}) OVER (w ROWS UNBOUNDED PRECEDING)::BIGINT AS cum_count FROM events WINDOW w AS ({_BY})""")
 def cum_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = {"cum_sum": W.cum_sum("some", _by_user()).cast("double"), "cum_min": W.cum_min("some", _by_user()).cast("double"), "cum_max": W.cum_max("some", _by_user()).cast("double"), "cum_count": W.cum_count("some", _by_user())}
-    return _events(spark, sf_dir).select("event_id", *[c.alias(n) for n, c in made.items()])
+    some = F.col("some")
+    made = prefix.running(_events(spark, sf_dir), _ORDER, {"cum_sum": ("sum", some), "cum_min": ("min", some), "cum_max": ("max", some), "cum_count": ("count", some)}, _USER)
+    return made.select("event_id", *[F.col(c).cast("double").alias(c) for c in ("cum_sum", "cum_min", "cum_max")], "cum_count")
 
 
 @query("""SELECT event_id, sum(value::DECIMAL(12,2)) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::DOUBLE AS total, count(value) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS seen,
@@ -47,14 +52,15 @@ def cum_by_large_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT user_id, event_id, round(ln(product(1 + value / 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), 6) AS growth FROM events""")
 def cum_prod_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("user_id", "event_id", F.round(F.ln(W.cum_prod(1 + F.col("value") / 1000, _by_user())), 6).alias("growth"))
+    made = prefix.running(table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value"), _ORDER, {"product": ("product", 1 + F.col("value") / 1000)}, _USER)
+    return made.select("user_id", "event_id", F.round(F.ln("product"), 6).alias("growth"))
 
 
 @query(f"""SELECT event_id, (({_SOME})::DECIMAL(12,2) - lag(({_SOME})::DECIMAL(12,2)) OVER ({_BY}))::DOUBLE AS diff, (value::DECIMAL(12,2) - lag(value::DECIMAL(12,2), 2) OVER ({_BY}))::DOUBLE AS diff2,
 value / lag(value) OVER ({_BY}) - 1 AS pct FROM events""")
 def diff_pct_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = {"diff": W.diff("some", _by_user()).cast("double"), "diff2": W.diff(F.col("value").cast("decimal(12,2)"), _by_user(), 2).cast("double"), "pct": W.pct_change("value", _by_user())}
-    return _events(spark, sf_dir).select("event_id", *[c.alias(n) for n, c in made.items()])
+    made = {"diff": lambda w: W.diff("some", w).cast("double"), "diff2": lambda w: W.diff(F.col("value").cast("decimal(12,2)"), w, 2).cast("double"), "pct": lambda w: W.pct_change("value", w)}
+    return prefix.with_neighbours(_by_user(_events(spark, sf_dir)), made, before=2, by=_USER).select("event_id", *made)
 
 
 @query("""SELECT c_custkey, CASE WHEN v IS NOT NULL THEN rank() OVER (PARTITION BY c_nationkey, v IS NULL ORDER BY v) END::BIGINT AS least,
@@ -64,16 +70,17 @@ CASE WHEN v IS NOT NULL THEN row_number() OVER (PARTITION BY c_nationkey, v IS N
 CASE WHEN v IS NOT NULL THEN rank() OVER (PARTITION BY c_nationkey, v IS NULL ORDER BY v) + (count(*) OVER (PARTITION BY c_nationkey, v) - 1) / 2 END::DOUBLE AS average
 FROM (SELECT *, CASE WHEN c_custkey % 11 <> 0 THEN floor(c_acctbal / 500)::BIGINT END AS v FROM customer)""")
 def rank_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").withColumn("v", F.when(F.col("c_custkey") % 11 != 0, F.floor(F.col("c_acctbal") / 500)))
-    by = ["c_nationkey"]
-    made = {"least": W.rank("v", "min", by), "most": W.rank("v", "max", by), "dense_desc": W.rank("v", "dense", by, desc=True), "ordinal": W.rank("v", "ordinal", by, row="c_custkey"), "average": W.rank("v", "average", by)}
-    return rows.select("c_custkey", *[c.alias(n) for n, c in made.items()])
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 11 != 0, F.floor(F.col("c_acctbal") / 500)).alias("v"))
+    wanted = {"least": ("min", False), "most": ("max", False), "dense_desc": ("dense", True), "ordinal": ("ordinal", False), "average": ("average", False)}
+    return ranks.ranked_all(rows, "v", wanted, ["c_nationkey"], "c_custkey").select("c_custkey", *wanted)
 
 
 @query(f"""SELECT event_id, last_value(({_SOME}) IGNORE NULLS) OVER ({_BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS forward_fill,
 first_value(({_SOME}) IGNORE NULLS) OVER ({_BY} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS backward_fill FROM events""")
 def fill_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).select("event_id", W.forward_fill("some", _by_user()).cast("double").alias("forward_fill"), W.backward_fill("some", _by_user()).cast("double").alias("backward_fill"))
+    placed = _by_user(_events(spark, sf_dir)).withColumn("back", -F.col("__row"))
+    made = prefix.filled(prefix.filled(placed, "some", "forward_fill", ["__row"], _USER), "some", "backward_fill", ["back"], _USER)
+    return made.select("event_id", F.col("forward_fill").cast("double").alias("forward_fill"), F.col("backward_fill").cast("double").alias("backward_fill"))
 
 
 _FULL = f"count({_SOME}) OVER ({_BY} ROWS 2 PRECEDING) = 3"
@@ -84,13 +91,14 @@ CASE WHEN {_FULL} THEN round(sum(({_SOME})::DECIMAL(12,2)) OVER ({_BY} ROWS 2 PR
 CASE WHEN {_FULL} THEN min({_SOME}) OVER ({_BY} ROWS 2 PRECEDING) END AS rolling_min, CASE WHEN {_FULL} THEN max({_SOME}) OVER ({_BY} ROWS 2 PRECEDING) END AS rolling_max,
 CASE WHEN {_FULL} THEN round(stddev_samp({_SOME}) OVER ({_BY} ROWS 2 PRECEDING), 4) END AS rolling_std FROM events""")
 def rolling_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = {"rolling_sum": W.rolling_sum("some", 3, _by_user()).cast("double"), "rolling_mean": F.round(W.rolling_mean_exact("some", 3, _by_user(), 2).cast("double"), 6), "rolling_min": W.rolling_min("some", 3, _by_user()).cast("double"), "rolling_max": W.rolling_max("some", 3, _by_user()).cast("double"), "rolling_std": F.round(W.rolling_std("some", 3, _by_user()), 4)}
-    return _events(spark, sf_dir).select("event_id", *[c.alias(n) for n, c in made.items()])
+    made = {"rolling_sum": lambda w: W.rolling_sum("some", 3, w).cast("double"), "rolling_mean": lambda w: F.round(W.rolling_mean_exact("some", 3, w, 2).cast("double"), 6), "rolling_min": lambda w: W.rolling_min("some", 3, w).cast("double"), "rolling_max": lambda w: W.rolling_max("some", 3, w).cast("double"), "rolling_std": lambda w: F.round(W.rolling_std("some", 3, w), 4)}
+    return prefix.with_neighbours(_by_user(_events(spark, sf_dir)), made, before=2, by=_USER).select("event_id", *made)
 
 
 @query(f"""SELECT event_id, lag(value) OVER ({_BY}) AS back, lead(value, 2) OVER ({_BY}) AS ahead, coalesce(lag(event_type) OVER ({_BY}), 'start') AS before FROM events""")
 def shift_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", W.shift("value", _by_user()).alias("back"), W.shift("value", _by_user(), -2).alias("ahead"), F.coalesce(W.shift("event_type", _by_user()), F.lit("start")).alias("before"))
+    made = {"back": lambda w: W.shift("value", w), "ahead": lambda w: W.shift("value", w, -2), "before": lambda w: F.coalesce(W.shift("event_type", w), F.lit("start"))}
+    return prefix.with_neighbours(_by_user(table(spark, sf_dir, "events")), made, before=1, after=2, by=_USER).select("event_id", *made)
 
 
 @query("""SELECT event_id, lag(value, 3) OVER (ORDER BY event_id) AS back, lead(value) OVER (ORDER BY event_id) AS ahead,
@@ -107,8 +115,9 @@ def shift_over_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 sum(value::DECIMAL(12,2)) OVER ({_BY} ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING)::DOUBLE AS around FROM events""")
 def prefix_and_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value").cast("decimal(12,2)")
-    mean = W.prefix(F.sum(v), _by_user()).cast("double") / W.prefix(F.count(v), _by_user())
-    return table(spark, sf_dir, "events").select("event_id", F.round(mean, 6).alias("prefix_mean"), W.sliding(F.sum(v), 1, 2, _by_user()).cast("double").alias("around"))
+    so_far = prefix.running(_by_user(table(spark, sf_dir, "events")), ["__row"], {"total": ("sum", v), "seen": ("count", v)}, _USER)
+    made = prefix.with_neighbours(so_far, {"around": lambda w: W.sliding(F.sum(v), 1, 2, w)}, before=1, after=2, by=_USER)
+    return made.select("event_id", F.round(F.col("total").cast("double") / F.col("seen"), 6).alias("prefix_mean"), F.col("around").cast("double").alias("around"))
 
 
 @query("""SELECT o_orderkey, (sum(o_totalprice::DECIMAL(12,2)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) + 100)::DOUBLE AS balance FROM orders""")
@@ -134,9 +143,8 @@ _RANKED = "(SELECT *, CASE WHEN c_custkey % 11 <> 0 THEN floor(c_acctbal / 500):
 CASE WHEN v IS NOT NULL THEN dense_rank() OVER (ORDER BY v IS NULL, v) END::BIGINT AS dense, CASE WHEN v IS NOT NULL THEN rank() OVER (ORDER BY v IS NULL, v) + (count(*) OVER (PARTITION BY v) - 1) / 2 END::DOUBLE AS average FROM {_RANKED}""")
 def rank_over_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 11 != 0, F.floor(F.col("c_acctbal") / 500)).alias("v"))
-    for name, ties, desc in (("least", "min", True), ("ordinal", "ordinal", True), ("dense", "dense", False), ("average", "average", False)):
-        rows = ranks.ranked(rows, "v", name, ties, desc, row="c_custkey")
-    return rows.drop("v")
+    wanted = {"least": ("min", True), "ordinal": ("ordinal", True), "dense": ("dense", False), "average": ("average", False)}
+    return ranks.ranked_all(rows, "v", wanted, row="c_custkey").drop("v")
 
 
 @query("""SELECT event_id, last_value((CASE WHEN event_id % 7 = 0 THEN value END) IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM events""")

@@ -15,11 +15,11 @@ from pyspark.sql.types import DataType, DecimalType, DoubleType, FloatType, Inte
 
 from gridloom.functions import aggregates as A
 from gridloom.operators import distinct, lookups, prefix, quantiles, ranks, recurrences, stages, windows
-from gridloom.operators.order import ROW, in_order, number_rows
+from gridloom.operators.order import ROW, number_rows
 from gridloom.operators.products import products
 from gridloom.sources import sinks, views
 
-_PARTITIONED = {"cum_sum": windows.cum_sum, "cum_min": windows.cum_min, "cum_max": windows.cum_max, "cum_prod": windows.cum_prod, "cum_count": windows.cum_count, "diff": windows.diff, "pct_change": windows.pct_change, "shift": windows.shift, "forward_fill": windows.forward_fill, "backward_fill": windows.backward_fill}
+_NEAR = {"diff": windows.diff, "pct_change": windows.pct_change, "shift": windows.shift}
 _ROLLING = {"rolling_sum": windows.rolling_sum, "rolling_mean": windows.rolling_mean, "rolling_min": windows.rolling_min, "rolling_max": windows.rolling_max, "rolling_std": windows.rolling_std}
 _RUNNING = {"cum_sum": "sum", "cum_min": "min", "cum_max": "max", "cum_prod": "product", "cum_count": "count"}
 
@@ -97,7 +97,7 @@ class Sheet:
     def conditional(self, other: Sheet, key: str, other_key: str, empty: dict[str, Column] | None = None, **aggregates: Column) -> Sheet:
         return Sheet(lookups.conditional(self.df, other.df, key, other_key, empty or {}, **aggregates))
 
-    def conditional_range(self, other: Sheet, low: str, high: str, value: str, empty: dict[str, Column] | None = None, **aggregates: Column) -> Sheet:
+    def conditional_range(self, other: Sheet, low: str, high: str, value: str, empty: dict[str, Column] | None = None, **aggregates: tuple[str, Column | str]) -> Sheet:
         return Sheet(lookups.conditional_range(self.df, other.df, low, high, value, empty or {}, **aggregates))
 
     def aligned(self, other: Sheet) -> Sheet:
@@ -159,32 +159,22 @@ class Sheet:
 
     def window(self, name: str, function: str, column: str, n: int | None = None, order: str | None = None, by: list[str] | None = None) -> Sheet:
         """``name := column.function(n, order by keys)``. Running and filled values are worked out over ranges of the order
-        (within each of the partition keys), and so are looks at neighbours without such keys; with them these are Spark's
-        windows, which sort a key's rows in one task."""
+        (within each of the partition keys), looks at neighbours over blocks of rows, so no key is sorted in one task."""
         keys = [k for k in (order, ROW) if k and k in self.df.columns]
-        if by and function in _RUNNING:
-            return Sheet(prefix.running(self.df, keys, {name: (_RUNNING[function], F.col(column))}, by))
-        if by and function == "forward_fill":
-            return Sheet(prefix.filled(self.df, column, name, keys, by))
-        if by:
-            w = in_order(keys, by)
-            if function in _ROLLING:
-                return Sheet(self.df.withColumn(name, _ROLLING[function](column, n, w)))
-            f = _PARTITIONED[function]
-            return Sheet(self.df.withColumn(name, f(column, w) if n is None else f(column, w, n)))
         if function in _RUNNING:
-            return Sheet(prefix.running(self.df, keys, {name: (_RUNNING[function], F.col(column))}))
+            return Sheet(prefix.running(self.df, keys, {name: (_RUNNING[function], F.col(column))}, by))
         if function == "forward_fill":
-            return Sheet(prefix.filled(self.df, column, name, keys))
-        placed = self.df if keys == [ROW] else number_rows(self.df.withColumnRenamed(ROW, "__sheet_row"), *["__sheet_row" if k == ROW else k for k in keys])
+            return Sheet(prefix.filled(self.df, column, name, keys, by))
+        there = not by and keys == [ROW]
+        placed = self.df if there else number_rows(self.df.withColumnRenamed(ROW, "__sheet_row"), *(by or []), *["__sheet_row" if k == ROW else k for k in keys])
         if function == "backward_fill":
             turned = placed.withColumn("__back", -F.col(ROW))
-            made = prefix.filled(turned, column, name, ["__back"]).drop("__back")
+            made = prefix.filled(turned, column, name, ["__back"], by).drop("__back")
         else:
             n = 1 if n is None else n
-            f = (lambda w: _ROLLING[function](column, n, w)) if function in _ROLLING else (lambda w: _PARTITIONED[function](column, w, n))
-            made = prefix.with_neighbours(placed, {name: f}, max(n, 0), max(-n, 0))
-        return Sheet(made.drop(ROW).withColumnRenamed("__sheet_row", ROW) if "__sheet_row" in made.columns else made)
+            f = (lambda w: _ROLLING[function](column, n, w)) if function in _ROLLING else (lambda w: _NEAR[function](column, w, n))
+            made = prefix.with_neighbours(placed, {name: f}, max(n, 0), max(-n, 0), by=by)
+        return Sheet(made if there else made.drop(ROW).withColumnRenamed("__sheet_row", ROW))
 
     def rank(self, name: str, column: str, ties: str = "average", desc: bool = False, by: list[str] | None = None) -> Sheet:
         return Sheet(ranks.ranked(self.df, column, name, ties, desc, by))

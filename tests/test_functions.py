@@ -311,12 +311,19 @@ def test_numbered_rows(spark, tmp_path):
     assert all(r["id"] == r["__row"] for r in made.collect())
 
 
-def test_bands_by_broadcast_and_by_cells_agree(spark):
-    bands = spark.range(50).select((F.col("id") * 10.0).alias("low"), (F.col("id") * 10.0 + 25).alias("high"))
-    other = spark.range(600).select((F.col("id") * 1.0).alias("v"))
-    one = lookups.conditional_range(bands, other, "low", "high", "v", {}, n=A.length()).orderBy("low").collect()
-    two = lookups.conditional_range(bands, other, "low", "high", "v", {}, most_bands=1, width=7.0, n=A.length()).orderBy("low").collect()
-    assert one == two and one[0].n == 25
+@pytest.mark.parametrize("most", [1, 256])
+def test_bands_are_those_of_plain_loops(spark, most):
+    nan, inf = float("nan"), float("inf")
+    ends = [(0.0, 25.0), (5.0, 5.0), (9.0, 2.0), (-inf, 3.5), (590.0, inf), (None, 4.0), (1.0, None), (-inf, inf), (10.0, nan), (0.0, 25.0), *[(i * 7.0, i * 11.0 + 3) for i in range(40)]]
+    cells = [None, nan, 3.5, 3.5, *[i / 2 for i in range(-9, 900, 7)]]
+    made = spark.createDataFrame([(i, *e) for i, e in enumerate(ends)], "i int, low double, high double")
+    other = spark.createDataFrame([(c,) for c in cells], "v double")
+    got = lookups.conditional_range(made, other, "low", "high", "v", {"s": F.lit(0.0)}, most_bounds=most, n=("len", "v"), s=("sum", F.col("v")), least=("min", "v"), most=("max", "v"))
+    key = lambda x: (x != x, x if x == x else 0)  # noqa: E731  NaN is the greatest
+    for r in got.collect():
+        inside = [] if None in (r.low, r.high) else [v for v in cells if v is not None and key(r.low) <= key(v) < key(r.high)]
+        assert (r.n, r.s, r.least, r.most) == (len(inside), pytest.approx(sum(inside)), min(inside, default=None), max(inside, default=None)), r
+    assert got.count() == len(ends)
 
 
 def test_rolling_std_of_one_is_null(spark):
