@@ -53,3 +53,23 @@ def based(x: ColumnOrName, base: int, prefix: str) -> Column:
 def scientific(x: ColumnOrName, places: int) -> Column:
     """``1.23e+02``."""
     return F.format_string(f"%.{places}e", col(x).cast("double"))
+
+
+def signed(x: ColumnOrName, shown: Column) -> Column:
+    """``±``: a plus before what shows a number above 0."""
+    return F.when(col(x) > 0, F.concat(F.lit("+"), shown)).otherwise(shown)
+
+
+def padded(shown: ColumnOrName, width: int, fill: str = " ", left: bool = False) -> Column:
+    """A width in characters: at the right of it, or the left; zeros stand after a sign. Longer texts stay whole."""
+    shown = col(shown)
+    if left:
+        return F.when(F.char_length(shown) < width, F.rpad(shown, width, fill)).otherwise(shown)
+    sign = F.regexp_extract(shown, "^[+-]?", 0) if fill == "0" else F.lit("")
+    rest = F.substring(shown, F.char_length(sign) + 1, F.char_length(shown))
+    return F.when(F.char_length(shown) < width, F.concat(sign, F.lpad(rest, F.lit(width) - F.char_length(sign), F.lit(fill)))).otherwise(shown)
+
+
+def powers_of_thousand(x: ColumnOrName, places: int, power: int) -> Column:
+    """``e-3``, ``e3``, ``e6``: the number over ten to ``power``, with that power behind it."""
+    return F.concat(fixed(col(x).cast("decimal(27,10)") / F.lit(10.0**power).cast("decimal(20,9)"), places), F.lit(f"e{power:+03d}"))

@@ -1,11 +1,13 @@
 """Sequence columns in closed form over a dense row number that starts at 0.
 
-A sequence stops at its limit and leaves the rows after it empty. Rules that read earlier terms are in
-``operators.recurrences``.
+A sequence stops at its limit and leaves the rows after it empty. Rules over earlier rows' cells are in
+``operators.recurrences``; ``own_terms`` are those of rules that read nothing but the sequence itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,3 +67,20 @@ def letters(row: ColumnOrName, first: str = "A") -> Column:
     begin = F.struct((col(row) + start).cast("bigint").alias("n"), F.lit("").alias("s"))
     grow = lambda a, _: F.when(a.n > 0, F.struct(F.floor((a.n - 1) / 26).alias("n"), F.concat(F.char((F.pmod(a.n - 1, F.lit(26)) + 65).cast("bigint")), a.s).alias("s"))).otherwise(a)
     return F.aggregate(F.sequence(F.lit(1), F.lit(13)), begin, grow)["s"]
+
+
+def own_terms(first: list[float], rule: Callable[[list[float]], float], limit: float, most: int = 10_000) -> list[float]:
+    """``0, 1, $-1 + $-2 ... limit``: the first terms and those that the rule makes of all before, up to the limit. A
+    sequence that has not passed its limit after ``most`` terms is an error: such terms are small tables, not columns of
+    rows."""
+    terms = [t for t in first if t <= limit]
+    while len(terms) >= len(first) and (term := rule(terms)) <= limit:
+        if len(terms) == most:
+            raise ValueError(f"the sequence does not reach {limit} in {most} terms")
+        terms.append(term)
+    return terms
+
+
+def listed(row: ColumnOrName, terms: list[float]) -> Column:
+    """Terms by row; null after the last."""
+    return F.try_element_at(F.array(*map(F.lit, terms)), (col(row) + 1).cast("int")) if terms else F.lit(None)

@@ -38,18 +38,16 @@ def file_rows(spark: SparkSession, path: str) -> DataFrame:
     return raw.join(start, "__file").select(*names, (F.col("start") + F.col("__at")).alias(ROW))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder of ``spark.checkpoint.dir`` and read back, so lineage is cut, the plan
-    runs once and any executor may be lost. Where the folder is unset on one machine (tests) it is one of our own; on a
-    cluster it must be set. What is written is deleted when the driver ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``, deleted when the driver ends. Where the folder is unset on
+    one machine (tests) it is one of our own; on a cluster it must be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/gridloom-rows-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/gridloom-{name}-{uuid.uuid4().hex}"
 
     def tidy() -> None:
         try:
@@ -59,8 +57,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
             return
 
     atexit.register(tidy)
+    return path
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back, so lineage is cut, the plan runs once and any executor
+    may be lost."""
+    path = scratch(df.sparkSession, "rows")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ranged(df: DataFrame, *keys: Column | str) -> DataFrame:

@@ -5,6 +5,8 @@ A frame that has ``__row`` keeps the sheet's order: sorts are stable by it and j
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,6 +101,16 @@ def stack(df: DataFrame, *columns: str, name: str = "value") -> DataFrame:
     return df.select(F.explode(F.array(*columns)).alias(name))
 
 
+def pieces(*parts: tuple[DataFrame, str, int, int], name: str = "value") -> DataFrame:
+    """``[A; 0..3], [B; 7..9]``: the cells of several vectors, each ``(frame, column, low, high)``, as one column in that
+    order with ``__row``, for aggregates over all of them. Pieces may overlap; a cell then stands twice."""
+    out, start = [], 0
+    for df, column, low, high in parts:
+        out.append(rows_between(df, low, high).select(F.col(column).alias(name), (F.col(ROW) - low + start).alias(ROW)))
+        start += max(high - low + 1, 0)
+    return reduce(DataFrame.unionByName, out)
+
+
 def summary(df: DataFrame, *columns: str) -> DataFrame:
     """Count, sum and mean of each column in one row: what a selected block shows."""
     out = []

@@ -109,18 +109,17 @@ def text_tests_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(table(spark, sf_dir, "documents"), ["doc_id"], {"chars": T.len_chars("text"), "has": T.contains("text", "the"), "digits": T.matches("text", "[0-9]{3}")})
 
 
-@query("""SELECT p_partkey, 'n-' || (p_partkey + 1)::VARCHAR AS next, p_size::VARCHAR AS text, p_retailprice::BIGINT AS near, (p_size <> 0) AS truth FROM
-(SELECT p_partkey, p_size, trunc(p_retailprice) AS p_retailprice FROM part WHERE p_partkey >= 1)""")
+@query("""SELECT p_partkey, 'n-' || (p_partkey + 1)::VARCHAR AS next, p_size::VARCHAR AS text, trunc(p_retailprice)::BIGINT AS near, (p_size <> 0) AS truth FROM part""")
 def conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every part, that of key 0 too."""
     made = {"next": T.succ(F.concat(F.lit("n-"), convert.string("p_partkey"))), "text": convert.string("p_size"), "near": convert.integer("p_retailprice"), "truth": convert.boolean("p_size")}
-    return _shown(table(spark, sf_dir, "part").where("p_partkey >= 1"), ["p_partkey"], made)
+    return _shown(table(spark, sf_dir, "part"), ["p_partkey"], made)
 
 
 @query("""SELECT p_partkey, 'n-' || (p_partkey + 1)::VARCHAR AS next, p_size::VARCHAR AS text, trunc(p_retailprice)::BIGINT AS near, (p_size <> 0) AS truth FROM part""")
 def conversions_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``conversions`` over every part, that of key 0 too."""
-    made = {"next": T.succ(F.concat(F.lit("n-"), convert.string("p_partkey"))), "text": convert.string("p_size"), "near": convert.integer("p_retailprice"), "truth": convert.boolean("p_size")}
-    return _shown(table(spark, sf_dir, "part"), ["p_partkey"], made)
+    """An earlier name of ``conversions``."""
+    return conversions(spark, sf_dir)
 
 
 @query("""SELECT o_orderkey, year(o_orderdate)::BIGINT AS y, month(o_orderdate)::BIGINT AS m, day(o_orderdate)::BIGINT AS d, quarter(o_orderdate)::BIGINT AS q, isodow(o_orderdate)::BIGINT AS weekday, weekofyear(o_orderdate)::BIGINT AS week, dayofyear(o_orderdate)::BIGINT AS ordinal_day,
@@ -195,12 +194,6 @@ def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(table(spark, sf_dir, "part"), ["p_partkey"], made)
 
 
-@query("SELECT c_custkey, chr((65 + c_custkey // 26 - 1)::INT) || chr((65 + c_custkey % 26)::INT) AS letters FROM customer WHERE c_custkey >= 26 AND c_custkey < 702")
-def letter_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").where("c_custkey >= 26 and c_custkey < 702")
-    return rows.select("c_custkey", S.letters("c_custkey").alias("letters"))
-
-
 # The rows of k letters start at (26 ** k - 26) / 25; from the first on they are the k digits of base 26.
 _STARTS = [(26**k - 26) // 25 for k in range(1, 9)]
 _DIGITS = [" || ".join(f"chr((65 + (c_custkey - {start}) // {26**d} % 26)::INT)" for d in range(k, -1, -1)) for k, start in enumerate(_STARTS[:-1])]
@@ -208,11 +201,17 @@ _BY_LENGTH = " ".join(f"WHEN c_custkey < {end} THEN {digits}" for digits, end in
 
 
 @query(f"SELECT c_custkey, CASE {_BY_LENGTH} END AS letters FROM customer")
-def letter_sequence_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``letter_sequence`` over every customer: one letter and up."""
+def letter_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every customer: one letter and up."""
     return table(spark, sf_dir, "customer").select("c_custkey", S.letters("c_custkey").alias("letters"))
 
 
+@query(f"SELECT c_custkey, CASE {_BY_LENGTH} END AS letters FROM customer")
+def letter_sequence_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An earlier name of ``letter_sequence``."""
+    return letter_sequence(spark, sf_dir)
+
+
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (CASE WHEN l_extendedprice > 50000 THEN 0.1 ELSE 0.05 END)::DOUBLE AS rate, l_quantity >= 10 AND l_quantity < 20 AS mid FROM lineitem""")
 def formula_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's function is a Python function of columns: it expands in the plan."""

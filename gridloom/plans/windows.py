@@ -126,6 +126,13 @@ def recursive_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("o_orderkey", F.col("balance").cast("double").alias("balance"))
 
 
+@query("""WITH placed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
+SELECT a.event_id, round(sum(b.value * pow(1 / 3.0::DOUBLE, a.n - b.n)), 6) AS level FROM placed a JOIN placed b ON a.user_id = b.user_id AND b.n <= a.n GROUP BY a.event_id""")
+def decayed_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    return recurrences.decayed(events, F.col("value"), 1 / 3, "level", _USER, _ORDER).select("event_id", F.round("level", 6).alias("level"))
+
+
 @query("""SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS place, (5 + 2 * (row_number() OVER (ORDER BY c_custkey) - 1))::BIGINT AS odd,
 CASE WHEN 5 + 2 * (row_number() OVER (ORDER BY c_custkey) - 1) <= 99 THEN 5 + 2 * (row_number() OVER (ORDER BY c_custkey) - 1) END::BIGINT AS short,
 (DATE '2025-01-01' + (7 * (row_number() OVER (ORDER BY c_custkey) - 1))::INT)::VARCHAR AS week,

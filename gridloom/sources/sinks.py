@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+import json
 import re
 from collections.abc import Callable
 
@@ -39,6 +41,22 @@ def to_json(df: DataFrame, path: str, inf_as_text: bool = False) -> None:
     (_plain(_visible(df)) if inf_as_text else _visible(df)).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def to_json_sheets(sheets: dict[str, DataFrame], path: str, inf_as_text: bool = False) -> None:
+    """One file of an object of sheets, each a list of its rows as objects: a report's format, so the driver writes it, in
+    the rows' order and one partition at a time. ``sources.views.json_sheet`` reads it."""
+    with open(path, "w", encoding="utf-8") as out:
+        for i, (name, df) in enumerate(sheets.items()):
+            rows = df.orderBy(ROW) if ROW in df.columns else df
+            shown_rows = _plain(_visible(rows)) if inf_as_text else _visible(rows)
+            out.write(("," if i else "{") + json.dumps(name, ensure_ascii=False) + ":[")
+            line = F.to_json(F.struct(*[F.col(f"`{c}`") for c in shown_rows.columns]), {"ignoreNullFields": "false"})
+            for k, r in enumerate(shown_rows.select(line).toLocalIterator()):
+                out.write(",\n" if k else "\n")
+                out.write(r[0])
+            out.write("]")
+        out.write("}\n" if sheets else "{}\n")
+
+
 def to_parquet(df: DataFrame, path: str, by: list[str] | None = None, metadata: dict[str, dict] | None = None) -> None:
     """Field metadata (format, unit, zone) goes along in the footer."""
     out = _visible(df)
@@ -70,14 +88,24 @@ def as_markdown(df: DataFrame, limit: int = 1000) -> str:
     return "\n".join(["| " + " | ".join(names) + " |", "| " + " | ".join("---" for _ in names) + " |", *("| " + " | ".join(shown(v).replace("|", "\\|") for v in r) + " |" for r in rows)])
 
 
-def render(template: str, values: dict[str, Callable[[], object]]) -> str:
-    """A Markdown template with ``{{ name }}`` replaced: a frame by its table, other values by their text."""
+def as_html(df: DataFrame, limit: int = 1000) -> str:
+    """A table element of the first ``limit`` rows."""
+    rows = _visible(df.orderBy(ROW) if ROW in df.columns else df).limit(limit).collect()
+    line = lambda cells, tag: "<tr>" + "".join(f"<{tag}>{html.escape(shown(c))}</{tag}>" for c in cells) + "</tr>"
+    return "\n".join(["<table>", line(_visible(df).columns, "th"), *(line(r, "td") for r in rows), "</table>"])
+
+
+def render(template: str, values: dict[str, Callable[[], object]], as_table: Callable[[DataFrame], str] = as_markdown) -> str:
+    """A template with ``{{ name }}`` replaced: a frame by its table (``as_markdown`` or ``as_html``), other values by their
+    text, which HTML escapes. Fenced blocks are left as they are."""
 
     def put(m: re.Match) -> str:
         v = values[m[1]]()
-        return as_markdown(v) if isinstance(v, DataFrame) else shown(v)
+        return as_table(v) if isinstance(v, DataFrame) else html.escape(shown(v)) if as_table is as_html else shown(v)
 
-    return re.sub(r"\{\{\s*(\w+)\s*\}\}", put, template)
+    # Odd parts are fenced: from a line of three or more marks to the next that has as many.
+    parts = re.split(r"(?ms)(^ {0,3}(?P<marks>`{3,}|~{3,})[^\n]*\n.*?(?:^ {0,3}(?P=marks)[`~]*[ \t]*$|\Z))", template)
+    return "".join(part if i % 3 == 1 else re.sub(r"\{\{\s*(\w+)\s*\}\}", put, part) for i, part in enumerate(parts) if i % 3 < 2)
 
 
 def schema_of(df: DataFrame) -> StructType:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import datetime
+import json
+import zipfile
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.sheet import Sheet
 from gridloom.sources import sinks, views, workbooks
@@ -91,12 +94,42 @@ def test_workbook_round_trip(spark, tmp_path):
     s = Sheet.inline(spark, "Name | N | On\nAda <&> | 1.5 | 2025-01-31\n | 2 | ", N="double", On="date")
     path = str(tmp_path / "f.xlsx")
     workbooks.write({"First": s.df, "Second": s.select("N").df}, path)
-    assert [tuple(r)[1:] for r in workbooks.read(spark, path).orderBy("__row").collect()] == [("Ada <&>", 1.5, "2025-01-31"), (None, 2.0, None)]
+    assert [tuple(r)[1:] for r in workbooks.read(spark, path).orderBy("__row").collect()] == [("Ada <&>", 1.5, datetime.date(2025, 1, 31)), (None, 2.0, None)]
     assert [r.N for r in workbooks.read(spark, path, "Second").orderBy("__row").collect()] == [1.5, 2.0]
     with pytest.raises(KeyError):
         workbooks.read(spark, path, "Third")
 
 
+def test_workbook_dates(spark, tmp_path):
+    days = ["1900-01-01", "1900-02-28", "1900-03-01", "1969-07-20", "2024-02-29", "9999-12-31"]
+    rows = spark.createDataFrame([(i, d, d + "T13:05:07", d if i else "soon") for i, d in enumerate(days)], "__row long, d string, t string, m string")
+    df = rows.select("__row", F.col("d").cast("date"), F.col("t").cast("timestamp_ntz"), "m")
+    path = str(tmp_path / "f.xlsx")
+    workbooks.write({"S": df}, path)
+    back = workbooks.read(spark, path)
+    assert back.dtypes == [("__row", "bigint"), ("d", "date"), ("t", "timestamp_ntz"), ("m", "string")]
+    assert [tuple(r) for r in back.orderBy("__row").collect()] == [tuple(r) for r in df.orderBy("__row").collect()]
+    with zipfile.ZipFile(path) as book:
+        assert '<c r="A4" s="1"><v>61.0</v></c>' in book.read("xl/worksheets/sheet1.xml").decode()
+
+
+def test_json_of_several_sheets(spark, tmp_path):
+    one = Sheet.inline(spark, 'A | B\n2 | "x"\n1 | ', A="bigint")
+    path = str(tmp_path / "f.json")
+    sinks.to_json_sheets({"One": one.df, "Tw\"o": spark.createDataFrame([(float("inf"),), (0.5,)], "x double"), "None": one.filter(F.col("A") > 9).df}, path, inf_as_text=True)
+    with open(path) as f:
+        assert json.load(f) == {"One": [{"A": 2, "B": "x"}, {"A": 1, "B": None}], 'Tw"o': [{"x": "Inf"}, {"x": "0.5"}], "None": []}
+    assert [tuple(r) for r in views.json_sheet(spark, path, "One").collect()] == [(2, "x"), (1, None)]
+
+
+def test_html_and_fenced_blocks(spark):
+    s = Sheet.inline(spark, "Region | Count\nU<K | 1", Count="bigint")
+    template = "<p>{{ n }}</p>\n```\n{{ n }}\n```\n{{ t }}\n~~~~ text\n```\n{{ t }}"
+    made = sinks.render(template, {"n": lambda: "a&b", "t": lambda: s.df}, sinks.as_html)
+    table = "<table>\n<tr><th>Region</th><th>Count</th></tr>\n<tr><td>U&lt;K</td><td>1</td></tr>\n</table>"
+    assert made == f"<p>a&amp;b</p>\n```\n{{{{ n }}}}\n```\n{table}\n~~~~ text\n```\n{{{{ t }}}}"
+
+
 def test_text_and_render(spark):
     s = Sheet.inline(spark, "Region | Count\nUK | 1\nUS | 22", Count="bigint")
     assert s.text() == "Region | Count\n-------|------\nUK     |     1\nUS     |    22"

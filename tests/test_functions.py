@@ -15,7 +15,7 @@ from gridloom.functions import arithmetic as Ar
 from gridloom.functions import complexes as C
 from gridloom.functions import convert, dates, formats, fractions, logic, maths, quantities, sequences, text, vectors
 from gridloom.functions import uncertain as U
-from gridloom.operators import lookups, prefix, quantiles
+from gridloom.operators import lookups, prefix, quantiles, stages
 from gridloom.operators.order import file_rows, number_rows
 from gridloom.operators.products import products
 from gridloom.operators.windows import rolling_std
@@ -256,6 +256,29 @@ def test_formats(spark):
     assert value(spark, formats.scientific(F.lit(12345.678), 2)) == "1.23e+04"
 
 
+def test_signs_widths_and_powers(spark):
+    df = spark.createDataFrame([("1.5",), ("-2.25",), ("0",), (None,)], "t string").withColumn("x", F.col("t").cast("decimal(20,4)"))
+    plus = formats.signed("x", formats.fixed("x", 1))
+    made = {"plus": plus, "wide": formats.padded(plus, 7), "zeros": formats.padded(plus, 7, "0"), "left": formats.padded(plus, 6, left=True), "short": formats.padded(plus, 2), "milli": formats.powers_of_thousand("x", 2, -3)}
+    got = [tuple(r) for r in df.select(*[c.alias(n) for n, c in made.items()]).collect()]
+    assert got == [("+1.5", "   +1.5", "+0001.5", "+1.5  ", "+1.5", "1500.00e-03"), ("-2.3", "   -2.3", "-0002.3", "-2.3  ", "-2.3", "-2250.00e-03"), ("0.0", "    0.0", "00000.0", "0.0   ", "0.0", "0.00e-03"), (None,) * 6]
+
+
+def test_own_terms(spark):
+    terms = sequences.own_terms([0, 1], lambda t: t[-1] + t[-2], 60)
+    assert terms == [0, 1, 1, 2, 3, 5, 8, 13, 21, 34, 55]
+    assert [r[0] for r in spark.range(13).select(sequences.listed("id", terms)).collect()] == [*terms, None, None]
+    assert sequences.own_terms([5, 9], lambda t: t[-1] + 1, 6) == [5]
+    with pytest.raises(ValueError, match="in 10 terms"):
+        sequences.own_terms([1], lambda t: t[-1], 6, most=10)
+
+
+def test_pieces_of_vectors(spark):
+    a, b = spark.createDataFrame([(i, i * 10) for i in range(6)], "__row long, a int"), spark.createDataFrame([(i, i) for i in range(9)], "__row long, b int")
+    made = stages.pieces((a, "a", 0, 2), (b, "b", 7, 8), (a, "a", 2, 2))
+    assert [r["value"] for r in made.orderBy("__row").collect()] == [0, 10, 20, 7, 8, 20]
+
+
 def test_aggregates_of_nothing_and_of_nulls(spark):
     df = spark.createDataFrame([(None, None)], "x bigint, b boolean")
     for rows in (df, df.limit(0)):

@@ -49,7 +49,7 @@ def test_rows_equal(name, spark, duck, sf_dir):
     assert not different, different[:3]
 
 
-@pytest.mark.parametrize(("name", "source", "key"), [("letter_sequence_of_all", "customer", "c_custkey"), ("conversions_of_all", "part", "p_partkey")])
+@pytest.mark.parametrize(("name", "source", "key"), [("letter_sequence", "customer", "c_custkey"), ("letter_sequence_of_all", "customer", "c_custkey"), ("conversions", "part", "p_partkey"), ("conversions_of_all", "part", "p_partkey")])
 def test_whole_tables_are_read(name, source, key, spark, duck):
     """At sf0.1, where letters run to three."""
     large = "/root/testdata/sf0.1"

@@ -161,9 +161,21 @@ def test_recurrences(spark):
     s = Sheet.inline(spark, "K | A\na | 1\nb | 10\na | 2\na | 3\nb | 20", A="double")
     made = recurrences.stepwise(s.df, lambda row, done: (done[-1] if done else 0.0) * 2 + row["A"], "x", "double", ["K"], ["__row"])
     assert [r.x for r in made.orderBy("__row").collect()] == [1, 10, 4, 11, 40]
-    placed = s.with_columns(place=F.when(F.col("K") == "a", F.when(F.col("__row") == 0, 0).when(F.col("__row") == 2, 1).otherwise(2)).otherwise(F.when(F.col("__row") == 1, 0).otherwise(1)))
-    closed = recurrences.decayed(placed.df, F.col("A"), 2.0, "x", "place", ["K"], ["__row"])
-    assert [round(r.x, 9) for r in closed.orderBy("__row").collect()] == [1, 10, 4, 11, 40]
+    closed = recurrences.decayed(s.df, F.col("A"), 2.0, "x", ["K"], ["__row"])
+    assert closed.columns == ["__row", "K", "A", "x"]
+    assert [r.x for r in closed.orderBy("__row").collect()] == [1, 10, 4, 11, 40]
+
+
+@pytest.mark.parametrize("factor", [0.5, -0.9, 1e-9, 0.0, 1.0])
+def test_decayed_values_are_those_of_a_plain_loop(spark, factor):
+    rows = [(i, None if i % 10 == 7 else "abc"[i % 3 % 2], None if i == 2900 else float(i % 13)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "at int, k string, v double").repartition(5)
+    got = {r["at"]: r.x for r in recurrences.decayed(df, F.col("v"), factor, "x", ["k"], ["at"], block=100).collect()}
+    last: dict = {}
+    for at, k, v in rows:
+        before = last.get(k, 0.0)
+        last[k] = None if before is None or v is None else before * factor + v
+        assert got[at] == (None if last[k] is None else pytest.approx(last[k], rel=1e-9, abs=1e-12)), at
 
 
 def test_null_amount_stops_a_balance(spark):
