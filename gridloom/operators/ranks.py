@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators import windows
 from gridloom.operators.order import ROW
-from gridloom.operators.prefix import running
+from gridloom.operators.prefix import FEW, fits, running
 
 
 TIES = ("average", "min", "max", "dense", "ordinal")
@@ -17,17 +18,19 @@ def ranked(df: DataFrame, column: str, name: str, ties: str = "average", desc: b
     return ranked_all(df, column, {name: (ties, desc)}, by, row)
 
 
-def ranked_all(df: DataFrame, column: str, wanted: dict[str, tuple[str, bool]], by: list[str] | None = None, row: str = ROW) -> DataFrame:
+def ranked_all(df: DataFrame, column: str, wanted: dict[str, tuple[str, bool]], by: list[str] | None = None, row: str = ROW, few: int = FEW) -> DataFrame:
     """Several ranks ``name: (ties, desc)`` of one column, from one count of its values."""
     for ties, _ in wanted.values():
         if ties not in TIES:
             raise ValueError(f"no way to rank ties: {ties}")
     keys, names = by or [], df.columns
+    if fits(df, by, few):
+        return df.withColumns({n: windows.rank(column, ties, keys, desc, row) for n, (ties, desc) in wanted.items()})
     if any(ties == "ordinal" for ties, _ in wanted.values()):
         # The place among equal values is the place in the whole order less the values before.
-        df = running(df, [column, row], {"__nth": ("sum", F.col(column).isNotNull().cast("bigint"))}, keys)
+        df = running(df, [column, row], {"__nth": ("sum", F.col(column).isNotNull().cast("bigint"))}, keys, few)
     tally = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("__n"))
-    tally = running(tally, [column], {"__upto": ("sum", F.col("__n")), "__dense": ("count", F.col("__n"))}, keys)
+    tally = running(tally, [column], {"__upto": ("sum", F.col("__n")), "__dense": ("count", F.col("__n"))}, keys, few)
     if any(desc for _, desc in wanted.values()):
         whole = tally.groupBy(*[F.col(k).alias(f"__g_{k}") for k in keys]).agg(F.max("__upto").alias("__all"), F.max("__dense").alias("__kinds"))
         on = [F.col(k).eqNullSafe(F.col(f"__g_{k}")) for k in keys]

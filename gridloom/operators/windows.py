@@ -1,7 +1,7 @@
 """Window functions: running, lagged, ranked, filled and rolling values, each with an order key and partitions.
 
-These are Spark's windows, for partitions that fit a task's sort (it spills to disk). For one partition of all rows, or a
-key that holds a large part of them, ``operators.prefix`` has forms that split it.
+These are Spark's windows, for partitions that fit a task's sort (it spills to disk). ``operators.prefix`` takes them
+where every key is small, and for one partition of all rows or a large key has forms that split it.
 
 Null stays null in running values and is skipped; a rolling value is null until the window is full, and where one of its
 rows is null.

@@ -23,11 +23,6 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ORDER, _USER = ["ts", "event_id"], ["user_id"]
 
 
-def _by_user(events: DataFrame) -> DataFrame:
-    """Numbered so that a user's events stand together, in order: one user may have any part of all events."""
-    return number_rows(events, *_USER, *_ORDER)
-
-
 @query(f"""SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN sum(({_SOME})::DECIMAL(12,2)) OVER (w ROWS UNBOUNDED PRECEDING) END::DOUBLE AS cum_sum,
 CASE WHEN event_id % 7 <> 0 THEN min({_SOME}) OVER (w ROWS UNBOUNDED PRECEDING) END AS cum_min, CASE WHEN event_id % 7 <> 0 THEN max({_SOME}) OVER (w ROWS UNBOUNDED PRECEDING) END AS cum_max,
 count({_SOME}) OVER (w ROWS UNBOUNDED PRECEDING)::BIGINT AS cum_count FROM events WINDOW w AS ({_BY})""")
@@ -60,7 +55,7 @@ def cum_prod_by(spark: SparkSession, sf_dir: str) -> DataFrame:
 value / lag(value) OVER ({_BY}) - 1 AS pct FROM events""")
 def diff_pct_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = {"diff": lambda w: W.diff("some", w).cast("double"), "diff2": lambda w: W.diff(F.col("value").cast("decimal(12,2)"), w, 2).cast("double"), "pct": lambda w: W.pct_change("value", w)}
-    return prefix.with_neighbours(_by_user(_events(spark, sf_dir)), made, before=2, by=_USER).select("event_id", *made)
+    return prefix.near(_events(spark, sf_dir), made, _ORDER, _USER, before=2).select("event_id", *made)
 
 
 @query("""SELECT c_custkey, CASE WHEN v IS NOT NULL THEN rank() OVER (PARTITION BY c_nationkey, v IS NULL ORDER BY v) END::BIGINT AS least,
@@ -78,8 +73,7 @@ def rank_by(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT event_id, last_value(({_SOME}) IGNORE NULLS) OVER ({_BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS forward_fill,
 first_value(({_SOME}) IGNORE NULLS) OVER ({_BY} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS backward_fill FROM events""")
 def fill_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = _by_user(_events(spark, sf_dir)).withColumn("back", -F.col("__row"))
-    made = prefix.filled(prefix.filled(placed, "some", "forward_fill", ["__row"], _USER), "some", "backward_fill", ["back"], _USER)
+    made = prefix.filled(prefix.filled(_events(spark, sf_dir), "some", "forward_fill", _ORDER, _USER), "some", "backward_fill", _ORDER, _USER, back=True)
     return made.select("event_id", F.col("forward_fill").cast("double").alias("forward_fill"), F.col("backward_fill").cast("double").alias("backward_fill"))
 
 
@@ -92,13 +86,13 @@ CASE WHEN {_FULL} THEN min({_SOME}) OVER ({_BY} ROWS 2 PRECEDING) END AS rolling
 CASE WHEN {_FULL} THEN round(stddev_samp({_SOME}) OVER ({_BY} ROWS 2 PRECEDING), 4) END AS rolling_std FROM events""")
 def rolling_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = {"rolling_sum": lambda w: W.rolling_sum("some", 3, w).cast("double"), "rolling_mean": lambda w: F.round(W.rolling_mean_exact("some", 3, w, 2).cast("double"), 6), "rolling_min": lambda w: W.rolling_min("some", 3, w).cast("double"), "rolling_max": lambda w: W.rolling_max("some", 3, w).cast("double"), "rolling_std": lambda w: F.round(W.rolling_std("some", 3, w), 4)}
-    return prefix.with_neighbours(_by_user(_events(spark, sf_dir)), made, before=2, by=_USER).select("event_id", *made)
+    return prefix.near(_events(spark, sf_dir), made, _ORDER, _USER, before=2).select("event_id", *made)
 
 
 @query(f"""SELECT event_id, lag(value) OVER ({_BY}) AS back, lead(value, 2) OVER ({_BY}) AS ahead, coalesce(lag(event_type) OVER ({_BY}), 'start') AS before FROM events""")
 def shift_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = {"back": lambda w: W.shift("value", w), "ahead": lambda w: W.shift("value", w, -2), "before": lambda w: F.coalesce(W.shift("event_type", w), F.lit("start"))}
-    return prefix.with_neighbours(_by_user(table(spark, sf_dir, "events")), made, before=1, after=2, by=_USER).select("event_id", *made)
+    return prefix.near(table(spark, sf_dir, "events"), made, _ORDER, _USER, before=1, after=2).select("event_id", *made)
 
 
 @query("""SELECT event_id, lag(value, 3) OVER (ORDER BY event_id) AS back, lead(value) OVER (ORDER BY event_id) AS ahead,
@@ -115,8 +109,8 @@ def shift_over_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 sum(value::DECIMAL(12,2)) OVER ({_BY} ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING)::DOUBLE AS around FROM events""")
 def prefix_and_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value").cast("decimal(12,2)")
-    so_far = prefix.running(_by_user(table(spark, sf_dir, "events")), ["__row"], {"total": ("sum", v), "seen": ("count", v)}, _USER)
-    made = prefix.with_neighbours(so_far, {"around": lambda w: W.sliding(F.sum(v), 1, 2, w)}, before=1, after=2, by=_USER)
+    so_far = prefix.running(table(spark, sf_dir, "events"), _ORDER, {"total": ("sum", v), "seen": ("count", v)}, _USER)
+    made = prefix.near(so_far, {"around": lambda w: W.sliding(F.sum(v), 1, 2, w)}, _ORDER, _USER, before=1, after=2)
     return made.select("event_id", F.round(F.col("total").cast("double") / F.col("seen"), 6).alias("prefix_mean"), F.col("around").cast("double").alias("around"))
 
 

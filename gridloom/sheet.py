@@ -15,7 +15,7 @@ from pyspark.sql.types import DataType, DecimalType, DoubleType, FloatType, Inte
 
 from gridloom.functions import aggregates as A
 from gridloom.operators import distinct, lookups, prefix, quantiles, ranks, recurrences, stages, windows
-from gridloom.operators.order import ROW, number_rows
+from gridloom.operators.order import ROW
 from gridloom.operators.products import products
 from gridloom.sources import sinks, views
 
@@ -159,22 +159,19 @@ class Sheet:
 
     def window(self, name: str, function: str, column: str, n: int | None = None, order: str | None = None, by: list[str] | None = None) -> Sheet:
         """``name := column.function(n, order by keys)``. Running and filled values are worked out over ranges of the order
-        (within each of the partition keys), looks at neighbours over blocks of rows, so no key is sorted in one task."""
+        (within each of the partition keys), looks at neighbours over blocks of rows, so no large key is sorted in one task."""
         keys = [k for k in (order, ROW) if k and k in self.df.columns]
         if function in _RUNNING:
             return Sheet(prefix.running(self.df, keys, {name: (_RUNNING[function], F.col(column))}, by))
         if function == "forward_fill":
             return Sheet(prefix.filled(self.df, column, name, keys, by))
-        there = not by and keys == [ROW]
-        placed = self.df if there else number_rows(self.df.withColumnRenamed(ROW, "__sheet_row"), *(by or []), *["__sheet_row" if k == ROW else k for k in keys])
         if function == "backward_fill":
-            turned = placed.withColumn("__back", -F.col(ROW))
-            made = prefix.filled(turned, column, name, ["__back"], by).drop("__back")
-        else:
-            n = 1 if n is None else n
-            f = (lambda w: _ROLLING[function](column, n, w)) if function in _ROLLING else (lambda w: _NEAR[function](column, w, n))
-            made = prefix.with_neighbours(placed, {name: f}, max(n, 0), max(-n, 0), by=by)
-        return Sheet(made if there else made.drop(ROW).withColumnRenamed("__sheet_row", ROW))
+            return Sheet(prefix.filled(self.df, column, name, keys, by, back=True))
+        n = 1 if n is None else n
+        f = (lambda w: _ROLLING[function](column, n, w)) if function in _ROLLING else (lambda w: _NEAR[function](column, w, n))
+        if not by and keys == [ROW]:
+            return Sheet(prefix.with_neighbours(self.df, {name: f}, max(n, 0), max(-n, 0)))
+        return Sheet(prefix.near(self.df, {name: f}, keys, by or [], max(n, 0), max(-n, 0)))
 
     def rank(self, name: str, column: str, ties: str = "average", desc: bool = False, by: list[str] | None = None) -> Sheet:
         return Sheet(ranks.ranked(self.df, column, name, ties, desc, by))

@@ -15,7 +15,7 @@ from gridloom.functions import arithmetic as Ar
 from gridloom.functions import complexes as C
 from gridloom.functions import convert, dates, formats, fractions, logic, maths, quantities, sequences, text, vectors
 from gridloom.functions import uncertain as U
-from gridloom.operators import lookups, prefix, quantiles, stages
+from gridloom.operators import lookups, prefix, quantiles, ranks, stages
 from gridloom.operators.order import file_rows, number_rows
 from gridloom.operators.products import products
 from gridloom.operators.windows import rolling_std
@@ -326,6 +326,24 @@ def test_running_values_split_one_key(spark):
         assert got[i][1] == (None if i % 5 == 4 else min(3, i) if i < 4 else 3)
 
 
+def test_large_keys_are_split_and_give_the_same(spark):
+    """Each form with every key taken for a large one, and with none."""
+    rows = [((i * 37) % 400, None if i % 9 == 4 else "ab"[i % 7 > 4], None if i % 5 == 3 else i % 11) for i in range(400)]
+    df = spark.createDataFrame(rows, "__row long, k string, v long").repartition(6)
+    by = ["k"]
+    made = {
+        "running": lambda few: prefix.running(df, ["__row"], {"s": ("sum", F.col("v")), "n": ("count", F.col("v")), "m": ("min", F.col("v"))}, by, few=few),
+        "filled": lambda few: prefix.filled(df, "v", "x", ["__row"], by, few=few),
+        "back": lambda few: prefix.filled(df, "v", "x", ["__row"], by, back=True, few=few),
+        "near": lambda few: prefix.near(df, {"a": lambda w: F.lag("v", 3).over(w), "b": lambda w: F.sum("v").over(w.rowsBetween(-2, 1))}, ["__row"], by, before=3, after=1, few=few, block=17),
+        "ranks": lambda few: ranks.ranked_all(df, "v", {f"{t}{d}": (t, d) for t in ranks.TIES for d in (False, True)}, by, few=few),
+    }
+    for name, f in made.items():
+        split, whole = f(0), f(10**6)
+        assert split.columns == whole.columns
+        assert sorted(map(repr, split.collect())) == sorted(map(repr, whole.collect())), name
+
+
 def test_numbered_rows(spark, tmp_path):
     spark.range(100).repartition(5, "id").write.parquet(str(tmp_path / "p"))
     rows = [r["__row"] for r in file_rows(spark, str(tmp_path / "p")).collect()]
