@@ -13,6 +13,7 @@ than doc_id and text are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -32,9 +33,17 @@ END_ID = 1
 _CACHES: dict[str, _WordIds] = {}
 
 
+# How a vocabulary must treat text for its ids to be those of chunks in a row.
+_BY_CHUNKS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "truncation": None,
+}
+
+
 class _WordIds(dict):
     """Ids of space-free chunks as little-endian bytes. The vocabulary drops white space and case, so ids of a text are
-    those of its chunks in a row, and a chunk that is one word and a full stop or comma has those of the two. Chunks of
+    those of its chunks in a row (``by_chunks``; a text of another vocabulary is encoded whole), and a chunk that is one word and a full stop or comma has those of the two. Chunks of
     usual length are remembered, up to a fixed number; a single word goes straight to the vocabulary's merges."""
 
     def __init__(self, path: str, most: int = 400_000) -> None:
@@ -42,6 +51,8 @@ class _WordIds(dict):
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
+        told = json.loads(whole.to_str())
+        self.by_chunks = all(told[k] == v for k, v in _BY_CHUNKS.items()) and told["model"]["type"] == "BPE"
         self.encode, self.merge, self.most = whole.encode, whole.model.tokenize, most
         self.stops = {c: self._whole(c) for c in ".,"}
         # The vocabulary's own letters for the bytes 128 and up, in order: printable ones stand for themselves.
@@ -77,6 +88,8 @@ class _WordIds(dict):
 def token_bytes(text: str | None, path: str) -> bytes:
     """The text's ids and the end id, as little-endian unsigned 32-bit."""
     cache = _CACHES.get(path) or _CACHES.setdefault(path, _WordIds(path))
+    if text and not cache.by_chunks:
+        return cache._whole(text) + struct.pack("<I", END_ID)
     chunks = text.replace("\n", " ").split(" ") if text else []
     return b"".join(map(cache.__getitem__, chunks)) + struct.pack("<I", END_ID)
 

@@ -445,6 +445,16 @@ def test_tokens_equal_the_whole_text_tokenizer():
         assert packing.token_bytes(text, path) == struct.pack(f"<{len(ids)}I", *ids), text
 
 
+def test_texts_of_other_vocabularies_are_encoded_whole(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"?": 0, "one": 7, "two words": 8, "a": 9}, unk_token="?"))
+    other.pre_tokenizer = pre_tokenizers.Split("|", "removed")
+    other.save(str(tmp_path / "t.json"))
+    assert packing.token_bytes("one|two words|A|a", str(tmp_path / "t.json")) == struct.pack("<5I", 7, 8, 0, 9, packing.END_ID)
+    assert packing.token_bytes(None, str(tmp_path / "t.json")) == struct.pack("<I", packing.END_ID)
+
+
 def check_packing(rows, capacity):
     by = {}
     for r in rows:
