@@ -85,6 +85,11 @@ def date_of(x: ColumnOrName) -> Column:
     return F.to_date(col(x))
 
 
+def date_text(x: ColumnOrName) -> Column:
+    """``2025-01-31``; a year past 9999 has no sign before it, as SQL's text of a date (Spark's cast writes ``+10000``)."""
+    return F.ltrim(col(x).cast("string"), F.lit("+"))
+
+
 def time_of(x: ColumnOrName) -> Column:
     """Nanoseconds since midnight."""
     return F.pmod(wall_micros(x), F.lit(DAY_NANOS // 1000)) * 1000

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions import dates
 from gridloom.functions import sequences as S
 from gridloom.operators import prefix, ranks, recurrences
 from gridloom.operators import windows as W
@@ -133,7 +134,7 @@ CASE WHEN 5 + 2 * (row_number() OVER (ORDER BY c_custkey) - 1) <= 99 THEN 5 + 2
 ['Mon','Tue','Wed','Thu','Fri','Sat','Sun'][(1 + row_number() OVER (ORDER BY c_custkey)) % 7 + 1] AS day FROM customer""")
 def sequence_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = number_rows(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
-    made = {"place": F.col("__row"), "odd": S.arithmetic("__row", 5, 7).cast("bigint"), "short": S.arithmetic("__row", 5, 7, 99).cast("bigint"), "week": S.dates_by_days("__row", "2025-01-01", 7).cast("string"), "day": S.cycle("__row", S.DAYS, "Wed", short=True)}
+    made = {"place": F.col("__row"), "odd": S.arithmetic("__row", 5, 7).cast("bigint"), "short": S.arithmetic("__row", 5, 7, 99).cast("bigint"), "week": dates.date_text(S.dates_by_days("__row", "2025-01-01", 7)), "day": S.cycle("__row", S.DAYS, "Wed", short=True)}
     return rows.select("c_custkey", *[c.alias(n) for n, c in made.items()])
 
 

@@ -60,5 +60,13 @@ def test_whole_tables_are_read(name, source, key, spark, duck):
         assert {len(r[1]) for r in got} == {1, 2, 3}
 
 
+def test_sequences_of_dates_past_the_year_9999(spark, duck, tmp_path):
+    """A week for each of 420,000 customers runs to the year 10074."""
+    duck.execute(f"COPY (SELECT range AS c_custkey FROM range(420000)) TO '{tmp_path}/customer.parquet'")
+    want = SQL["sequence_columns"].replace("FROM customer", f"FROM '{tmp_path}/customer.parquet'")
+    got = sorted(map(tuple, QUERIES["sequence_columns"](spark, str(tmp_path)).collect()))
+    assert got[-1][4].startswith("10074-") and got == sorted(duck.execute(want).fetchall())
+
+
 def test_entry_gives_rows(spark):
     assert entry.entry(spark).count() > 0
