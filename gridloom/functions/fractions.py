@@ -6,6 +6,8 @@ rather than a rounded answer. Division by zero gives null here, the float quotie
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,14 +17,26 @@ WIDE = "decimal(38,0)"
 NARROW = "decimal(18,0)"
 
 
+def _euclid(low: Column, high: Column, kind: str) -> Column:
+    """Euclid's algorithm takes at most five steps for each digit of the smaller number (Lamé)."""
+    start = F.struct(high.cast(kind).alias("a"), low.cast(kind).alias("b"))
+    step = lambda s, _: F.when(s.b == 0, s).otherwise(F.struct(s.b.alias("a"), F.try_mod(s.a, s.b).cast(kind).alias("b")))
+    return F.aggregate(F.sequence(F.lit(1), 5 * F.length(low.cast("string"))), start, step)["a"]
+
+
 def _gcd(a: Column, b: Column) -> Column:
-    """Euclid's algorithm; 90 steps are enough for numbers of 18 digits."""
-    start = F.struct(F.abs(a).cast(WIDE).alias("a"), F.abs(b).cast(WIDE).alias("b"))
-    step = lambda s, _: F.struct(F.when(s.b == 0, s.a).otherwise(s.b).alias("a"), F.when(s.b == 0, s.b).otherwise(F.try_mod(s.a, s.b).cast(WIDE)).alias("b"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(180)), start, step)["a"]
+    """In 64-bit whole numbers where both have at most 18 digits, else in decimals."""
+    either = lambda low, high: F.when(high < 10**18, _euclid(low, high, "bigint").cast(WIDE)).otherwise(_euclid(low, high, WIDE))
+    return let(either, F.least(F.abs(a), F.abs(b)), F.greatest(F.abs(a), F.abs(b)))
 
 
-def fraction(num: ColumnOrName, den: ColumnOrName) -> Column:
+def fraction(num: ColumnOrName | int, den: ColumnOrName | int) -> Column:
+    """Two plain numbers are reduced at once, columns row by row."""
+    if isinstance(num, int) and isinstance(den, int):
+        num, den = Fraction(num, den).as_integer_ratio() if den else (num, den)
+        return F.when(F.lit(den != 0), F.struct(F.lit(str(num)).cast(WIDE).alias("num"), F.lit(str(den)).cast(WIDE).alias("den")))
+    num, den = (F.lit(str(x)) if isinstance(x, int) else x for x in (num, den))
+
     def reduced(n: Column, d: Column) -> Column:
         return let(lambda n, d, g: F.struct((_part(n, g) * _sign(d)).cast(WIDE).alias("num"), (_part(d, g) * _sign(d)).cast(WIDE).alias("den")), n, d, _gcd(n, d))
 
@@ -50,39 +64,43 @@ def _d(x: Column) -> Column:
 
 
 def plus(a: Column, b: Column) -> Column:
-    return fraction(_n(a) * _d(b) + _n(b) * _d(a), _d(a) * _d(b))
+    return let(lambda a, b: fraction(_n(a) * _d(b) + _n(b) * _d(a), _d(a) * _d(b)), a, b)
 
 
 def minus(a: Column, b: Column) -> Column:
-    return fraction(_n(a) * _d(b) - _n(b) * _d(a), _d(a) * _d(b))
+    return let(lambda a, b: fraction(_n(a) * _d(b) - _n(b) * _d(a), _d(a) * _d(b)), a, b)
 
 
 def times(a: Column, b: Column) -> Column:
-    return fraction(_n(a) * _n(b), _d(a) * _d(b))
+    return let(lambda a, b: fraction(_n(a) * _n(b), _d(a) * _d(b)), a, b)
 
 
 def over(a: Column, b: Column) -> Column:
-    return fraction(_n(a) * _d(b), _d(a) * _n(b))
+    return let(lambda a, b: fraction(_n(a) * _d(b), _d(a) * _n(b)), a, b)
 
 
 def less(a: Column, b: Column) -> Column:
-    return _n(a) * _d(b) < _n(b) * _d(a)
+    return let(lambda a, b: _n(a) * _d(b) < _n(b) * _d(a), a, b)
 
 
 def equal(a: Column, b: Column) -> Column:
-    return (a["num"] == b["num"]) & (a["den"] == b["den"])
+    return let(lambda a, b: (a["num"] == b["num"]) & (a["den"] == b["den"]), a, b)
 
 
 def as_decimal(x: Column, scale: int = 10) -> Column:
-    return F.round(x["num"].cast("decimal(27,10)") / x["den"].cast("decimal(10,0)"), scale).cast(f"decimal(38,{scale})")
+    return let(lambda x: F.round(x["num"].cast("decimal(27,10)") / x["den"].cast("decimal(10,0)"), scale).cast(f"decimal(38,{scale})"), x)
 
 
 def as_float(x: Column) -> Column:
-    return x["num"].cast("double") / x["den"].cast("double")
+    return let(lambda x: x["num"].cast("double") / x["den"].cast("double"), x)
 
 
 def show(x: Column) -> Column:
     """``3``, ``1/7``, ``2 3/4``."""
+    return let(_shown, x)
+
+
+def _shown(x: Column) -> Column:
     n, d = F.abs(x["num"]), x["den"]
     w = F.floor(F.try_divide(n, d)).cast(WIDE)
     rest = F.concat((n - w * d).cast(WIDE).cast("string"), F.lit("/"), d.cast("string"))

@@ -183,9 +183,9 @@ def quantity_to(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT p_partkey, (p_size / gcd(p_size, 12))::BIGINT AS num, (12 / gcd(p_size, 12))::BIGINT AS den, round(p_size / 12.0::DOUBLE + 1 / 3.0::DOUBLE, 9) AS plus_third, p_size < 8 AS below FROM part""")
 def fraction_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x, third = Fr.fraction("p_size", F.lit(12)), Fr.fraction(F.lit(1), F.lit(3))
-    made = {"num": x["num"].cast("bigint"), "den": x["den"].cast("bigint"), "plus_third": F.round(Fr.as_float(Fr.plus(x, third)), 9), "below": Fr.less(x, Fr.fraction(F.lit(2), F.lit(3)))}
-    return _shown(table(spark, sf_dir, "part"), ["p_partkey"], made)
+    part, x, third = table(spark, sf_dir, "part").withColumn("x", Fr.fraction("p_size", 12)), F.col("x"), Fr.fraction(1, 3)
+    made = {"num": x["num"].cast("bigint"), "den": x["den"].cast("bigint"), "plus_third": F.round(Fr.as_float(Fr.plus(x, third)), 9), "below": Fr.less(x, Fr.fraction(2, 3))}
+    return _shown(part, ["p_partkey"], made)
 
 
 @query("""SELECT p_partkey, format('{:.2f}', p_retailprice) AS fixed, '0x' || lower(to_hex(p_partkey)) AS hex, CASE WHEN p_size % 10 = 0 THEN (p_size // 10)::VARCHAR || '%' ELSE format('{:.1f}', p_size / 10.0) || '%' END AS share FROM part""")

@@ -6,6 +6,7 @@ import cmath
 import datetime
 import math
 from decimal import Decimal
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,6 +146,25 @@ def test_uncertain(spark):
     assert value(spark, U.equal(m(10, 1), m(11, 0.5))) is True
 
 
+def test_fractions_reduce_in_few_steps(spark):
+    """Numbers of Fibonacci take the most steps; steps follow the digits, and no operand is worked out twice."""
+    fib = [1, 1]
+    while len(fib) < 170:
+        fib.append(fib[-1] + fib[-2])
+    pairs = [(fib[i] * k, fib[i + 1] * k) for i in range(1, 85) for k in (1, 6) if fib[i + 1] * k < 10**18]
+    pairs += [(fib[i], fib[i + 1]) for i in range(85, 150, 7)] + [(0, 7), (-6, 4), (6, -4), (12, 12), (10**18 - 1, 3), (10**18, 10**18), (7, 10**20)]
+    rows = spark.createDataFrame([(Decimal(a), Decimal(b)) for a, b in pairs], "n decimal(38,0), d decimal(38,0)")
+    got = rows.select("n", "d", fractions.fraction("n", "d").alias("x")).collect()
+    assert [Fraction(int(r.x.num), int(r.x.den)) for r in got] == [Fraction(int(r.n), int(r.d)) for r in got]
+    assert all(r.x.den > 0 and math.gcd(int(r.x.num), int(r.x.den)) == 1 for r in got)
+    # Sums of sums: each operand stands once in the plan, with its two ways to reduce.
+    x = fractions.fraction("n", "d")
+    plan = rows.select(fractions.as_float(fractions.plus(fractions.plus(x, x), x)).alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("aggregate(") == 2 * 5
+    plain = rows.select(fractions.fraction(6, -4).alias("a"), fractions.fraction(1, 0).alias("b"), fractions.fraction("d", 12).alias("c")).first()
+    assert (int(plain.a.num), int(plain.a.den)) == (-3, 2) and plain.b is None and (int(plain.c.num), int(plain.c.den)) == (1, 6)
+
+
 def test_fractions(spark):
     f = lambda a, b: fractions.fraction(lit(a, "bigint"), lit(b, "bigint"))
     show = lambda c: value(spark, fractions.show(c))
