@@ -46,7 +46,7 @@ class _WordIds(dict):
     those of its chunks in a row (``by_chunks``; a text of another vocabulary is encoded whole), and a chunk that is one word and a full stop or comma has those of the two. Chunks of
     usual length are remembered, up to a fixed number; a single word goes straight to the vocabulary's merges."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -78,11 +78,14 @@ class _WordIds(dict):
     def __missing__(self, chunk: str) -> bytes:
         stem, stop = (chunk[:-1], chunk[-1]) if chunk[-1:] in self.stops else (chunk, "")
         # Latin letters only, where lower case is one letter for one and nothing is left to compose.
-        if not stem.isalpha() or max(stem) >= "\u0250" or "\u0130" in stem:
+        if not stem.isalpha() or not stem.isascii() and (max(stem) >= "\u0250" or "\u0130" in stem):
             return self._keep(chunk, self._whole(chunk))
         word = stem.lower()
-        ids = self.get(word) or self._keep(word, self._word(word))
-        return ids if word == chunk else self._keep(chunk, ids + self.stops[stop] if stop else ids)
+        ids = self.get(word)
+        if ids:
+            return self._keep(chunk, ids + self.stops[stop] if stop else ids)
+        ids = self._keep(word, self._word(word))  # most rare words come once: another spelling is remembered the next time
+        return ids + self.stops[stop] if stop else ids
 
 
 def token_bytes(text: str | None, path: str) -> bytes:

@@ -445,6 +445,17 @@ def test_tokens_equal_the_whole_text_tokenizer():
         assert packing.token_bytes(text, path) == struct.pack(f"<{len(ids)}I", *ids), text
 
 
+def test_rare_words_are_remembered_once():
+    """A word that comes once takes one place in the memory; another spelling is kept when the word comes again."""
+    import public_tokenizers
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    ids = packing._WordIds(path)
+    whole = {c: ids._whole(c) for c in ("Thheatth.", "thheatth", "thheatth,")}
+    assert ids["Thheatth."] == whole["Thheatth."] and set(ids) == {"thheatth"}
+    assert [ids[c] for c in whole] == list(whole.values()) and set(ids) == set(whole)
+
+
 def test_texts_of_other_vocabularies_are_encoded_whole(tmp_path):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
